@@ -14,5 +14,31 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_simhash": op3_simhash}
-ORACLES: dict[str, str] = {}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.decontaminate import matches, n_hit
+
+    found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit() > 0).alias("contaminated"))
+
+
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.maxscore import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+OP8 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, v AS qv FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, CAST(list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM q JOIN v ON vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+QUERIES = {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op8_maxscore": op8_maxscore}
+ORACLES: dict[str, str] = {"op8_maxscore": OP8}
