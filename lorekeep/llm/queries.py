@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import table
+from lorekeep.llm.common import crc_mod, table
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 OP8 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
            FROM embeddings
@@ -40,5 +48,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op8_maxscore": op8_maxscore}
+QUERIES = {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op8_maxscore": op8_maxscore, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {"op8_maxscore": OP8}

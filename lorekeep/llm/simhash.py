@@ -63,18 +63,63 @@ def _segment(fp: str, k: str) -> str:
     return f"(shiftrightunsigned({fp}, 32 * ({k})) & 4294967295L)"
 
 
+def _meet(batches):
+    """Rows (sign, fp) sorted by sign: pairs within two bits of signs with few prints (hot false), rows of the others (hot true)."""
+    held_s, held_f, crowded = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+
+    def flush(sign, fp, whole):
+        nonlocal held_s, held_f, crowded
+        first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]])) if len(sign) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate([first, [len(sign)]]))
+        many = size > PAIRED
+        if crowded is not None and len(sign) and sign[0] == crowded:
+            many[0] = True
+        last = first[-1] if len(first) else 0
+        if not whole and len(first):  # the last run may go on: keep it, unless it is known to be crowded
+            crowded = int(sign[last]) if many[-1] else None
+            cut = len(sign) if many[-1] else last
+            held_s, held_f = sign[cut:], fp[cut:]
+        else:
+            cut, held_s, held_f = len(sign), sign[:0], fp[:0]
+        hot = np.repeat(many, size)[:cut]
+        sign, fp = sign[:cut], fp[:cut]
+        us, vs = [], []
+        for d in range(1, PAIRED):
+            same = (sign[d:] == sign[:-d]) & ~hot[d:]
+            if not same.any():
+                break
+            i = np.flatnonzero(same)
+            x, y, slot = fp[i], fp[i + d], sign[i] >> 32
+            differ = x ^ y
+            segment = (differ >> (32 * (slot // 32)).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+            # Equal segments meet in all their variants: the first one is enough.
+            ok = (np.bitwise_count(differ) <= 2) & ((segment > 0) | (slot % 32 == 0))
+            us.append(x[ok].view(np.int64))
+            vs.append(y[ok].view(np.int64))
+        us.append(fp[hot].view(np.int64))
+        vs.append(sign[hot])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.arange(len(u)) >= len(u) - hot.sum())], ["u", "v", "hot"])
+
+    for b in batches:
+        sign = np.concatenate([held_s, b.column(0).to_numpy(zero_copy_only=False)])
+        fp = np.concatenate([held_f, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+        yield from flush(sign, fp, False)
+    yield from flush(held_s, held_f, True)
+
+
 def links(prints: DataFrame) -> DataFrame:
-    """(u, v) edges of distinct fingerprints (fp): their components are those of all pairs within two bits."""
+    """(u, v) edges of distinct fingerprints (fp): their components are those of all pairs within two bits.
+
+    One shuffle brings the variants together, sorted, and a pass of bounded memory pairs them.
+    """
     variant = F.expr(f"transform(sequence(0L, 63L), b -> shiftleft(b, 32) | ({_segment('fp', 'cast(b div 32 AS int)')} & ~shiftleft(1L, cast(b % 32 AS int))))")
-    signs = prints.select("fp", F.explode(variant).alias("sign"))
-    met = stored(signs.groupBy("sign").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
-    twos = met.filter("n = 2").select("a", "b")
-    few = signs.join(met.filter(f"n > 2 AND n <= {PAIRED}").select("sign"), "sign").groupBy("sign").agg(F.sort_array(F.collect_list("fp")).alias("of"))
-    near = "bit_count(x ^ y) <= 2"
-    few = few.select(F.explode(F.expr(f"flatten(transform(of, x -> transform(filter(of, y -> x < y AND {near}), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
-    pairs = twos.filter("bit_count(a ^ b) <= 2").unionByName(few).distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    hot = stored(signs.join(met.filter(f"n > {PAIRED}").select("sign"), "sign").select("fp", "sign"))
+    signs = prints.select(F.explode(variant).alias("sign"), "fp")
+    met = stored(signs.repartition("sign").sortWithinPartitions("sign").mapInArrow(_meet, "u long, v long, hot boolean"))
+    pairs = met.filter("NOT hot").select("u", "v").distinct()
+    hot = met.filter("hot").select(F.col("u").alias("fp"), F.col("v").alias("sign"))
+
     # The segment is equal: two wildcards in the other one. It differs in the wildcard: one wildcard in the other one.
     other = _segment("fp", "1 - cast(seg AS int)")
     same = hot.select("fp", F.expr("shiftright(sign, 37)").alias("seg")).distinct()
