@@ -48,7 +48,13 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+#: Rows that cross to a Python worker at once: whole texts are long, and the JVM holds a batch outside its heap.
+BATCH_ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

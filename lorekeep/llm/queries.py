@@ -37,6 +37,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm import pii
+
+    found = pii.find(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", *counts, "base_sha256", spans.alias("spans"))
+
+
 OP8 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
            FROM embeddings
@@ -48,5 +58,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op8_maxscore": op8_maxscore, "op10_toxicity": op10_toxicity}
+QUERIES = {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op8_maxscore": op8_maxscore, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {"op8_maxscore": OP8}
