@@ -22,6 +22,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit() > 0).alias("contaminated"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm import langid
 
@@ -65,5 +71,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op7_langid": op7_langid, "op8_maxscore": op8_maxscore, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
+QUERIES = {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_mixing": op5_mixing, "op7_langid": op7_langid, "op8_maxscore": op8_maxscore, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {"op8_maxscore": OP8}
