@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lorekeep-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark drop the shuffle files of plans that are done with
     return spark.read.schema(df.schema).parquet(path)
 
 

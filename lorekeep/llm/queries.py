@@ -35,6 +35,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.substring import remove
+
+    return remove(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm import langid
 
@@ -78,5 +84,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-QUERIES = {"op1_linededup": op1_linededup, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_mixing": op5_mixing, "op7_langid": op7_langid, "op8_maxscore": op8_maxscore, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_linededup": op1_linededup, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_mixing": op5_mixing, "op6_substring": op6_substring, "op7_langid": op7_langid, "op8_maxscore": op8_maxscore, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {"op8_maxscore": OP8}
