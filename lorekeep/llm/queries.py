@@ -15,6 +15,12 @@ def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.lm import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.simhash import near_groups
 
@@ -84,5 +90,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-QUERIES = {"op1_linededup": op1_linededup, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_mixing": op5_mixing, "op6_substring": op6_substring, "op7_langid": op7_langid, "op8_maxscore": op8_maxscore, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_linededup": op1_linededup, "op2_lm": op2_lm, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_mixing": op5_mixing, "op6_substring": op6_substring, "op7_langid": op7_langid, "op8_maxscore": op8_maxscore, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {"op8_maxscore": OP8}
