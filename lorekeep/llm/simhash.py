@@ -151,6 +151,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the group's least doc_id."""
+    """docs with one document of each near-duplicate group: that of the group's least doc_id.
+
+    Rows that repeat both doc_id and text become one. Rows with a null doc_id stay: nothing names them.
+    """
     keep = near_groups(docs).select(F.col("component_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
