@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its lower-cased words. The words of all lines are ordered by rarity (by a count sketch of bounded
-size; any order is right, a rarer one first is fast). Lines at least as similar as the threshold share a word among the
+A line is the set of its lower-cased words. Words are ordered by rarity: those that come up often in some task's share of
+the input by their counts, after all others (any order is right; rare words first are fast). Lines at least as similar as the threshold share a word among the
 first |set| - ceil(t |set|) + 1: these prefix words meet in a join, where length and place of the shared word rule out
 most pairs, and the rest are verified on the whole lines. A line goes if a line before it is as similar.
 
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import LOWER, slices, starts_of, stored, texts_of, tokens
 
 SIMILAR = 0.8
-#: Cells of the count sketch, bits of the filter of candidate lines, and the lines of a word that are paired directly.
-#: All three bound memory; none changes a result.
-CELLS, FILTER, PAIRED = 1 << 16, 1 << 26, 32
+#: A word counts for the order from so many uses in a task's share on, and at most so many words are told apart; bits of
+#: the filter of candidate lines, and the lines of a word that are paired directly. All bound memory; none changes a result.
+OFTEN, RANKED, FILTER, PAIRED = 4, 1 << 18, 1 << 26, 32
+#: Rows that the sorted pass takes at once.
+AT_ONCE = 1 << 16
 
 
 def needed(m: np.ndarray, t: float = SIMILAR) -> np.ndarray:
@@ -31,62 +33,118 @@ def needed(m: np.ndarray, t: float = SIMILAR) -> np.ndarray:
     return np.ceil(t * m - 1e-9).astype(np.int64)
 
 
+class Order:
+    """How often the frequent words are used, by hash."""
+
+    def __init__(self, words: np.ndarray, times: np.ndarray):
+        by = np.argsort(words)
+        self.words, self.times = words[by], times[by]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each of these hashes in the order among them."""
+        often = np.zeros(len(hashes), np.int64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            often = np.where(self.words[at] == hashes, self.times[at], 0)
+        rank = np.empty(len(hashes), np.int64)
+        rank[np.lexsort((hashes, often))] = np.arange(len(hashes))
+        return rank
+
+
+def _words(texts: pa.Array):
+    flat, counts = tokens(texts)
+    d = flat.dictionary_encode()
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in d.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), hashes, counts
+
+
 class Lines:
-    """The lines of some texts: per text their numbers, per line its distinct words' hashes and the hash of the set."""
+    """The lines of some texts: per text their numbers, per line its distinct words' hashes, in order, and the hash of the set."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, order: Order | None = None):
         texts = texts_of(column, LOWER)
         parts = pc.split_pattern(texts, "\n")
         self.text = parts.flatten()
         self.row = pc.list_parent_indices(parts).to_numpy().astype(np.int64)
         self.per_row = np.bincount(self.row, minlength=len(texts)).astype(np.int64)
         self.number = np.arange(len(self.row)) - starts_of(self.per_row)[self.row]
-        flat, counts = tokens(self.text)
-        d = flat.dictionary_encode()
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in d.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
-        both = np.unique(np.repeat(np.arange(len(counts)), counts) << 32 | d.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-        self.line, self.hash = both >> 32, hashes[both & 0xFFFFFFFF]
+        ids, hashes, counts = _words(self.text)
+        if order is not None:
+            rank = order.of(hashes)
+            sorted_hashes = np.empty_like(hashes)
+            sorted_hashes[rank] = hashes
+            ids, hashes = rank[ids], sorted_hashes
+        both = np.unique(np.repeat(np.arange(len(counts)), counts) << 32 | ids)
+        self.line, word = both >> 32, both & 0xFFFFFFFF
+        self.hash = hashes[word]
         self.size = np.bincount(self.line, minlength=len(self.text)).astype(np.int64)
         # Sums of well mixed hashes stand for sets: two unlike ones agree by chance 2^-64.
-        mixed = (self.hash ^ (self.hash >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.sign = np.zeros(len(self.text), np.uint64)
-        np.add.at(self.sign, self.line, mixed)
-        self.sign = self.sign.view(np.int64)
-
-
-def _reader(batches):
-    sketch = np.zeros(CELLS, np.int64)
-    cells = np.uint64(CELLS - 1)
-    kind = pa.list_(pa.int64())
-    for b in slices(batches):
-        x = Lines(b.column(1))
-        sketch += np.bincount((x.hash & cells).astype(np.int64), minlength=CELLS)
-        full = x.size > 0
-        at = pa.array(starts_of(np.bincount(x.row[full], minlength=b.num_rows)).astype(np.int32))
-        prints = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts_of(b.column(1)).cast(pa.binary()).to_pylist()], pa.int64())
-        none = pa.array([[]] * b.num_rows, kind)
-        yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array(x.per_row), pa.ListArray.from_arrays(at, pa.array(x.sign[full])), pa.ListArray.from_arrays(at, pa.array(x.number[full])), none], ["doc_id", "print", "n_lines", "signs", "numbers", "sketch"])
-    empty = pa.array([[]], kind)
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), empty, empty, pa.array([sketch.tolist()], kind)], ["doc_id", "print", "n_lines", "signs", "numbers", "sketch"])
-
-
-def _prefixes(often: np.ndarray, t: float):
-    """Rows (word, sign, doc_id, number, size, place) of the prefix words of lines."""
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed[word], dtype=np.uint64)])
+        at = starts_of(self.size)
+        self.sign = (sums[at[1:]] - sums[at[:-1]]).view(np.int64)
+
+
+def _frequent(batches):
+    """(word, n) of words with OFTEN uses in a part of bounded size of this task's texts."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged():
+        w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        every, at = np.unique(w, return_inverse=True)
+        n = np.bincount(at, n, len(every)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(every[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["word", "n"])
+
+    for b in slices(batches, text=0):
+        ids, hashes, _ = _words(texts_of(b.column(0), LOWER))
+        held.append((hashes, np.bincount(ids, minlength=len(hashes))))
+        size += len(hashes)
+        if size > 1 << 21:
+            yield merged()
+            held, size = [], 0
+    if held:
+        yield merged()
+
+
+def _reader(bits: np.ndarray):
+    """Per document its lines' numbers and signs, and the lines themselves where they may be candidates."""
 
     def run(batches):
         for b in slices(batches):
             x = Lines(b.column(1))
-            order = np.lexsort((x.hash, often[(x.hash & np.uint64(CELLS - 1)).astype(np.int64)], x.line))
-            line, word = x.line[order], x.hash[order].view(np.int64)
-            place = np.arange(len(line)) - starts_of(x.size)[line]
+            full = x.size > 0
+            at = pa.array(starts_of(np.bincount(x.row[full], minlength=b.num_rows)).astype(np.int32))
+            h = x.sign.view(np.uint64) & np.uint64(FILTER - 1)
+            maybe = full & ((bits[(h >> np.uint64(5)).astype(np.int64)] >> (h & np.uint64(31)).astype(np.uint32)) & 1 > 0)
+            by = np.flatnonzero(maybe)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            by = by[np.lexsort((x.number[by], ids[x.row[by]], x.sign[by]))]
+            told = np.zeros(len(x.sign), bool)  # a set that repeats in these texts is told once, at its earliest line
+            told[by[np.concatenate([[True], np.diff(x.sign[by]) != 0])] if len(by) else by] = True
+            lines = pc.if_else(pa.array(told[full]), x.text.filter(pa.array(full)), pa.scalar(None, pa.string()))
+            prints = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts_of(b.column(1)).cast(pa.binary()).to_pylist()], pa.int64())
+            arrays = [pa.ListArray.from_arrays(at, v) for v in (pa.array(x.sign[full]), pa.array(x.number[full]), lines)]
+            yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array(x.per_row), *arrays], ["doc_id", "print", "n_lines", "signs", "numbers", "lines"])
+
+    return run
+
+
+def _prefixes(order: Order, t: float):
+    """Rows (word, sign, doc_id, number, size, place) of the prefix words of lines."""
+
+    def run(batches):
+        for b in slices(batches):
+            x = Lines(b.column(1), order)
+            place = np.arange(len(x.line)) - starts_of(x.size)[x.line]
             first = np.zeros(len(x.sign), bool)  # a set that repeats in these texts is told once, at its earliest line
             ids = b.column(0).to_numpy(zero_copy_only=False)
             by = np.lexsort((x.number, ids[x.row], x.sign))
             first[by[np.concatenate([[True], np.diff(x.sign[by]) != 0])] if len(by) else by] = True
-            use = (place < (x.size - needed(x.size, t) + 1)[line]) & first[line]
-            line, word, place = line[use], word[use], place[use]
-            columns = [word, x.sign[line], ids[x.row[line]], x.number[line], x.size[line], place]
+            use = (place < (x.size - needed(x.size, t) + 1)[x.line]) & first[x.line]
+            line = x.line[use]
+            columns = [x.hash[use].view(np.int64), x.sign[line], ids[x.row[line]], x.number[line], x.size[line], place[use]]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["word", "sign", "doc_id", "number", "size", "place"])
 
     return run
@@ -107,6 +165,11 @@ def _meet(t: float):
 
         def flush(x, whole):
             nonlocal held, crowd
+            if x.shape[1]:  # a set comes once, at its earliest line
+                by = np.lexsort((np.arange(x.shape[1]), x[1], x[0]))
+                new = np.ones(len(by), bool)
+                new[1:] = (np.diff(x[0][by]) != 0) | (np.diff(x[1][by]) != 0)
+                x = x[:, np.sort(by[new])]
             word = x[0]
             begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([begin, [len(word)]]))
@@ -141,31 +204,24 @@ def _meet(t: float):
             a, b = np.concatenate(a), np.concatenate(b)
             lo, hi = np.minimum(a, b), np.maximum(a, b)
             if len(lo):
-                lo, hi = np.unique(np.stack([lo, hi]), axis=1)
+                by = np.lexsort((hi, lo))
+                lo, hi = lo[by], hi[by]
+                new = np.ones(len(lo), bool)
+                new[1:] = (np.diff(lo) != 0) | (np.diff(hi) != 0)
+                lo, hi = lo[new], hi[new]
                 null = pa.nulls(len(lo), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), null, null, null, null, null], names)
             if hot.any():
                 yield pa.RecordBatch.from_arrays([pa.array(lead[1][hot]), pa.array(sign[hot]), *(pa.array(c[hot]) for c in (word, x[2], x[3], m, i))], names)
 
+        waiting, rows = [], 0
         for b in batches:
-            yield from flush(np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])], axis=1), False)
-        yield from flush(held, True)
-
-    return run
-
-
-def _texts(bits: np.ndarray):
-    """(sign, doc_id, number, line) of lines that may be candidates; a set that repeats in these texts is told once."""
-
-    def run(batches):
-        for b in slices(batches):
-            x = Lines(b.column(1))
-            h = x.sign.view(np.uint64) & np.uint64(FILTER - 1)
-            maybe = np.flatnonzero((x.size > 0) & ((bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            by = maybe[np.lexsort((x.number[maybe], ids[x.row[maybe]], x.sign[maybe]))]
-            by = by[np.concatenate([[True], np.diff(x.sign[by]) != 0])] if len(by) else by
-            yield pa.RecordBatch.from_arrays([pa.array(x.sign[by]), pa.array(ids[x.row[by]]), pa.array(x.number[by]), x.text.take(pa.array(by))], ["sign", "doc_id", "number", "line"])
+            waiting.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+            rows += b.num_rows
+            if rows >= AT_ONCE:
+                yield from flush(np.concatenate([held, *waiting], axis=1), False)
+                waiting, rows = [], 0
+        yield from flush(np.concatenate([held, *waiting], axis=1), True)
 
     return run
 
@@ -200,14 +256,10 @@ def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     doc_id are left out. Extra columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    read = stored(docs.mapInArrow(_reader, "doc_id long, print long, n_lines long, signs array<long>, numbers array<long>, sketch array<long>"))
-    often = np.zeros(CELLS, np.int64)
-    for cell, n in read.filter("doc_id IS NULL").select(F.posexplode("sketch")).groupBy("pos").agg(F.sum("col")).collect():  # CELLS rows
-        often[cell] = n
-    by_doc = read.filter("doc_id IS NOT NULL").groupBy("doc_id", "print").agg(F.count("*").alias("copies"), F.first("n_lines").alias("n_lines"), F.first("signs").alias("signs"), F.first("numbers").alias("numbers"))
-    lines = by_doc.select("doc_id", "print", F.explode(F.arrays_zip("signs", "numbers")).alias("l")).select("doc_id", "print", F.col("l.signs").alias("sign"), F.col("l.numbers").alias("number"))
-
-    words = docs.mapInArrow(_prefixes(often, t), "word long, sign long, doc_id long, number long, size long, place long")
+    used = docs.select("text").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    ranked = used.orderBy(F.desc("n"), "word").limit(RANKED).toArrow()
+    order = Order(ranked.column("word").to_numpy().view(np.uint64), ranked.column("n").to_numpy())
+    words = docs.mapInArrow(_prefixes(order, t), "word long, sign long, doc_id long, number long, size long, place long")
     met = stored(words.repartition("word").sortWithinPartitions("word", "doc_id", "number", "sign").mapInArrow(_meet(t), "a long, b long, word long, doc_id long, number long, size long, place long"))
     pairs = met.filter("word IS NULL").select("a", "b").distinct()
     crowd = met.filter("word IS NOT NULL").groupBy("word", F.col("b").alias("sign"), "size", "place").agg(F.min(F.struct("doc_id", "number")).alias("at"), F.first("a").alias("lead"))
@@ -218,8 +270,11 @@ def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     bits = np.zeros(FILTER // 32, np.uint32)
     for part in marks.toArrow().to_batches():  # FILTER / 32 rows at most
         bits[part.column(0).to_numpy()] = part.column(1).to_numpy().astype(np.uint32)
-    whole = docs.mapInArrow(_texts(bits.view(np.uint8)), "sign long, doc_id long, number long, line string")
-    whole = stored(whole.groupBy("sign").agg(F.min(F.struct("doc_id", "number", "line")).alias("first")))
+    read = stored(docs.mapInArrow(_reader(bits), "doc_id long, print long, n_lines long, signs array<long>, numbers array<long>, lines array<string>"))
+    by_doc = read.groupBy("doc_id", "print").agg(F.count("*").alias("copies"), F.first("n_lines").alias("n_lines"))
+    each = read.select("doc_id", "print", F.explode(F.arrays_zip("signs", "numbers", "lines")).alias("l")).select("doc_id", "print", F.col("l.signs").alias("sign"), F.col("l.numbers").alias("number"), F.col("l.lines").alias("line"))
+    lines = each.select("doc_id", "print", "sign", "number")
+    whole = stored(each.filter("line IS NOT NULL").groupBy("sign").agg(F.min(F.struct("doc_id", "number", "line")).alias("first")))
 
     gone = stored(_similar(pairs, whole, t))
     left = crowd.filter("sign != lead").join(gone, "sign", "left_anti").select("word", *[F.col(c).alias("_" + c) for c in ("sign", "size", "place", "at")])
@@ -228,7 +283,7 @@ def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     gone = gone.unionByName(_similar(rest, whole, t)).distinct().withColumn("gone", F.lit(True))
 
     first = lines.groupBy("sign").agg(F.min(F.struct("doc_id", "number")).alias("first")).join(gone, "sign", "left")
-    bad = lines.join(first, "sign").filter(F.col("gone") | (F.col("first") != F.struct("doc_id", "number"))).groupBy("doc_id", "print").agg(F.array_sort(F.collect_list("number")).alias("removed"))
+    bad = lines.join(first, "sign").filter(F.col("gone") | (F.col("first") != F.struct("doc_id", "number"))).groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("number")).alias("removed"))
     out = by_doc.select("doc_id", "print", "n_lines", "copies").join(bad, ["doc_id", "print"], "left")
     return out.select(F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "*").select("doc_id", "print", "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
 
