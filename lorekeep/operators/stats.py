@@ -78,9 +78,9 @@ def profile_summary(profile_facts: DataFrame, shown: int = 2) -> DataFrame:
 
 
 def chunk_table(chunks: DataFrame, shown: int | None = 10) -> DataFrame:
-    """(chunk_id, n_conversations, tokens) of the first chunks, and TOTAL as chunk_id null over all."""
+    """(chunk_id, n_conversations, tokens) of the first chunks, and the totals over all as chunk_id -1."""
     each = chunks.groupBy("chunk_id").agg(F.count("*").alias("n_conversations"), F.sum("tokens").cast("long").alias("tokens"))
-    total = each.agg(F.lit(None).cast(each.schema["chunk_id"].dataType).alias("chunk_id"), F.sum("n_conversations").alias("n_conversations"), F.sum("tokens").alias("tokens"))
+    total = each.agg(F.lit(-1).cast(each.schema["chunk_id"].dataType).alias("chunk_id"), F.sum("n_conversations").alias("n_conversations"), F.sum("tokens").alias("tokens"))
     return (each.orderBy("chunk_id").limit(shown) if shown else each).unionByName(total)
 
 
