@@ -1,0 +1,33 @@
+import json
+
+from lorekeep.plans import pipeline
+from lorekeep.streaming import ingest
+
+DATA = [{"uuid": f"u{i}", "name": f"Talk {i}", "created_at": "2024-01-02T03:04:05Z", "chat_messages": [{"uuid": f"m{i}{k}", "sender": "human" if k % 2 == 0 else "assistant", "text": f"I like topic {i}{k} a lot. More words follow.", "created_at": "2024-01-02T03:04:05Z"} for k in range(4)]} for i in range(6)]
+
+
+def test_export_to_profile_and_resume(spark, tmp_path):
+    (tmp_path / "export.json").write_text(json.dumps(DATA))
+    (tmp_path / "memories.json").write_text(json.dumps([{"conversations_memory": "likes tea"}]))
+    s = pipeline.Settings(str(tmp_path / "export.json"), str(tmp_path / "state"), str(tmp_path / "out"), chunk_tokens=120)
+    got = pipeline.run(spark, s)
+    assert got["kind"] == "claude" and got["trusted"] == "likes tea" and got["chunks"].count() > 1
+    assert dict(got["counts"])["facts"] == 12 == dict(got["counts"])["verified"]
+    assert "I like topic 00 a lot." in open(got["paths"][0]).read()
+    again = pipeline.run(spark, s)
+    assert again["counts"] == got["counts"]
+    demo = pipeline.run(spark, pipeline.Settings(s.source, s.folder, s.output, demo=True))
+    assert demo["chunks"].count() == 1
+
+
+def test_streaming_ingestion(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    args = (spark, str(inbox), str(tmp_path / "tables"), str(tmp_path / "ck"))
+    (inbox / "a.json").write_text(json.dumps(DATA[:2]))
+    ingest.ingest(*args).awaitTermination()
+    (inbox / "b.json").write_text(json.dumps(DATA[2:]))
+    ingest.ingest(*args).awaitTermination()
+    assert ingest.read_table(spark, str(tmp_path / "tables"), "messages").count() == 24
+    ingest.ingest(*args).awaitTermination()
+    assert ingest.read_table(spark, str(tmp_path / "tables"), "conversations").count() == 6
