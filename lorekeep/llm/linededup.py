@@ -74,7 +74,8 @@ class Lines:
             sorted_hashes = np.empty_like(hashes)
             sorted_hashes[rank] = hashes
             ids, hashes = rank[ids], sorted_hashes
-        both = np.unique(np.repeat(np.arange(len(counts)), counts) << 32 | ids)
+        both = np.sort(np.repeat(np.arange(len(counts)), counts) << 32 | ids)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
         self.line, word = both >> 32, both & 0xFFFFFFFF
         self.hash = hashes[word]
         self.size = np.bincount(self.line, minlength=len(self.text)).astype(np.int64)
