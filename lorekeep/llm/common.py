@@ -32,7 +32,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorekeep-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
     gc.collect()
     spark._jvm.System.gc()  # lets Spark drop the shuffle files of plans that are done with

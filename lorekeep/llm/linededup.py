@@ -189,11 +189,12 @@ def _meet(t: float):
                 return
             hot, lead = np.repeat(many, size), np.repeat(lead, size, axis=1)
             word, sign, _, _, m, i = x
-            a, b = [], []
+            a, b, at = [], [], []
             ok = hot & (sign != lead[1])
             ok[ok] = _may_match(m[ok], i[ok], lead[4][ok], lead[5][ok], t)
             a.append(lead[1][ok])
             b.append(sign[ok])
+            at.append(lead[2:4, ok])
             for d in range(1, PAIRED):
                 same = (word[d:] == word[:-d]) & ~hot[d:]
                 if not same.any():
@@ -202,16 +203,15 @@ def _meet(t: float):
                 p = p[(sign[p] != sign[p + d]) & _may_match(m[p], i[p], m[p + d], i[p + d], t)]
                 a.append(sign[p])
                 b.append(sign[p + d])
-            a, b = np.concatenate(a), np.concatenate(b)
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            if len(lo):
-                by = np.lexsort((hi, lo))
-                lo, hi = lo[by], hi[by]
-                new = np.ones(len(lo), bool)
-                new[1:] = (np.diff(lo) != 0) | (np.diff(hi) != 0)
-                lo, hi = lo[new], hi[new]
-                null = pa.nulls(len(lo), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), null, null, null, null, null], names)
+                at.append(x[2:4, p])
+            a, b, at = np.concatenate(a), np.concatenate(b), np.concatenate(at, axis=1)
+            if len(a):
+                by = np.lexsort((b, a))
+                new = np.ones(len(a), bool)
+                new[1:] = (np.diff(a[by]) != 0) | (np.diff(b[by]) != 0)
+                a, b, at = a[by[new]], b[by[new]], at[:, by[new]]
+                null = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), null, pa.array(at[0]), pa.array(at[1]), null, null], names)
             if hot.any():
                 yield pa.RecordBatch.from_arrays([pa.array(lead[1][hot]), pa.array(sign[hot]), *(pa.array(c[hot]) for c in (word, x[2], x[3], m, i))], names)
 
@@ -227,25 +227,41 @@ def _meet(t: float):
     return run
 
 
+def _alike(p: set, q: set, t: float) -> bool:
+    both = len(p & q)
+    return both >= t * (len(p) + len(q) - both) - 1e-9
+
+
+def _against_hub(t: float):
+    """Rows (hub, member, sign, doc_id, number, line) sorted by the first two: of each member like its hub, the later of the two."""
+
+    def run(batches):
+        hub, words, place = None, set(), ()
+        for b in batches:
+            out = []
+            for h, member, sign, doc, number, line in zip(*(c.to_pylist() for c in b.columns[:5]), b.column(5).cast(pa.binary()).to_pylist(), strict=True):
+                if not member:
+                    hub, words, place = h, set(line.split()), (doc, number, sign)
+                elif h == hub and _alike(words, set(line.split()), t):
+                    out.append(max(place, (doc, number, sign))[2])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["sign"])
+
+    return run
+
+
 def _verify(t: float):
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x").cast(pa.binary()).to_pylist(), b.column("y").cast(pa.binary()).to_pylist(), strict=True):
-                p, q = set(x.split()), set(y.split())
-                both = len(p & q)
-                keep.append(both >= t * (len(p) + len(q) - both) - 1e-9)
+            keep = [_alike(set(x.split()), set(y.split()), t) for x, y in zip(b.column("x").cast(pa.binary()).to_pylist(), b.column("y").cast(pa.binary()).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("later").filter(pa.array(keep, pa.bool_()))], ["sign"])
 
     return run
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
-    """(sign) of each pair's later line, of pairs (a, b) that are similar. lines: (sign, first struct with line)."""
-    one, two = lines.select(F.col("sign").alias("a"), F.col("first").alias("p")), lines.select(F.col("sign").alias("b"), F.col("first").alias("q"))
-    met = pairs.join(one, "a").join(two, "b")
-    after = F.struct("p.doc_id", "p.number", "a") > F.struct("q.doc_id", "q.number", "b")
-    return met.select(F.when(after, F.col("a")).otherwise(F.col("b")).alias("later"), F.col("p.line").alias("x"), F.col("q.line").alias("y")).mapInArrow(_verify(t), "sign long").distinct()
+    """(sign) of each pair's later line, of pairs (earlier, later) that are similar. lines: (sign, line)."""
+    one, two = lines.select(F.col("sign").alias("earlier"), F.col("line").alias("x")), lines.select(F.col("sign").alias("later"), F.col("line").alias("y"))
+    return pairs.join(one, "earlier").join(two, "later").select("later", "x", "y").mapInArrow(_verify(t), "sign long").distinct()
 
 
 def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
@@ -262,7 +278,7 @@ def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     order = Order(ranked.column("word").to_numpy().view(np.uint64), ranked.column("n").to_numpy())
     words = docs.mapInArrow(_prefixes(order, t), "word long, sign long, doc_id long, number long, size long, place long")
     met = stored(words.repartition("word").sortWithinPartitions("word", "doc_id", "number", "sign").mapInArrow(_meet(t), "a long, b long, word long, doc_id long, number long, size long, place long"))
-    pairs = met.filter("word IS NULL").select("a", "b").distinct()
+    pairs = met.filter("word IS NULL")
     crowd = met.filter("word IS NOT NULL").groupBy("word", F.col("b").alias("sign"), "size", "place").agg(F.min(F.struct("doc_id", "number")).alias("at"), F.first("a").alias("lead"))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionByName(crowd.select(F.col("sign").alias("s")))
@@ -275,15 +291,34 @@ def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     by_doc = read.groupBy("doc_id", "print").agg(F.count("*").alias("copies"), F.first("n_lines").alias("n_lines"))
     each = read.select("doc_id", "print", F.explode(F.arrays_zip("signs", "numbers", "lines")).alias("l")).select("doc_id", "print", F.col("l.signs").alias("sign"), F.col("l.numbers").alias("number"), F.col("l.lines").alias("line"))
     lines = each.select("doc_id", "print", "sign", "number")
-    whole = stored(each.filter("line IS NOT NULL").groupBy("sign").agg(F.min(F.struct("doc_id", "number", "line")).alias("first")))
-
-    gone = stored(_similar(pairs, whole, t))
-    left = crowd.filter("sign != lead").join(gone, "sign", "left_anti").select("word", *[F.col(c).alias("_" + c) for c in ("sign", "size", "place", "at")])
-    near = f"sign != _sign AND at < _at AND least(size, _size) >= ceil({t} * greatest(size, _size) - 1e-9) AND least(size - place, _size - _place) >= ceil({t / (1 + t)} * (size + _size) - 1e-9)"
-    rest = left.join(crowd, "word").filter(near).select(F.least("sign", "_sign").alias("a"), F.greatest("sign", "_sign").alias("b")).distinct()
-    gone = gone.unionByName(_similar(rest, whole, t)).distinct().withColumn("gone", F.lit(True))
-
-    first = lines.groupBy("sign").agg(F.min(F.struct("doc_id", "number")).alias("first")).join(gone, "sign", "left")
+    first = stored(lines.groupBy("sign").agg(F.min(F.struct("doc_id", "number")).alias("first")))
+    told = each.filter("line IS NOT NULL").select("sign", "line", F.struct("doc_id", "number").alias("at"))
+    texts = told.join(first, "sign").filter("at = first").dropDuplicates(["sign"]).select("sign", "at.doc_id", "at.number", "line")
+
+    # Each candidate against the earliest line that it may repeat: one shuffle of texts, one set held at a time.
+    star = stored(pairs.groupBy(F.col("b").alias("sign")).agg(F.min_by("a", F.struct("doc_id", "number", "a")).alias("hub")))
+    roles = star.select("sign", "hub", F.lit(1).alias("member")).unionByName(star.select(F.col("hub").alias("sign"), "hub", F.lit(0).alias("member")).distinct())
+    met_hub = texts.join(roles, "sign").select("hub", "member", "sign", "doc_id", "number", "line")
+    gone = stored(met_hub.repartition("hub").sortWithinPartitions("hub", "member").mapInArrow(_against_hub(t), "sign long").distinct())
+
+    # What this leaves, against every earlier line that it may repeat.
+    place = first.select(F.col("sign").alias("_s"), F.col("first").alias("_at"))
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ordered = ordered.join(place.toDF("a", "p"), "a").join(place.toDF("b", "q"), "b")
+    swap = F.struct("p", "a") > F.struct("q", "b")
+    ordered = ordered.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"))
+    done = star.select(F.col("hub").alias("earlier"), F.col("sign").alias("later"))
+    done = done.unionByName(done.select(F.col("later").alias("earlier"), F.col("earlier").alias("later")))
+    ordered = ordered.join(gone, ordered["later"] == gone["sign"], "left_anti").join(done, ["earlier", "later"], "left_anti")
+    left = crowd.filter("sign != lead").join(gone, "sign", "left_anti").select("word", *[F.col(c).alias("_" + c) for c in ("sign", "size", "place")])
+    near = f"sign != _sign AND least(size, _size) >= ceil({t} * greatest(size, _size) - 1e-9) AND least(size - place, _size - _place) >= ceil({t / (1 + t)} * (size + _size) - 1e-9)"
+    more = left.join(crowd, "word").filter(near).select(F.col("sign").alias("a"), F.col("_sign").alias("b")).distinct()
+    more = more.join(place.toDF("a", "p"), "a").join(place.toDF("b", "q"), "b").filter(F.struct("p", "a") < F.struct("q", "b")).select(F.col("a").alias("earlier"), F.col("b").alias("later"))
+    rest = stored(ordered.unionByName(more).distinct())
+    asked = rest.select(F.explode(F.array("earlier", "later")).alias("sign")).distinct()
+    gone = gone.unionByName(_similar(rest, texts.select("sign", "line").join(asked, "sign", "left_semi"), t)).distinct().withColumn("gone", F.lit(True))
+
+    first = first.join(gone, "sign", "left")
     bad = lines.join(first, "sign").filter(F.col("gone") | (F.col("first") != F.struct("doc_id", "number"))).groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("number")).alias("removed"))
     out = by_doc.select("doc_id", "print", "n_lines", "copies").join(bad, ["doc_id", "print"], "left")
     return out.select(F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "*").select("doc_id", "print", "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
