@@ -24,6 +24,7 @@ SIMILAR = 0.8
 #: A word counts for the order from so many uses in a task's share on, and at most so many words are told apart; bits of
 #: the filter of candidate lines, and the lines of a word that are paired directly. All bound memory; none changes a result.
 OFTEN, RANKED, FILTER, PAIRED = 4, 1 << 18, 1 << 26, 32
+MAPS = 4
 #: Rows that the sorted pass takes at once.
 AT_ONCE = 1 << 16
 
@@ -33,6 +34,10 @@ def needed(m: np.ndarray, t: float = SIMILAR) -> np.ndarray:
     return np.ceil(t * m - 1e-9).astype(np.int64)
 
 
+LISTS = ["sign", "number", "line", "size", *(f"map{k}" for k in range(MAPS))]
+READ = "doc_id long, print long, n_lines long, " + ", ".join(f"{c} array<{'string' if c == 'line' else 'long'}>" for c in LISTS)
+
+
 class Order:
     """How often the frequent words are used, by hash."""
 
@@ -83,8 +88,20 @@ class Lines:
         mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed[word], dtype=np.uint64)])
-        at = starts_of(self.size)
-        self.sign = (sums[at[1:]] - sums[at[:-1]]).view(np.int64)
+        self.at = starts_of(self.size)
+        self.sign = (sums[self.at[1:]] - sums[self.at[:-1]]).view(np.int64)
+
+    def maps(self) -> list[np.ndarray]:
+        """MAPS words of 64 bits for each line: each bit is the parity of the words that hash to it. Two sets differ in as many words at least as bits."""
+        cell = (self.hash >> np.uint64(20)) % np.uint64(64 * MAPS)
+        bit = np.left_shift(np.uint64(1), cell & np.uint64(63))
+        out, full = [], self.size > 0
+        for k in range(MAPS):
+            x = np.zeros(len(self.size), np.uint64)
+            if len(bit):
+                x[full] = np.bitwise_xor.reduceat(np.where(cell >> np.uint64(6) == k, bit, np.uint64(0)), self.at[:-1][full])
+            out.append(x.view(np.int64))
+        return out
 
 
 def _frequent(batches):
@@ -126,8 +143,9 @@ def _reader(bits: np.ndarray):
             told[by[np.concatenate([[True], np.diff(x.sign[by]) != 0])] if len(by) else by] = True
             lines = pc.if_else(pa.array(told[full]), x.text.filter(pa.array(full)), pa.scalar(None, pa.string()))
             prints = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts_of(b.column(1)).cast(pa.binary()).to_pylist()], pa.int64())
-            arrays = [pa.ListArray.from_arrays(at, v) for v in (pa.array(x.sign[full]), pa.array(x.number[full]), lines)]
-            yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array(x.per_row), *arrays], ["doc_id", "print", "n_lines", "signs", "numbers", "lines"])
+            told = told[full]
+            arrays = [pa.array(x.sign[full]), pa.array(x.number[full]), lines, *(pa.array(v[full], mask=~told) for v in (x.size, *x.maps()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array(x.per_row), *(pa.ListArray.from_arrays(at, v) for v in arrays)], ["doc_id", "print", "n_lines", *LISTS])
 
     return run
 
@@ -232,23 +250,6 @@ def _alike(p: set, q: set, t: float) -> bool:
     return both >= t * (len(p) + len(q) - both) - 1e-9
 
 
-def _against_hub(t: float):
-    """Rows (hub, member, sign, doc_id, number, line) sorted by the first two: of each member like its hub, the later of the two."""
-
-    def run(batches):
-        hub, words, place = None, set(), ()
-        for b in batches:
-            out = []
-            for h, member, sign, doc, number, line in zip(*(c.to_pylist() for c in b.columns[:5]), b.column(5).cast(pa.binary()).to_pylist(), strict=True):
-                if not member:
-                    hub, words, place = h, set(line.split()), (doc, number, sign)
-                elif h == hub and _alike(words, set(line.split()), t):
-                    out.append(max(place, (doc, number, sign))[2])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["sign"])
-
-    return run
-
-
 def _verify(t: float):
     def run(batches):
         for b in batches:
@@ -264,6 +265,30 @@ def _similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     return pairs.join(one, "earlier").join(two, "later").select("later", "x", "y").mapInArrow(_verify(t), "sign long").distinct()
 
 
+def _bits(signs: DataFrame) -> np.ndarray:
+    """A filter of FILTER bits by the low parts of the signs (s)."""
+    slot = F.col("s").bitwiseAND(F.lit(FILTER - 1))
+    marks = signs.select(F.shiftright(slot, 5).alias("k"), F.expr("shiftleft(1L, cast(s & 31 AS int))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bit"))
+    bits = np.zeros(FILTER // 32, np.uint32)
+    for part in marks.toArrow().to_batches():  # FILTER / 32 rows at most
+        bits[part.column(0).to_numpy()] = part.column(1).to_numpy().astype(np.uint32)
+    return bits
+
+
+def _texts(each: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sign, line) of the lines of the pairs, and few others: the filter spares the rest the shuffle."""
+    bits = _bits(pairs.select(F.explode(F.array("earlier", "later")).alias("s")))
+
+    def run(sign):
+        import pandas as pd
+
+        low = sign.to_numpy().view(np.uint64) & np.uint64(FILTER - 1)
+        return pd.Series((bits[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & 1 > 0)
+
+    told = each.filter("line IS NOT NULL").select("sign", "line").filter(F.pandas_udf(run, "boolean")("sign"))
+    return told.dropDuplicates(["sign"])
+
+
 def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     """(doc_id, print, n_lines, removed array<long>): the numbers, from 0, of each document's lines that repeat an earlier one.
 
@@ -282,41 +307,30 @@ def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     crowd = met.filter("word IS NOT NULL").groupBy("word", F.col("b").alias("sign"), "size", "place").agg(F.min(F.struct("doc_id", "number")).alias("at"), F.first("a").alias("lead"))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionByName(crowd.select(F.col("sign").alias("s")))
-    slot = F.col("s").bitwiseAND(F.lit(FILTER - 1))
-    marks = wanted.select(F.shiftright(slot, 5).alias("k"), F.expr(f"shiftleft(1L, cast(s & 31 AS int))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bit"))
-    bits = np.zeros(FILTER // 32, np.uint32)
-    for part in marks.toArrow().to_batches():  # FILTER / 32 rows at most
-        bits[part.column(0).to_numpy()] = part.column(1).to_numpy().astype(np.uint32)
-    read = stored(docs.mapInArrow(_reader(bits), "doc_id long, print long, n_lines long, signs array<long>, numbers array<long>, lines array<string>"))
+    read = stored(docs.mapInArrow(_reader(_bits(wanted)), READ))
     by_doc = read.groupBy("doc_id", "print").agg(F.count("*").alias("copies"), F.first("n_lines").alias("n_lines"))
-    each = read.select("doc_id", "print", F.explode(F.arrays_zip("signs", "numbers", "lines")).alias("l")).select("doc_id", "print", F.col("l.signs").alias("sign"), F.col("l.numbers").alias("number"), F.col("l.lines").alias("line"))
+    each = read.select("doc_id", "print", F.explode(F.arrays_zip(*LISTS)).alias("l")).select("doc_id", "print", *[F.col("l")[c].alias(c) for c in LISTS])
     lines = each.select("doc_id", "print", "sign", "number")
+    shape = ["size", *(f"map{k}" for k in range(MAPS))]
     first = stored(lines.groupBy("sign").agg(F.min(F.struct("doc_id", "number")).alias("first")))
-    told = each.filter("line IS NOT NULL").select("sign", "line", F.struct("doc_id", "number").alias("at"))
-    texts = told.join(first, "sign").filter("at = first").dropDuplicates(["sign"]).select("sign", "at.doc_id", "at.number", "line")
-
-    # Each candidate against the earliest line that it may repeat: one shuffle of texts, one set held at a time.
-    star = stored(pairs.groupBy(F.col("b").alias("sign")).agg(F.min_by("a", F.struct("doc_id", "number", "a")).alias("hub")))
-    roles = star.select("sign", "hub", F.lit(1).alias("member")).unionByName(star.select(F.col("hub").alias("sign"), "hub", F.lit(0).alias("member")).distinct())
-    met_hub = texts.join(roles, "sign").select("hub", "member", "sign", "doc_id", "number", "line")
-    gone = stored(met_hub.repartition("hub").sortWithinPartitions("hub", "member").mapInArrow(_against_hub(t), "sign long").distinct())
-
-    # What this leaves, against every earlier line that it may repeat.
-    place = first.select(F.col("sign").alias("_s"), F.col("first").alias("_at"))
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ordered = ordered.join(place.toDF("a", "p"), "a").join(place.toDF("b", "q"), "b")
-    swap = F.struct("p", "a") > F.struct("q", "b")
-    ordered = ordered.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"))
-    done = star.select(F.col("hub").alias("earlier"), F.col("sign").alias("later"))
-    done = done.unionByName(done.select(F.col("later").alias("earlier"), F.col("earlier").alias("later")))
-    ordered = ordered.join(gone, ordered["later"] == gone["sign"], "left_anti").join(done, ["earlier", "later"], "left_anti")
-    left = crowd.filter("sign != lead").join(gone, "sign", "left_anti").select("word", *[F.col(c).alias("_" + c) for c in ("sign", "size", "place")])
-    near = f"sign != _sign AND least(size, _size) >= ceil({t} * greatest(size, _size) - 1e-9) AND least(size - place, _size - _place) >= ceil({t / (1 + t)} * (size + _size) - 1e-9)"
-    more = left.join(crowd, "word").filter(near).select(F.col("sign").alias("a"), F.col("_sign").alias("b")).distinct()
-    more = more.join(place.toDF("a", "p"), "a").join(place.toDF("b", "q"), "b").filter(F.struct("p", "a") < F.struct("q", "b")).select(F.col("a").alias("earlier"), F.col("b").alias("later"))
-    rest = stored(ordered.unionByName(more).distinct())
-    asked = rest.select(F.explode(F.array("earlier", "later")).alias("sign")).distinct()
-    gone = gone.unionByName(_similar(rest, texts.select("sign", "line").join(asked, "sign", "left_semi"), t)).distinct().withColumn("gone", F.lit(True))
+    known = stored(each.filter("line IS NOT NULL").select("sign", F.struct("doc_id", "number").alias("first"), *shape).join(first, ["sign", "first"]).dropDuplicates(["sign"]))
+
+    # The bound by the maps leaves few pairs but similar ones; only their texts are gathered.
+    one, two = (known.select(*[F.col(c).alias(p + c) for c in known.columns]) for p in "pq")
+    differ = sum((F.bit_count(F.col(f"pmap{k}").bitwiseXOR(F.col(f"qmap{k}"))) for k in range(MAPS)), F.lit(0))
+    close = differ <= F.floor((1 - t) / (1 + t) * (F.col("psize") + F.col("qsize")) + 1e-9)
+    before = F.struct("pfirst", "psign") < F.struct("qfirst", "qsign")
+    ends = [F.when(before, F.col("psign")).otherwise(F.col("qsign")).alias("earlier"), F.when(before, F.col("qsign")).otherwise(F.col("psign")).alias("later")]
+    met_pairs = pairs.select(F.least("a", "b").alias("psign"), F.greatest("a", "b").alias("qsign")).distinct().join(one, "psign").join(two, "qsign").filter(close)
+    likely = stored(met_pairs.select(*ends))
+    gone = stored(_similar(likely, _texts(each, first, likely), t))
+
+    # Lines of crowded words that this leaves, against every earlier line there.
+    left = crowd.filter("sign != lead").join(gone, "sign", "left_anti").select("word", F.col("sign").alias("qsign"), F.col("place").alias("_place")).join(two, "qsign")
+    room = F.least(F.col("psize") - F.col("place"), F.col("qsize") - F.col("_place")) >= F.ceil(t / (1 + t) * (F.col("psize") + F.col("qsize")) - 1e-9)
+    here = crowd.select("word", F.col("sign").alias("psign"), "place").join(one, "psign")
+    rest = stored(left.join(here, (left["word"] == here["word"]) & before & close & room).select(*ends).distinct())
+    gone = gone.unionByName(_similar(rest, _texts(each, first, rest), t)).distinct().withColumn("gone", F.lit(True))
 
     first = first.join(gone, "sign", "left")
     bad = lines.join(first, "sign").filter(F.col("gone") | (F.col("first") != F.struct("doc_id", "number"))).groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("number")).alias("removed"))
