@@ -304,7 +304,7 @@ def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     words = docs.mapInArrow(_prefixes(order, t), "word long, sign long, doc_id long, number long, size long, place long")
     met = stored(words.repartition("word").sortWithinPartitions("word", "doc_id", "number", "sign").mapInArrow(_meet(t), "a long, b long, word long, doc_id long, number long, size long, place long"))
     pairs = met.filter("word IS NULL")
-    crowd = met.filter("word IS NOT NULL").groupBy("word", F.col("b").alias("sign"), "size", "place").agg(F.min(F.struct("doc_id", "number")).alias("at"), F.first("a").alias("lead"))
+    crowd = met.filter("word IS NOT NULL").groupBy("word", F.col("b").alias("sign"), "size", "place").agg(F.min("a").alias("lead"))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionByName(crowd.select(F.col("sign").alias("s")))
     read = stored(docs.mapInArrow(_reader(_bits(wanted)), READ))
@@ -325,11 +325,11 @@ def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     likely = stored(met_pairs.select(*ends))
     gone = stored(_similar(likely, _texts(each, first, likely), t))
 
-    # Lines of crowded words that this leaves, against every earlier line there.
-    left = crowd.filter("sign != lead").join(gone, "sign", "left_anti").select("word", F.col("sign").alias("qsign"), F.col("place").alias("_place")).join(two, "qsign")
-    room = F.least(F.col("psize") - F.col("place"), F.col("qsize") - F.col("_place")) >= F.ceil(t / (1 + t) * (F.col("psize") + F.col("qsize")) - 1e-9)
-    here = crowd.select("word", F.col("sign").alias("psign"), "place").join(one, "psign")
-    rest = stored(left.join(here, (left["word"] == here["word"]) & before & close & room).select(*ends).distinct())
+    # Lines of crowded words that this leaves, against every other line there: by length and place first, then by the maps.
+    left = crowd.filter("sign != lead").join(gone, "sign", "left_anti").select("word", *[F.col(c).alias("_" + c) for c in ("sign", "size", "place")])
+    near = f"sign != _sign AND least(size, _size) >= ceil({t} * greatest(size, _size) - 1e-9) AND least(size - place, _size - _place) >= ceil({t / (1 + t)} * (size + _size) - 1e-9)"
+    more = left.join(crowd.select("word", "sign", "size", "place"), "word").filter(near).select(F.least("sign", "_sign").alias("psign"), F.greatest("sign", "_sign").alias("qsign")).distinct()
+    rest = stored(more.join(one, "psign").join(two, "qsign").filter(close).select(*ends))
     gone = gone.unionByName(_similar(rest, _texts(each, first, rest), t)).distinct().withColumn("gone", F.lit(True))
 
     first = first.join(gone, "sign", "left")
