@@ -1,128 +1,71 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Every token is a customer in the restaurant of the word before it. The CONTEXTS - 1 most frequent words and the start of
-a text have restaurants of their own; all other words share those of their endings, which are also the parents of the
-former; the root is the parent of these. Dishes are the DISHES - 1 most frequent words and one for all rarer words,
-within which a Pitman-Yor restaurant over words takes over. Seatings are Chinese-restaurant draws, resampled from the
-leaves to the root in Gibbs sweeps; predictive probabilities are averaged over the sweeps after the burn-in.
-
-Counts cover every training token. The counts of the LOCAL most frequent words go to all tasks; tokens of rarer words
-meet their counts in a join, so that no vocabulary has to fit anywhere.
+Every token is a customer in the restaurant of the word before it; every word that comes before another, and the start of
+a text, has a restaurant of its own, and every word is a dish. The parent of all of them is a restaurant over words. The
+(context, word) counts are a table that is dealt by word or by context, so contexts and dishes grow with the corpus and
+none has to fit anywhere but the words after one context. Seatings are Chinese-restaurant draws: the leaves are seated in
+sweeps, whole contexts in a task, under a root in which each (context, word) has one table; the root then takes the
+leaves' tables as its customers and is seated in sweeps of its own. Predictive probabilities are averaged over the sweeps
+after the burn-in.
+
+Tokens meet the probabilities of their (context, word) in a join; those of the LOCAL most frequent ones go to all tasks.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import LOWER, crc_mod, slices, starts_of, stored, texts_of, tokens
 
-CONTEXTS, CLASSES, DISHES = 256, 256, 8192
-ENDING = 3
-#: Words whose counts are broadcast, at most.
+#: Pairs of context and word whose probabilities are broadcast, at most.
 LOCAL = 1 << 18
 BURN_IN, SWEEPS = 4, 6
 STRENGTH = 1.0
 #: Customers of one dish that are seated one by one; the tables of later ones are drawn at once.
 ONE_BY_ONE = 64
-#: The hash that stands for the end of a text.
+#: The hashes that stand for the end of a text and for its start.
 END = xxhash.xxh3_64_intdigest(b"\n end") - (1 << 63)
-SCORED = "doc_id long, key long, held_out boolean, n_tokens long, n_known long, base double, score double, far long, words array<long>, times array<long>"
+START = xxhash.xxh3_64_intdigest(b"\n start") - (1 << 63)
+#: Pairs that one task seats at once, about; a context is never parted.
+AT_ONCE = 1 << 19
+SCORED = "doc_id long, key long, held_out boolean, n_tokens long, n_known long, base double, score double, far long, pairs array<long>, times array<long>"
 
 
-def _words(column: pa.Array):
-    """(place of each word among the different ones, their hashes, their endings' classes, words of each text)."""
+def _tokens(column: pa.Array):
+    """Per token, ends included: the place of the word before it and its own; hashes by place; and tokens of each text."""
     flat, counts = tokens(texts_of(column, LOWER))
     d = flat.dictionary_encode()
     words = d.dictionary.cast(pa.binary()).to_pylist()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
-    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), hashes, np.array([zlib.crc32(w[-ENDING:]) % CLASSES for w in words], np.int64), counts
-
-
-def _counter(batches):
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged():
-        w, n = (np.concatenate(x) for x in zip(*held))
-        every, at = np.unique(w, return_inverse=True)
-        return every, np.bincount(at, n, len(every)).astype(np.int64)
-
-    size = 0
-    for b in slices(batches, text=0):
-        ids, hashes, _, counts = _words(b.column(0))
-        held.append((np.append(hashes, END), np.append(np.bincount(ids, minlength=len(hashes)), len(counts))))
-        size += len(hashes)
-        if size > 1 << 21:  # memory is bounded: what there is goes out, and is added up later
-            w, n = merged()
-            held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["word", "n"])
-    if held:
-        w, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["word", "n"])
-
-
-class Known:
-    """The counts of the most frequent words, by hash; the first of them are dishes and contexts."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        self.total, self.distinct = total, distinct
-        best = np.lexsort((words, -counts))
-        rank = np.empty(len(words), np.int64)
-        rank[best] = np.arange(len(words))
-        by = np.argsort(words)
-        self.words, self.counts = words[by], counts[by]
-        self.dish = np.where(rank[by] < DISHES - 1, rank[by], DISHES - 1)
-        # A context needs a word after it: the end has none.
-        real = best[words[best] != END][: CONTEXTS - 1]
-        context = np.full(len(words), -1)
-        context[real] = np.arange(1, len(real) + 1)
-        self.context = context[by]
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
-        return np.where(self.words[at] == hashes, at, -1) if len(self.words) else np.full(len(hashes), -1)
-
-    def leaves(self, column: pa.Array):
-        """Per token, ends included: its place in the dictionary or -1, its word's hash, its restaurant, its dish; and tokens of each text."""
-        ids, hashes, endings, counts = _words(column)
-        at = self.find(np.append(hashes, END))
-        row = np.repeat(np.arange(len(counts)), counts)
-        n = counts + 1
-        token = np.full(n.sum(), len(hashes))
-        token[np.arange(len(ids)) + row] = ids
-        first = starts_of(n)[:-1]
-        context = np.append(np.where(at[:-1] >= 0, self.context[at[:-1]], -1) if len(self.words) else np.full(len(hashes), -1), -1)
-        leaf = np.where(context >= 0, context, CONTEXTS + np.append(endings, 0))
-        before = np.zeros(len(token), np.int64)
-        before[1:] = leaf[token[:-1]]
-        before[first] = 0
-        dish = np.where(at >= 0, self.dish[at], DISHES - 1) if len(self.words) else np.full(len(at), DISHES - 1)
-        return at[token], np.append(hashes, END)[token], before, dish[token], n
-
-
-def _pairs(known: Known):
-    def run(batches):
-        cells = np.zeros((CONTEXTS + CLASSES) * DISHES, np.int64)
-        for b in slices(batches, text=0):
-            _, _, leaf, dish, _ = known.leaves(b.column(0))
-            cell, n = np.unique(leaf * DISHES + dish, return_counts=True)
-            cells[cell] += n
-        some = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], ["cell", "n"])
-
-    return run
-
-
-def _parents(batches):
-    """(context word's hash, class) of each word: a context's parent is the restaurant of its ending."""
-    for b in slices(batches, text=0):
-        _, hashes, endings, _ = _words(b.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(endings)], ["word", "class"])
+    hashes = np.array([*(xxhash.xxh3_64_intdigest(w) for w in words), END % (1 << 64), START % (1 << 64)], np.uint64).view(np.int64)
+    ids, n = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts + 1
+    token = np.full(n.sum(), len(words))
+    token[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    before = np.empty(len(token), np.int64)
+    before[1:] = token[:-1]
+    before[starts_of(n)[:-1]] = len(words) + 1
+    return before, token, hashes, n
+
+
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of both hashes."""
+    x, y = context.view(np.uint64), word.view(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + y
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _pairs(batches):
+    """(context, word, n): training tokens of each pair in a slice; pairs of held-out texts alone come with none."""
+    for b in slices(batches, text=0, limit=16 << 20):
+        before, token, hashes, n = _tokens(b.column(0))
+        pair, at = np.unique(before * len(hashes) + token, return_inverse=True)
+        trained = np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)
+        count = np.bincount(at, trained, len(pair)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[pair // len(hashes)]), pa.array(hashes[pair % len(hashes)]), pa.array(count)], ["context", "word", "n"])
 
 
 def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -202,22 +145,43 @@ def sample(leaves: np.ndarray, parents: np.ndarray, seed: int = 1) -> np.ndarray
     return total / SWEEPS
 
 
+def mean_tables(times: np.ndarray, words: np.ndarray, pull: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Mean tables of words[i] dishes of times[i] customers each: few dishes one by one, many by how many have k tables."""
+    few, out = words <= 500, np.empty(len(times))
+    each = words[few].astype(np.int64)
+    t = seat(np.repeat(times[few], each).astype(float), np.full(each.sum(), pull), discount, rng)
+    out[few] = np.bincount(np.repeat(np.arange(len(each)), each), t, len(each)) / each
+    for i in np.flatnonzero(~few).tolist():
+        c = int(times[i])
+        having = np.zeros(min(c, ONE_BY_ONE) + 2, np.int64)  # dishes by their tables
+        having[1] = words[i]
+        k = np.arange(len(having))
+        for n in range(1, min(c, ONE_BY_ONE)):
+            new = rng.binomial(having, np.clip(pull / (n - discount * k + pull), 0, 1))
+            having -= new
+            having[1:] += new[:-1]
+        total = float((having * k).sum())
+        if c > ONE_BY_ONE:
+            low = ONE_BY_ONE - discount * k + pull
+            total += float(np.minimum(rng.poisson(having * pull * np.log((c - ONE_BY_ONE + low) / low)), having * (c - ONE_BY_ONE)).sum())
+        out[i] = total / words[i]
+    return out
+
+
 def rare_words(times: np.ndarray, words: np.ndarray, seed: int = 2) -> tuple[np.ndarray, float]:
-    """Within the dish of rarer words: the averaged probability of a word by its count (times), and of one never seen.
+    """In the root: the averaged probability of a word by its customers (times), and of one never seen.
 
-    words[i] words have times[i] customers each. Words of one count are exchangeable: a bounded number of them are
-    seated, and their mean tables stand for all.
+    words[i] words have times[i] customers each. Every word is seated; words of one count are exchangeable, so only how
+    many of them have how many tables is drawn, and their mean tables give the probability of each.
     """
     total, base = float((times * words).sum()), 1 / (words.sum() + 1)
     if not len(times):
         return np.zeros(0), 1.0
     d = float(np.clip((words[times == 1].sum() + 1) / (words[times == 1].sum() + 2 * words[times == 2].sum() + 2), 0.1, 0.95))
     rng, tables, out, none = np.random.default_rng(seed), float(words.sum()), np.zeros(len(times)), 0.0
-    each = np.minimum(words, 500).astype(np.int64)
     for sweep in range(BURN_IN + SWEEPS):
         pull = (STRENGTH + d * tables) * base
-        t = seat(np.repeat(times, each).astype(float), np.full(each.sum(), pull), d, rng)
-        mean = np.bincount(np.repeat(np.arange(len(times)), each), t, len(times)) / each
+        mean = mean_tables(times, words, pull, d, rng)
         tables = float((mean * words).sum())
         if sweep >= BURN_IN:
             spare = (STRENGTH + d * tables) * base
@@ -226,55 +190,119 @@ def rare_words(times: np.ndarray, words: np.ndarray, seed: int = 2) -> tuple[np.
     return out / SWEEPS, none / SWEEPS
 
 
-class Model:
-    def __init__(self, known: Known, predictive: np.ndarray, times: np.ndarray, rare: np.ndarray, never: float):
-        self.known, self.log = known, np.log10(predictive).astype(np.float32)
-        self.times, self.log_rare, self.log_never = times, np.log10(rare), float(np.log10(never))
+class Root:
+    """Probabilities of words by their customers in the root."""
+
+    def __init__(self, customers: np.ndarray, words: np.ndarray):
+        self.customers = customers
+        self.p, self.never = rare_words(customers, words)
+
+    def of(self, customers: np.ndarray) -> np.ndarray:
+        if not len(self.customers):
+            return np.full(len(customers), self.never)
+        at = np.minimum(np.searchsorted(self.customers, customers), len(self.customers) - 1)
+        return np.where(customers > 0, self.p[at], self.never)
+
+
+def seat_contexts(group: np.ndarray, n: np.ndarray, root: np.ndarray, discount: float, rng: np.random.Generator):
+    """(tables in the last sweep, own, back) of each pair: its probability is own + back * the root's; group: its context, from 0."""
+    total = STRENGTH + np.bincount(group, n)
+    tables, mean, many = (n > 0).astype(float), np.zeros(len(n)), np.flatnonzero(n > 1)
+    for sweep in range(BURN_IN + SWEEPS):
+        pull = (STRENGTH + discount * np.bincount(group, tables)[group[many]]) * root[many]
+        tables[many] = seat(n[many].astype(float), pull, discount, rng)
+        if sweep >= BURN_IN:
+            mean += tables / SWEEPS
+    return tables.astype(np.int64), (n - discount * mean) / total[group], ((STRENGTH + discount * np.bincount(group, mean)) / total)[group]
+
+
+def _seater(root: Root, discount: float):
+    """Rows (context, word, n, kinds, total) sorted by context."""
+    names = ["word", "pair", "n", "kinds", "total", "tables", "own", "back"]
+
+    def run(batches):
+        held, waiting, rows = np.zeros((5, 0), np.int64), [], 0
+
+        def seated(x):
+            context, word, n, kinds, total = x
+            group = np.cumsum(np.concatenate([[0], np.diff(context) != 0]))
+            tables, own, back = seat_contexts(group, n, root.of(kinds), discount, np.random.default_rng(int(context[0]) % (1 << 63)))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (word, pair_key(context, word), n, kinds, total, tables, own, back)], names)
+
+        for b in batches:
+            waiting.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+            rows += b.num_rows
+            if rows >= AT_ONCE:
+                held = np.concatenate([held, *waiting], axis=1)
+                waiting, rows = [], 0
+                cut = int(np.searchsorted(held[0], held[0, -1]))  # the last context may go on
+                if cut:
+                    yield seated(held[:, :cut])
+                    held = held[:, cut:].copy()
+        held = np.concatenate([held, *waiting], axis=1)
+        if held.shape[1]:
+            yield seated(held)
+
+    return run
+
 
-    def rare(self, counts: np.ndarray) -> np.ndarray:
-        if not len(self.times):
-            return np.full(len(counts), self.log_never)
-        at = np.minimum(np.searchsorted(self.times, counts), len(self.times) - 1)
-        return np.where(counts > 0, self.log_rare[at], self.log_never)
+def _pricer(root: Root):
+    def run(batches):
+        for b in batches:
+            pair, n, customers, total, own, back = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, n, (total > 0).astype(np.int64), np.log10(total + 1.0), np.log10(own + back * root.of(customers)))], ["pair", "n", "known", "base", "score"])
+
+    return run
 
 
-def _scorer(model: Model):
-    known = model.known
+def _scorer(pairs: np.ndarray, values: np.ndarray):
+    """pairs: sorted; values: (known, base, score) of each."""
 
     def run(batches):
         kind = pa.list_(pa.int64())
         for b in slices(batches):
-            at, word, leaf, dish, n = known.leaves(b.column(1))
+            before, token, hashes, n = _tokens(b.column(1))
+            key = pair_key(hashes[before], hashes[token])
+            at = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
+            near = pairs[at] == key if len(pairs) else np.zeros(len(key), bool)
             row, begin = np.repeat(np.arange(len(n)), n), starts_of(n)
-            near = at >= 0
-            count = np.where(near, known.counts[at] if len(known.counts) else 0, 0)
-            score = model.log[leaf, dish].astype(float)
-            inner = near & (dish == DISHES - 1)
-            score[inner] += model.rare(count[inner])
             total = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: E731  every text has an end
+            known, base, score = (total(np.where(near, v[at], 0.0)) if len(pairs) else np.zeros(len(n)) for v in values)
             far = np.flatnonzero(~near)
-            order = far[np.lexsort((word[far], row[far]))]
+            order = far[np.lexsort((key[far], row[far]))]
             first = np.ones(len(order), bool)
-            first[1:] = (np.diff(word[order]) != 0) | (np.diff(row[order]) != 0)
+            first[1:] = (np.diff(key[order]) != 0) | (np.diff(row[order]) != 0)
             first = np.flatnonzero(first)
             times = np.diff(np.append(first, len(order)))
             lists = pa.array(starts_of(np.bincount(row[order[first]], minlength=len(n))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(n), pa.array(total(near.astype(np.int64))), pa.array(total(np.log10(count + 1.0))), pa.array(total(score)), pa.array(total((~near).astype(np.int64))), pa.ListArray.from_arrays(lists, pa.array(word[order[first]])), pa.ListArray.from_arrays(lists, pa.array(times)).cast(kind)],
-                ["doc_id", "key", "held_out", "n_tokens", "n_known", "base", "score", "far", "words", "times"],
+                [b.column(0), b.column(2), b.column(3), pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(total((~near).astype(np.int64))), pa.ListArray.from_arrays(lists, pa.array(key[order[first]])), pa.ListArray.from_arrays(lists, pa.array(times)).cast(kind)],
+                ["doc_id", "key", "held_out", "n_tokens", "n_known", "base", "score", "far", "pairs", "times"],
             )
 
     return run
 
 
-def _priced(model: Model):
-    def run(batches):
-        for b in batches:
-            n = b.column(2).to_numpy(zero_copy_only=False)
-            times = b.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(n > 0, times, 0)), pa.array(times * np.log10(n + 1.0)), pa.array(times * model.rare(n))], ["key", "times", "known", "base", "score"])
+def _spectrum(pairs: DataFrame, customers: str) -> tuple[np.ndarray, np.ndarray]:
+    """(customers, words that have so many) in the root; kinds pairs of each word are trained, so each stands for a part of it."""
+    rows = sorted((r[0], round(r.words)) for r in pairs.filter("n > 0").groupBy(customers).agg(F.sum(1 / F.col("kinds")).alias("words")).collect())  # under sqrt(2 N) rows
+    return np.array([x for x, _ in rows], np.int64), np.array([x for _, x in rows], np.int64)
 
-    return run
+
+def seated(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """(pair, n, known, base, score) of every pair of context and word in docs (text, train): log10 of its probability; training tokens and words."""
+    of_word = Window.partitionBy("word")
+    pairs = docs.mapInArrow(_pairs, "context long, word long, n long").repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    pairs = stored(pairs.select("context", "word", "n", F.sum((F.col("n") > 0).cast("long")).over(of_word).alias("kinds"), F.sum("n").over(of_word).alias("total")))
+    total, one, two = pairs.agg(F.sum("n"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    kinds, words = _spectrum(pairs, "kinds")
+    discount = float(np.clip((one + 1) / (one + 2 * two + 2), 0.1, 0.95))
+    dealt = pairs.repartition("context").sortWithinPartitions("context", "word")
+    drawn = dealt.mapInArrow(_seater(Root(kinds, words), discount), "word long, pair long, n long, kinds long, total long, tables long, own double, back double")
+    drawn = stored(drawn.select("pair", "n", "kinds", F.sum("tables").over(of_word).alias("customers"), "total", "own", "back"))
+    root = Root(*_spectrum(drawn, "customers"))
+    priced = drawn.select("pair", "n", "customers", "total", "own", "back").mapInArrow(_pricer(root), "pair long, n long, known long, base double, score double")
+    return priced, int(total or 0), int(words.sum())
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -282,41 +310,25 @@ def scores(docs: DataFrame) -> DataFrame:
 
     Learns from rows whose crc32 of doc_id mod 7 is not 2. A null text is empty: one end token. Without training rows all
     probabilities are 1. Repeated rows keep a row each, and each counts in training; extra columns are ignored; an empty
-    table gives an empty result. A word is known by a 64-bit hash.
+    table gives an empty result. A word is known by a 64-bit hash, as is a pair of words.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    train = docs.filter(crc_mod("doc_id", 7) != 2).select("text")
-    counts = stored(train.mapInArrow(_counter, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    spectrum = sorted((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect())  # under sqrt(2 N) rows
-    times, words = np.array([x for x, _ in spectrum], np.int64), np.array([x for _, x in spectrum], np.int64)
-    total, distinct = int((times * words).sum()), int(words.sum())
-    more = np.cumsum(words[::-1])[::-1]
+    pairs, total, distinct = seated(docs.select("text", (crc_mod("doc_id", 7) != 2).alias("train")))
+    pairs = stored(pairs)
+    spectrum = sorted((r.n, r.pairs) for r in pairs.groupBy("n").agg(F.count("*").alias("pairs")).collect())  # under sqrt(2 N) rows
+    times, many = np.array([x for x, _ in spectrum], np.int64), np.array([x for _, x in spectrum], np.int64)
+    more = np.cumsum(many[::-1])[::-1]
     least = int(times[more <= LOCAL].min()) if (more <= LOCAL).any() else total + 1
-    local = counts.filter(F.col("n") >= least).toArrow()
-    known = Known(local.column("word").to_numpy(), local.column("n").to_numpy(), total, distinct)
-
-    leaves = np.zeros((CONTEXTS + CLASSES) * DISHES, np.int64)
-    for part in train.mapInArrow(_pairs(known), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most as many as cells
-        leaves[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    parents = np.zeros(CONTEXTS, np.int64)
-    listed = known.words[known.context > 0]
-    if len(listed):
-        found = train.mapInArrow(_parents_of(listed), "word long, class long").distinct().collect()  # one row for each context
-        for word, kind in found:
-            parents[known.context[known.find(np.array([word]))[0]]] = kind
-    dishes = known.counts[known.dish < DISHES - 1]
-    inside = words - np.bincount(np.searchsorted(times, dishes), minlength=len(times)) if len(times) else words
-    rare, never = rare_words(times[inside > 0], inside[inside > 0])
-    model = Model(known, sample(leaves.reshape(-1, DISHES), parents), times[inside > 0], rare, never)
+    local = pairs.filter(F.col("n") >= least).orderBy("pair").toArrow()
+    values = np.stack([local.column(c).to_numpy().astype(float) for c in ("known", "base", "score")])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), (crc_mod("doc_id", 7) == 2).alias("held_out"))
-    near = stored(keyed.mapInArrow(_scorer(model), SCORED))
-    far = near.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    met = far.join(counts.filter(F.col("n") < least), "word", "left").select("key", "times", F.coalesce("n", F.lit(0)).alias("n"))
-    met = met.mapInArrow(_priced(model), "key long, times long, known long, base double, score double")
-    met = met.groupBy("key").agg(*[F.sum(c).alias("far_" + c) for c in ("times", "known", "base", "score")])
+    near = stored(keyed.mapInArrow(_scorer(local.column("pair").to_numpy(), values), SCORED))
+    far = near.select("key", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("key", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
+    met = far.join(pairs.filter(F.col("n") < least), "pair")
+    met = met.groupBy("key").agg(F.sum("times").alias("far_times"), *[F.sum(F.col("times") * F.col(c)).alias("far_" + c) for c in ("known", "base", "score")])
     out = near.join(met, "key", "left")
-    # Equal rows met their words together: each takes its share.
+    # Equal rows met their pairs together: each takes its share.
     part = F.when(F.col("far") > 0, F.col("far") / F.col("far_times")).otherwise(0.0)
     add = lambda c: F.when(F.col("far") > 0, F.col("far_" + c) * part).otherwise(0.0)
     return out.select(
@@ -330,20 +342,6 @@ def scores(docs: DataFrame) -> DataFrame:
     )
 
 
-def _parents_of(listed: np.ndarray):
-    def run(batches):
-        left = listed
-        for b in _parents(batches):
-            word, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new = np.isin(word, left)
-            left = np.setdiff1d(left, word[new])
-            yield pa.RecordBatch.from_arrays([pa.array(word[new]), pa.array(kind[new])], ["word", "class"])
-            if not len(left):
-                return
-
-    return run
-
-
 def perplexity(scored: DataFrame) -> DataFrame:
     """(held_out, perplexity, base_perplexity): a token's, over all documents of each kind."""
     of = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))

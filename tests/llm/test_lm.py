@@ -78,3 +78,28 @@ def test_empty_and_untrained(spark):
     only = next(i for i in range(50) if held(i))
     r = lm.scores(spark.createDataFrame([(only, "a b", 0, "")], SCHEMA)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_every_context_and_word_has_its_own_statistics(spark):
+    """Far more contexts than any fixed inventory: a word's own successor is likely after it, and not after another with the same ending."""
+    rng, n = random.Random(3), 3000
+    rows = [(i, " ".join(f"a{k}same b{k}next" for k in rng.sample(range(n), 40)), 0, "") for i in range(400) if not held(i)]
+    seen = [int(w[1:-4]) for _, t, *_ in rows for w in t.split() if w[0] == "a"]
+    k = [i for i, c in Counter(seen).items() if c > 2]
+    assert len(k) > 2000
+    asked = [i for i in range(1000, 3000) if held(i)][:2]
+    right, wrong = (" ".join(f"a{i}same b{k[(j + by) % len(k)]}next" for j, i in enumerate(k)) for by in (0, 1))
+    got = {r.doc_id: r for r in lm.scores(spark.createDataFrame([*rows, (asked[0], right, 0, ""), (asked[1], wrong, 0, "")], SCHEMA)).filter("held_out").collect()}
+    assert got[asked[0]].base_score == pytest.approx(got[asked[1]].base_score)
+    assert got[asked[0]].score - got[asked[1]].score > 2 * len(k)  # a hundred times as likely, for each pair
+
+
+def test_contexts_are_distributions_and_all_words_are_seated():
+    rng = np.random.default_rng(2)
+    n, root = rng.poisson(1.5, (50, 40)), rng.dirichlet(np.ones(40))
+    _, own, back = lm.seat_contexts(np.repeat(np.arange(50), 40), n.ravel(), np.tile(root, 50), 0.6, rng)
+    p = (own + back * np.tile(root, 50)).reshape(50, 40)
+    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
+    for c in (3, 40, 200):
+        many = lm.mean_tables(np.array([c]), np.array([5000]), 0.8, 0.5, rng)[0]
+        assert abs(many - lm.seat(np.full(5000, float(c)), np.full(5000, 0.8), 0.5, rng).mean()) < 0.05 * many
