@@ -70,3 +70,20 @@ def test_fuzzy_is_the_plain_search(seed):
 @pytest.mark.parametrize("quote,hit", [("i love hiking in the mountans", True), ("completely different words here now", False), ("", False)])
 def test_fuzzy_examples(quote, hit):
     assert bool(fuzzy.fuzzy_find(quote, "last year i said i love hiking in the mountains every summer")) is hit
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_fuzzy_with_insertions_and_deletions(seed):
+    rng = random.Random(seed)
+    whole = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30))
+    longer = list(whole)
+    for k in sorted(rng.sample(range(1, 30), 6 + seed % 3), reverse=True):
+        longer.insert(k, rng.choice("0123456789"))
+    longer = "".join(longer)
+    for quote, text in ((whole, "-----" + longer + "-----"), (longer, "-----" + whole + "-" * 15)):
+        want = brute_fuzzy(quote, text)
+        assert fuzzy.fuzzy_find(quote, text) == want
+        if want:
+            grams = {text[i : i + 3] for i in range(len(text) - 2)}
+            assert sum(quote[i : i + 3] in grams for i in range(len(quote) - 2)) >= fuzzy.shared_grams_needed(len(quote))
+    assert brute_fuzzy(whole, "-----" + longer + "-----")
