@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +46,15 @@ def profile_json(profile: DataFrame) -> str:
     return json.dumps(data, indent=2)
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> str:
-    """Write one file whole: to a name beside it first, then renamed over the old one."""
+def put_text(spark: SparkSession, path: str, text: str | Iterable[str]) -> str:
+    """Write one file whole, from a text or its parts in turn: to a name beside it first, then renamed over the old one."""
     hadoop = spark._jvm.org.apache.hadoop
     at, beside = hadoop.fs.Path(path), hadoop.fs.Path(path + ".part")
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(beside, True)
     try:
-        out.write(bytearray(text.encode()))
+        for part in [text] if isinstance(text, str) else text:
+            out.write(bytearray(part.encode()))
     finally:
         out.close()
     fs.delete(at, False)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import itertools
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -61,12 +62,18 @@ def run(spark: SparkSession, s: Settings) -> dict[str, Any]:
     deduped = kept.save("deduped", dedup.deduplicate(merged, merger, store=lambda df: kept.save(f"round-{next(rounds)}", df)))
     made = distill.distill(deduped, source=f"{kind} export ({conversations.count()} conversations)", generated=str(s.run_ts))
     paths = distill.write_profile(made, s.output)
-    log = verify.discarded(checked)
-    paths.append(distill.put_text(spark, f"{s.output}/hallucinations.log", "\n".join(r.line for r in log.orderBy("fact_ord").limit(10_000).collect())))
+    paths.append(write_log(checked, s.output))
     counts = stats.pipeline_summary(chunks=chunks.count(), facts=facts.count(), verified=verify.verified(checked).count(), deduped=deduped.count())
     return {"kind": kind, "conversations": conversations, "messages": messages, "chunks": chunks, "checked": checked, "aggregated": merged, "deduped": deduped, "profile": made, "paths": paths, "trusted": trusted.context if trusted else None, "counts": counts}
 
 
+def write_log(checked: DataFrame, folder: str) -> str:
+    """hallucinations.log with an entry of every discarded fact, in order; a partition at a time comes to the driver."""
+    rows = verify.discarded(checked).orderBy("fact_ord").toLocalIterator()
+    parts = ("\n".join(r.line for r in some) for some in itertools.batched(rows, 1000))
+    return distill.put_text(checked.sparkSession, f"{folder}/hallucinations.log", (("\n" if k else "") + p for k, p in enumerate(parts)))
+
+
 def chunked(conversations: DataFrame, messages: DataFrame, limit: int) -> DataFrame:
     """(chunk_id, n_conversations, tokens, content)."""
     rendered = render.render_conversations(conversations, messages)

@@ -31,3 +31,11 @@ def test_streaming_ingestion(spark, tmp_path):
     assert ingest.read_table(spark, str(tmp_path / "tables"), "messages").count() == 24
     ingest.ingest(*args).awaitTermination()
     assert ingest.read_table(spark, str(tmp_path / "tables"), "conversations").count() == 6
+
+
+def test_log_has_every_discarded_fact(spark, tmp_path):
+    checked = spark.range(10_050).selectExpr("id AS fact_ord", "concat('fact ', id) AS fact", "'quote' AS source_quote", "'c' AS claimed_convo_id", "true AS has_text", "IF(id % 1000 = 7, 'own_exact', 'discarded') AS resolution")
+    text = open(pipeline.write_log(checked, str(tmp_path))).read()
+    left = [i for i in range(10_050) if i % 1000 != 7]
+    assert text == "\n".join(f"[NOT FOUND] Fact: 'fact {i}...'\n  Quote: 'quote...'\n  Conversation: c" for i in left)
+    assert open(pipeline.write_log(checked.limit(0), str(tmp_path))).read() == ""
