@@ -210,13 +210,20 @@ def verify_summary(spark: SparkSession, d: str) -> DataFrame:
     return _checked(spark, d).groupBy("resolution").agg(F.count("*").alias("n"))
 
 
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence or line of the user turns, with its own order: conversation, turn, place."""
+    m = tables.messages(spark, d).filter("role = 'user'")
+    each = m.select("*", F.posexplode(F.split("content", "[.\n]")).alias("place", "cut")).withColumn("sentence", F.trim("cut")).filter("sentence != ''")
+    return each.withColumn("fact_ord", (F.col("conv_ord") * 100_000 + F.col("msg_ord")) * 1_000_000 + F.col("place"))
+
+
 @query()
 def verify_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """Claims drawn from user turns, with a letter changed, some about the wrong conversation."""
-    m = tables.messages(spark, d).filter("role = 'user'")
-    quote = F.regexp_replace(F.substring("content", 5, 60), "e", "x")
+    """Claims drawn from every sentence of the user turns, with a letter changed, some about the wrong conversation."""
+    m = _sentences(spark, d)
+    quote = F.regexp_replace("sentence", "e", "x")
     claimed = F.when(F.col("msg_ord") % 2 == 0, F.col("conv_id")).otherwise((F.col("conv_ord") + 1).cast("string"))
-    claims = m.select((F.col("conv_ord") * 1000 + F.col("msg_ord")).alias("fact_ord"), F.col("content").alias("fact"), claimed.alias("source_convo_id"), quote.alias("source_quote"))
+    claims = m.select("fact_ord", F.col("sentence").alias("fact"), claimed.alias("source_convo_id"), quote.alias("source_quote"))
     found = verify.verify(claims, render.conversation_text(tables.messages(spark, d)))
     return found.select("fact_ord", "claimed_convo_id", "source_convo_id", "resolution", "match_location")
 
@@ -232,10 +239,10 @@ def dedup_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines_as_facts(spark: SparkSession, d: str) -> DataFrame:
-    """User turns as facts of the taxonomy's categories, by turn."""
-    m = tables.messages(spark, d).filter("role = 'user'")
+    """Every sentence of the user turns as a fact of the taxonomy's categories, by turn."""
+    m = _sentences(spark, d)
     kind = F.get(F.array(*map(F.lit, CATEGORIES)), (F.col("msg_ord") % len(CATEGORIES)).cast("int"))
-    return m.select((F.col("conv_ord") * 1000 + F.col("msg_ord")).alias("fact_ord"), F.substring_index("content", ".", 1).alias("fact"), kind.alias("category"), F.col("conv_id").alias("source_convo_id"), (F.col("conv_ord") * 86400.0).alias("source_timestamp"), F.substring("content", 1, 60).alias("source_quote"))
+    return m.select("fact_ord", F.col("sentence").alias("fact"), kind.alias("category"), F.col("conv_id").alias("source_convo_id"), (F.col("conv_ord") * 86400.0).alias("source_timestamp"), F.col("sentence").alias("source_quote"))
 
 
 @query()
@@ -246,7 +253,10 @@ def dedup_deterministic(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH f AS (SELECT conv_id * 1000 + turn AS ord, string_split(text, '.')[1] AS fact, turn % 8 AS k FROM conversations WHERE role = 'user')
 SELECT CAST(k + 1 AS INTEGER) AS category_ord, (['identity', 'values', 'emotions', 'relationships', 'growth', 'history', 'practices', 'shadows'])[k + 1] AS category, ord, fact FROM f""")
 def profile_categories(spark: SparkSession, d: str) -> DataFrame:
-    facts = _lines_as_facts(spark, d).select(F.col("fact_ord").alias("ord"), "fact", "category", F.lit("").alias("period"))
+    # The SQL takes the first sentence of each turn alone, and so does this.
+    m = tables.messages(spark, d).filter("role = 'user'")
+    kind = F.get(F.array(*map(F.lit, CATEGORIES)), (F.col("msg_ord") % len(CATEGORIES)).cast("int"))
+    facts = m.select((F.col("conv_ord") * 1000 + F.col("msg_ord")).alias("ord"), F.substring_index("content", ".", 1).alias("fact"), kind.alias("category"), F.lit("").alias("period"))
     return distill.profile_facts(facts).drop("period")
 
 
