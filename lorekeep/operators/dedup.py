@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,25 +120,54 @@ def dedup_exact(aggregated: DataFrame) -> DataFrame:
     return aggregated.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
 
 
-def cluster_by_embedding(vectors: DataFrame, similar: float = 0.85, buckets: int = 6, tables: int = 8, seed: int = 7) -> DataFrame:
-    """(id, cluster): rows (id, embedding array<float>) whose cosine similarity along a chain of candidates reaches `similar`.
+#: Vectors in one block; two blocks meet in a task. Bounds memory and changes no result.
+VECTORS = 2048
 
-    Candidates share a bucket of random-hyperplane signs; each is compared with its bucket's least id, so that a crowded
-    bucket costs one comparison a row. Singletons are clusters of their own.
+
+def _linked(similar: float):
+    """Rows (id, v) of two blocks: each row that is linked there, with the least id of its component."""
+
+    def run(key, rows):
+        ids = rows.column("id").to_numpy()
+        v = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], v[order]
+        label, waiting = np.arange(len(ids)), np.ones(len(ids), bool)
+        for i in range(len(ids)):  # a component is walked from its least id
+            front = [i] if waiting[i] else []
+            waiting[i] = False
+            while front:
+                k = front.pop()
+                near = np.flatnonzero(waiting & (v @ v[k] >= similar))
+                waiting[near], label[near] = False, i
+                front += near.tolist()
+        out = label != np.arange(len(ids))
+        return pa.table({"u": pa.array(ids[out]), "v": pa.array(ids[label[out]])})
+
+    return run
+
+
+def cluster_by_embedding(vectors: DataFrame, similar: float = 0.85, block: int = 0) -> DataFrame:
+    """(id, cluster): the least id that is reachable from a row (id long, embedding) over pairs of cosine `similar` or more.
+
+    All rows of one width are compared, block by block, so the work grows with the square of the rows. Vectors that are null,
+    of no length or not finite link to none; singletons are clusters of their own.
     """
-    import random
-
-    width = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
-    rng = random.Random(seed)
-    unit = vectors.select("id", F.expr("transform(embedding, x -> cast(x AS double))").alias("v"))
-    unit = unit.withColumn("v", F.expr("transform(v, x -> x / sqrt(aggregate(v, 0D, (s, y) -> s + y * y)))"))
-    keys = []
-    for t in range(tables):
-        planes = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(buckets)]
-        signs = [F.when(F.aggregate(F.zip_with("v", F.array(*map(F.lit, p)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) > 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, p in enumerate(planes)]
-        keys.append(F.struct(F.lit(t).alias("t"), sum(signs[1:], signs[0]).alias("k")))
-    dealt = unit.select("id", "v", F.explode(F.array(*keys)).alias("key"))
-    heads = dealt.groupBy("key").agg(F.min_by(F.struct("id", "v"), "id").alias("h"))
-    cosine = F.aggregate(F.zip_with("v", "h.v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = dealt.join(heads, "key").filter(cosine >= similar).groupBy("id").agg(F.min("h.id").alias("cluster"))
-    return vectors.select("id").join(near, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    size = block or VECTORS
+    unit = vectors.select(F.col("id").cast("long").alias("id"), F.expr("transform(embedding, x -> cast(x AS double))").alias("v")).filter("id IS NOT NULL")
+    unit = unit.withColumn("norm", F.expr("sqrt(aggregate(v, 0D, (s, y) -> s + y * y))")).filter("norm > 0 AND NOT isnan(norm) AND norm < double('Infinity')")
+    unit = unit.select("id", F.expr("transform(v, x -> x / norm)").alias("v"), F.size("v").alias("width"))
+    blocks = max(1, -(-unit.count() // size))
+    dealt = unit.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    met = dealt.withColumn("other", other).select("id", "v", "width", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    links = met.groupBy("width", "x", "y").applyInArrow(_linked(similar), "u long, v long").distinct().localCheckpoint()
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    named, moved = both.select(F.col("u").alias("id"), F.col("u").alias("cluster")).distinct(), 1
+    while moved:
+        heard = both.join(named, both["v"] == named["id"]).groupBy("u").agg(F.min("cluster").alias("_heard"))
+        now = named.join(heard, named["id"] == heard["u"]).select("id", F.least("cluster", "_heard").alias("_to"), (F.col("_heard") < F.col("cluster")).alias("_moved"))
+        now = now.localCheckpoint()
+        moved = now.filter("_moved").count()
+        named = now.select("id", F.col("_to").alias("cluster"))
+    return vectors.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
