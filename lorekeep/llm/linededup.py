@@ -1,248 +1,128 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its lower-cased words. Words are ordered by rarity: those that come up often in some task's share of
-the input by their counts, after all others (any order is right; rare words first are fast). Lines at least as similar as the threshold share a word among the
-first |set| - ceil(t |set|) + 1: these prefix words meet in a join, where length and place of the shared word rule out
-most pairs, and the rest are verified on the whole lines. A line goes if a line before it is as similar.
-
-Words that very many lines have in their prefixes are not paired all with all: their lines are first verified against
-the earliest one; only lines that this leaves are paired with those before them.
+A line is the set of its lower-cased words. Words are ordered by rarity: those that come up often in some slice of the input
+by their counts, after all others (any order is right; rare words first are fast). Lines at least as similar as the
+threshold share a word among the first |set| - ceil(t |set|) + 1: these prefix words meet in a join, where length and place
+of the shared word rule out most pairs, and the rest are verified on the whole lines. A line goes if a line before it is as
+similar; lines of equal sets, told by 128-bit hashes, need no pairs.
+
+Where a line has very many likely partners with one word, it is first verified against a few of the earliest; only lines
+that this leaves meet all others there.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import LOWER, slices, starts_of, stored, texts_of, tokens
+from lorekeep.llm import setjoin
+from lorekeep.llm.common import LOWER, Words, mixed, release, slices, starts_of, stored, texts_of
+from lorekeep.llm.setjoin import Order, needed
 
 SIMILAR = 0.8
-#: A word counts for the order from so many uses in a task's share on, and at most so many words are told apart; bits of
-#: the filter of candidate lines, and the lines of a word that are paired directly. All bound memory; none changes a result.
-OFTEN, RANKED, FILTER, PAIRED = 4, 1 << 18, 1 << 26, 32
-MAPS = 4
-#: Rows that the sorted pass takes at once.
-AT_ONCE = 1 << 16
-
-
-def needed(m: np.ndarray, t: float = SIMILAR) -> np.ndarray:
-    """ceil(t m), safe from rounding up a whole product."""
-    return np.ceil(t * m - 1e-9).astype(np.int64)
-
-
-LISTS = ["sign", "number", "line", "size", *(f"map{k}" for k in range(MAPS))]
-READ = "doc_id long, print long, n_lines long, " + ", ".join(f"{c} array<{'string' if c == 'line' else 'long'}>" for c in LISTS)
-
-
-class Order:
-    """How often the frequent words are used, by hash."""
-
-    def __init__(self, words: np.ndarray, times: np.ndarray):
-        by = np.argsort(words)
-        self.words, self.times = words[by], times[by]
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        """The place of each of these hashes in the order among them."""
-        often = np.zeros(len(hashes), np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            often = np.where(self.words[at] == hashes, self.times[at], 0)
-        rank = np.empty(len(hashes), np.int64)
-        rank[np.lexsort((hashes, often))] = np.arange(len(hashes))
-        return rank
-
-
-def _words(texts: pa.Array):
-    flat, counts = tokens(texts)
-    d = flat.dictionary_encode()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in d.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
-    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), hashes, counts
+#: Bytes of text taken at once: small enough that the arrays of a slice stay in the cache.
+SLICE = 1 << 20
+READ = "doc_id long, print long, n_lines int, numbers array<int>, signs array<long>, others array<long>, words array<long>, times array<int>"
 
 
 class Lines:
-    """The lines of some texts: per text their numbers, per line its distinct words' hashes, in order, and the hash of the set."""
+    """The lines of some texts: where each is, per text their numbers, per line its distinct words' hashes, in order, and two hashes of the set."""
 
     def __init__(self, column: pa.Array, order: Order | None = None):
-        texts = texts_of(column, LOWER)
-        parts = pc.split_pattern(texts, "\n")
-        self.text = parts.flatten()
-        self.row = pc.list_parent_indices(parts).to_numpy().astype(np.int64)
-        self.per_row = np.bincount(self.row, minlength=len(texts)).astype(np.int64)
+        words = Words(texts_of(column, LOWER))
+        self.bytes = words.bytes
+        ends = np.flatnonzero(words.bytes == 10)
+        self.begin = np.sort(np.concatenate([words.offsets[:-1], ends + 1]), kind="stable")
+        self.end = np.sort(np.concatenate([words.offsets[1:], ends]), kind="stable")
+        rows = np.searchsorted(words.offsets, ends, "right") - 1
+        self.per_row = np.bincount(rows, minlength=len(column)).astype(np.int64) + 1
+        self.row = np.repeat(np.arange(len(column)), self.per_row)
         self.number = np.arange(len(self.row)) - starts_of(self.per_row)[self.row]
-        ids, hashes, counts = _words(self.text)
+        line = np.searchsorted(self.begin, words.start, "right") - 1
+        codes, self.words = pd.factorize(words.hashes())
+        self.times = np.bincount(codes, minlength=len(self.words))
         if order is not None:
-            rank = order.of(hashes)
-            sorted_hashes = np.empty_like(hashes)
-            sorted_hashes[rank] = hashes
-            ids, hashes = rank[ids], sorted_hashes
-        both = np.sort(np.repeat(np.arange(len(counts)), counts) << 32 | ids)
+            uses = order.uses(self.words)
+            rank = np.empty(len(self.words), np.int64)
+            by = np.lexsort((self.words, uses))
+            rank[by] = np.arange(len(by))
+            codes, self.words, self.uses = rank[codes], self.words[by], uses[by]
+        both = np.sort(line << 32 | codes)
         both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-        self.line, word = both >> 32, both & 0xFFFFFFFF
-        self.hash = hashes[word]
-        self.size = np.bincount(self.line, minlength=len(self.text)).astype(np.int64)
-        # Sums of well mixed hashes stand for sets: two unlike ones agree by chance 2^-64.
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed[word], dtype=np.uint64)])
+        self.line, self.word = both >> 32, both & 0xFFFFFFFF
+        self.size = np.bincount(self.line, minlength=len(self.row)).astype(np.int64)
         self.at = starts_of(self.size)
-        self.sign = (sums[self.at[1:]] - sums[self.at[:-1]]).view(np.int64)
-
-    def maps(self) -> list[np.ndarray]:
-        """MAPS words of 64 bits for each line: each bit is the parity of the words that hash to it. Two sets differ in as many words at least as bits."""
-        cell = (self.hash >> np.uint64(20)) % np.uint64(64 * MAPS)
-        bit = np.left_shift(np.uint64(1), cell & np.uint64(63))
-        out, full = [], self.size > 0
-        for k in range(MAPS):
-            x = np.zeros(len(self.size), np.uint64)
-            if len(bit):
-                x[full] = np.bitwise_xor.reduceat(np.where(cell >> np.uint64(6) == k, bit, np.uint64(0)), self.at[:-1][full])
-            out.append(x.view(np.int64))
-        return out
-
-
-def _frequent(batches):
-    """(word, n) of words with OFTEN uses in a part of bounded size of this task's texts."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def merged():
-        w, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        every, at = np.unique(w, return_inverse=True)
-        n = np.bincount(at, n, len(every)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(every[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["word", "n"])
-
-    for b in slices(batches, text=0):
-        ids, hashes, _ = _words(texts_of(b.column(0), LOWER))
-        held.append((hashes, np.bincount(ids, minlength=len(hashes))))
-        size += len(hashes)
-        if size > 1 << 21:
-            yield merged()
-            held, size = [], 0
-    if held:
-        yield merged()
-
-
-def _reader(bits: np.ndarray):
-    """Per document its lines' numbers and signs, and the lines themselves where they may be candidates."""
+        self.sign = self._sums(mixed(self.words, 0x94D049BB133111EB))
 
-    def run(batches):
-        for b in slices(batches):
-            x = Lines(b.column(1))
-            full = x.size > 0
-            at = pa.array(starts_of(np.bincount(x.row[full], minlength=b.num_rows)).astype(np.int32))
-            h = x.sign.view(np.uint64) & np.uint64(FILTER - 1)
-            maybe = full & ((bits[(h >> np.uint64(5)).astype(np.int64)] >> (h & np.uint64(31)).astype(np.uint32)) & 1 > 0)
-            by = np.flatnonzero(maybe)
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            by = by[np.lexsort((x.number[by], ids[x.row[by]], x.sign[by]))]
-            told = np.zeros(len(x.sign), bool)  # a set that repeats in these texts is told once, at its earliest line
-            told[by[np.concatenate([[True], np.diff(x.sign[by]) != 0])] if len(by) else by] = True
-            lines = pc.if_else(pa.array(told[full]), x.text.filter(pa.array(full)), pa.scalar(None, pa.string()))
-            prints = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts_of(b.column(1)).cast(pa.binary()).to_pylist()], pa.int64())
-            told = told[full]
-            arrays = [pa.array(x.sign[full]), pa.array(x.number[full]), lines, *(pa.array(v[full], mask=~told) for v in (x.size, *x.maps()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array(x.per_row), *(pa.ListArray.from_arrays(at, v) for v in arrays)], ["doc_id", "print", "n_lines", *LISTS])
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of well spread values stand for sets."""
+        total = np.concatenate([[np.uint64(0)], np.cumsum(values[self.word], dtype=np.uint64)])
+        return (total[self.at[1:]] - total[self.at[:-1]]).view(np.int64)
 
-    return run
+    def other(self) -> np.ndarray:
+        return self._sums(mixed(self.words ^ np.uint64(0xD6E8FEB86659FD93), 0xC4CEB9FE1A85EC53))
 
 
-def _prefixes(order: Order, t: float):
-    """Rows (word, sign, doc_id, number, size, place) of the prefix words of lines."""
+def _read(batches):
+    """Per document its lines with words, by number and hashes; on a slice's first row also its frequent words."""
+    ints = pa.int32()
+    for b in slices(batches, limit=SLICE):
+        x = Lines(b.column(1))
+        full = x.size > 0
+        at = pa.array(starts_of(np.bincount(x.row[full], minlength=b.num_rows)).astype(np.int32))
+        prints = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts_of(b.column(1)).cast(pa.binary()).to_pylist()], pa.int64())
+        often = x.times >= setjoin.OFTEN
+        first = pa.array(np.where(np.arange(b.num_rows + 1) > 0, often.sum(), 0).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (x.number[full].astype(np.int32), x.sign[full], x.other()[full])]
+        counts = [pa.ListArray.from_arrays(first, pa.array(v)) for v in (x.words[often].view(np.int64), x.times[often].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array(x.per_row).cast(ints), *lists, *counts], [c.split()[0] for c in READ.split(", ")])
+
 
+def _earliest(x: Lines, ids: np.ndarray) -> np.ndarray:
+    """Which lines are the first of their sets among these texts."""
+    by = np.lexsort((x.number, ids[x.row], x.sign))
+    first = np.zeros(len(x.sign), bool)
+    first[by[np.concatenate([[True], np.diff(x.sign[by]) != 0])] if len(by) else by] = True
+    return first & (x.size > 0)
+
+
+def _prefixes(order: Order, t: float):
     def run(batches):
-        for b in slices(batches):
-            x = Lines(b.column(1), order)
-            place = np.arange(len(x.line)) - starts_of(x.size)[x.line]
-            first = np.zeros(len(x.sign), bool)  # a set that repeats in these texts is told once, at its earliest line
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            by = np.lexsort((x.number, ids[x.row], x.sign))
-            first[by[np.concatenate([[True], np.diff(x.sign[by]) != 0])] if len(by) else by] = True
-            use = (place < (x.size - needed(x.size, t) + 1)[x.line]) & first[x.line]
-            line = x.line[use]
-            columns = [x.hash[use].view(np.int64), x.sign[line], ids[x.row[line]], x.number[line], x.size[line], place[use]]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["word", "sign", "doc_id", "number", "size", "place"])
+        for b in slices(batches, limit=SLICE):
+            x, ids = Lines(b.column(1), order), b.column(0).to_numpy(zero_copy_only=False)
+            place = np.arange(len(x.line)) - x.at[x.line]
+            use = (place < (x.size - needed(x.size, t) + 1)[x.line]) & _earliest(x, ids)[x.line]
+            line, word = x.line[use], x.word[use]
+            yield setjoin.rows_of(x.words[word], x.uses[word], x.size[line], place[use], x.sign[line], ids[x.row[line]], x.number[line], t)
 
     return run
 
 
-def _may_match(m: np.ndarray, i: np.ndarray, n: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-    """By length, and by what two sets can still share from their shared word on."""
-    overlap = np.ceil(t / (1 + t) * (m + n) - 1e-9)
-    return (np.minimum(m, n) >= needed(np.maximum(m, n), t)) & (1 + np.minimum(m - i, n - j) - 1 >= overlap)
+def _place(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mixed(mixed(doc.view(np.uint64)) + number.astype(np.uint64)).view(np.int64)
 
 
-def _meet(t: float):
-    """Rows sorted by (word, doc_id, number): pairs of lines to verify, and the rows of crowded words."""
-    names = ["a", "b", "word", "doc_id", "number", "size", "place"]
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sign, line) of the lines of the pairs, and few others: the filter spares the rest the shuffle."""
+    places = pairs.select(F.explode(F.array(F.struct(F.col("a_doc").alias("d"), F.col("a_number").alias("n")), F.struct(F.col("b_doc").alias("d"), F.col("b_number").alias("n")))).alias("p"))
+    bits = setjoin.marks(places.select("p.d", "p.n").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(_place(*(c.to_numpy(zero_copy_only=False) for c in b.columns)))], ["s"]) for b in batches), "s long"))
 
     def run(batches):
-        held, crowd = np.zeros((6, 0), np.int64), None  # crowd: the first row of the crowded word under way
-
-        def flush(x, whole):
-            nonlocal held, crowd
-            if x.shape[1]:  # a set comes once, at its earliest line
-                by = np.lexsort((np.arange(x.shape[1]), x[1], x[0]))
-                new = np.ones(len(by), bool)
-                new[1:] = (np.diff(x[0][by]) != 0) | (np.diff(x[1][by]) != 0)
-                x = x[:, np.sort(by[new])]
-            word = x[0]
-            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            size = np.diff(np.concatenate([begin, [len(word)]]))
-            many, lead = size > PAIRED, x[:, begin]
-            if crowd is not None and len(word) and word[0] == crowd[0]:
-                many[0], lead[:, 0] = True, crowd
-            held, crowd_now = x[:, :0], None
-            if not whole and len(begin):
-                if many[-1]:
-                    crowd_now = lead[:, -1].copy()
-                else:
-                    held, x = x[:, begin[-1] :], x[:, : begin[-1]]
-                    many, lead, size = many[:-1], lead[:, :-1], size[:-1]
-            crowd = crowd_now
-            if not x.shape[1]:
-                return
-            hot, lead = np.repeat(many, size), np.repeat(lead, size, axis=1)
-            word, sign, _, _, m, i = x
-            a, b, at = [], [], []
-            ok = hot & (sign != lead[1])
-            ok[ok] = _may_match(m[ok], i[ok], lead[4][ok], lead[5][ok], t)
-            a.append(lead[1][ok])
-            b.append(sign[ok])
-            at.append(lead[2:4, ok])
-            for d in range(1, PAIRED):
-                same = (word[d:] == word[:-d]) & ~hot[d:]
-                if not same.any():
-                    break
-                p = np.flatnonzero(same)
-                p = p[(sign[p] != sign[p + d]) & _may_match(m[p], i[p], m[p + d], i[p + d], t)]
-                a.append(sign[p])
-                b.append(sign[p + d])
-                at.append(x[2:4, p])
-            a, b, at = np.concatenate(a), np.concatenate(b), np.concatenate(at, axis=1)
-            if len(a):
-                by = np.lexsort((b, a))
-                new = np.ones(len(a), bool)
-                new[1:] = (np.diff(a[by]) != 0) | (np.diff(b[by]) != 0)
-                a, b, at = a[by[new]], b[by[new]], at[:, by[new]]
-                null = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), null, pa.array(at[0]), pa.array(at[1]), null, null], names)
-            if hot.any():
-                yield pa.RecordBatch.from_arrays([pa.array(lead[1][hot]), pa.array(sign[hot]), *(pa.array(c[hot]) for c in (word, x[2], x[3], m, i))], names)
-
-        waiting, rows = [], 0
-        for b in batches:
-            waiting.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
-            rows += b.num_rows
-            if rows >= AT_ONCE:
-                yield from flush(np.concatenate([held, *waiting], axis=1), False)
-                waiting, rows = [], 0
-        yield from flush(np.concatenate([held, *waiting], axis=1), True)
+        for b in slices(batches, limit=SLICE):
+            texts = texts_of(b.column(1), LOWER)
+            lines = pc.split_pattern(texts, "\n")
+            row = pc.list_parent_indices(lines).to_numpy().astype(np.int64)
+            number = np.arange(len(row)) - starts_of(np.bincount(row, minlength=len(texts)))[row]
+            told = lines.flatten().filter(pa.array(setjoin.marked(bits, _place(b.column(0).to_numpy(zero_copy_only=False)[row], number))))
+            if len(told):
+                yield pa.RecordBatch.from_arrays([pa.array(Lines(told).sign), told], ["sign", "line"])
 
-    return run
+    return docs.mapInArrow(run, "sign long, line string").dropDuplicates(["sign"])
 
 
 def _alike(p: set, q: set, t: float) -> bool:
@@ -253,40 +133,18 @@ def _alike(p: set, q: set, t: float) -> bool:
 def _verify(t: float):
     def run(batches):
         for b in batches:
-            keep = [_alike(set(x.split()), set(y.split()), t) for x, y in zip(b.column("x").cast(pa.binary()).to_pylist(), b.column("y").cast(pa.binary()).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("later").filter(pa.array(keep, pa.bool_()))], ["sign"])
+            keep = [_alike(set(x.split()), set(y.split()), t) for x, y in zip(*(b.column(c).cast(pa.binary()).to_pylist() for c in ("x", "y")), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_())).select(["b", "b_doc", "b_number"])
 
     return run
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
-    """(sign) of each pair's later line, of pairs (earlier, later) that are similar. lines: (sign, line)."""
-    one, two = lines.select(F.col("sign").alias("earlier"), F.col("line").alias("x")), lines.select(F.col("sign").alias("later"), F.col("line").alias("y"))
-    return pairs.join(one, "earlier").join(two, "later").select("later", "x", "y").mapInArrow(_verify(t), "sign long").distinct()
-
-
-def _bits(signs: DataFrame) -> np.ndarray:
-    """A filter of FILTER bits by the low parts of the signs (s)."""
-    slot = F.col("s").bitwiseAND(F.lit(FILTER - 1))
-    marks = signs.select(F.shiftright(slot, 5).alias("k"), F.expr("shiftleft(1L, cast(s & 31 AS int))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bit"))
-    bits = np.zeros(FILTER // 32, np.uint32)
-    for part in marks.toArrow().to_batches():  # FILTER / 32 rows at most
-        bits[part.column(0).to_numpy()] = part.column(1).to_numpy().astype(np.uint32)
-    return bits
-
-
-def _texts(each: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sign, line) of the lines of the pairs, and few others: the filter spares the rest the shuffle."""
-    bits = _bits(pairs.select(F.explode(F.array("earlier", "later")).alias("s")))
-
-    def run(sign):
-        import pandas as pd
-
-        low = sign.to_numpy().view(np.uint64) & np.uint64(FILTER - 1)
-        return pd.Series((bits[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & 1 > 0)
-
-    told = each.filter("line IS NOT NULL").select("sign", "line").filter(F.pandas_udf(run, "boolean")("sign"))
-    return told.dropDuplicates(["sign"])
+def _similar(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(b, b_doc, b_number): the later lines of those pairs that are similar."""
+    lines = _texts(docs, pairs)
+    one, two = lines.select(F.col("sign").alias("a"), F.col("line").alias("x")), lines.select(F.col("sign").alias("b"), F.col("line").alias("y"))
+    met = pairs.join(one, "a").join(two, "b").select("b", "b_doc", "b_number", "x", "y")
+    return met.mapInArrow(_verify(t), "b long, b_doc long, b_number int").distinct()
 
 
 def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
@@ -298,44 +156,33 @@ def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     doc_id are left out. Extra columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    used = docs.select("text").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    ranked = used.orderBy(F.desc("n"), "word").limit(RANKED).toArrow()
-    order = Order(ranked.column("word").to_numpy().view(np.uint64), ranked.column("n").to_numpy())
-    words = docs.mapInArrow(_prefixes(order, t), "word long, sign long, doc_id long, number long, size long, place long")
-    met = stored(words.repartition("word").sortWithinPartitions("word", "doc_id", "number", "sign").mapInArrow(_meet(t), "a long, b long, word long, doc_id long, number long, size long, place long"))
-    pairs = met.filter("word IS NULL")
-    crowd = met.filter("word IS NOT NULL").groupBy("word", F.col("b").alias("sign"), "size", "place").agg(F.min("a").alias("lead"))
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionByName(crowd.select(F.col("sign").alias("s")))
-    read = stored(docs.mapInArrow(_reader(_bits(wanted)), READ))
-    by_doc = read.groupBy("doc_id", "print").agg(F.count("*").alias("copies"), F.first("n_lines").alias("n_lines"))
-    each = read.select("doc_id", "print", F.explode(F.arrays_zip(*LISTS)).alias("l")).select("doc_id", "print", *[F.col("l")[c].alias(c) for c in LISTS])
-    lines = each.select("doc_id", "print", "sign", "number")
-    shape = ["size", *(f"map{k}" for k in range(MAPS))]
-    first = stored(lines.groupBy("sign").agg(F.min(F.struct("doc_id", "number")).alias("first")))
-    known = stored(each.filter("line IS NOT NULL").select("sign", F.struct("doc_id", "number").alias("first"), *shape).join(first, ["sign", "first"]).dropDuplicates(["sign"]))
-
-    # The bound by the maps leaves few pairs but similar ones; only their texts are gathered.
-    one, two = (known.select(*[F.col(c).alias(p + c) for c in known.columns]) for p in "pq")
-    differ = sum((F.bit_count(F.col(f"pmap{k}").bitwiseXOR(F.col(f"qmap{k}"))) for k in range(MAPS)), F.lit(0))
-    close = differ <= F.floor((1 - t) / (1 + t) * (F.col("psize") + F.col("qsize")) + 1e-9)
-    before = F.struct("pfirst", "psign") < F.struct("qfirst", "qsign")
-    ends = [F.when(before, F.col("psign")).otherwise(F.col("qsign")).alias("earlier"), F.when(before, F.col("qsign")).otherwise(F.col("psign")).alias("later")]
-    met_pairs = pairs.select(F.least("a", "b").alias("psign"), F.greatest("a", "b").alias("qsign")).distinct().join(one, "psign").join(two, "qsign").filter(close)
-    likely = stored(met_pairs.select(*ends))
-    gone = stored(_similar(likely, _texts(each, first, likely), t))
-
-    # Lines of crowded words that this leaves, against every other line there: by length and place first, then by the maps.
-    left = crowd.filter("sign != lead").join(gone, "sign", "left_anti").select("word", *[F.col(c).alias("_" + c) for c in ("sign", "size", "place")])
-    near = f"sign != _sign AND least(size, _size) >= ceil({t} * greatest(size, _size) - 1e-9) AND least(size - place, _size - _place) >= ceil({t / (1 + t)} * (size + _size) - 1e-9)"
-    more = left.join(crowd.select("word", "sign", "size", "place"), "word").filter(near).select(F.least("sign", "_sign").alias("psign"), F.greatest("sign", "_sign").alias("qsign")).distinct()
-    rest = stored(more.join(one, "psign").join(two, "qsign").filter(close).select(*ends))
-    gone = gone.unionByName(_similar(rest, _texts(each, first, rest), t)).distinct().withColumn("gone", F.lit(True))
-
-    first = first.join(gone, "sign", "left")
-    bad = lines.join(first, "sign").filter(F.col("gone") | (F.col("first") != F.struct("doc_id", "number"))).groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("number")).alias("removed"))
-    out = by_doc.select("doc_id", "print", "n_lines", "copies").join(bad, ["doc_id", "print"], "left")
-    return out.select(F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "*").select("doc_id", "print", "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
+    read = stored(docs.mapInArrow(_read, READ))
+    order = setjoin.order_of(read.filter(F.size("words") > 0).select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("n"))).alias("w")).select("w.word", "w.n"))
+    met = stored(setjoin.dealt(docs.mapInArrow(_prefixes(order, t), setjoin.ROWS)).mapInArrow(setjoin.meet(t), setjoin.MET))
+    ends = ["a", "b", "a_doc", "a_number", "b_doc", "b_number"]
+    pairs = stored(met.filter("key IS NULL").select(ends).distinct())
+    gone = stored(_similar(docs, pairs, t))
+
+    # Lines that the first of very many partners leave, against the others.
+    crowd = met.filter("key IS NOT NULL").select("key", "shape", "b", "b_doc", "b_number", "crowded")
+    left = crowd.filter("crowded").drop("crowded").join(gone, ["b", "b_doc", "b_number"], "left_anti")
+    before = crowd.select("key", *[F.col(c).alias(n) for c, n in (("shape", "_shape"), ("b", "a"), ("b_doc", "a_doc"), ("b_number", "a_number"))])
+    earlier = F.struct("a_doc", "a_number", "a") < F.struct("b_doc", "b_number", "b")
+    rest = stored(left.join(before, "key").filter((F.col("a") != F.col("b")) & earlier & setjoin.fitting(t)).select(ends).distinct().join(pairs, ends, "left_anti"))
+    release(met, pairs)
+    late = gone if rest.isEmpty() else gone.unionByName(_similar(docs, rest, t))
+    late = late.groupBy(F.col("b_doc").alias("doc_id")).agg(F.collect_set(F.struct(F.col("b_number").alias("number"), F.col("b").alias("sign"))).alias("late"))
+
+    # Equal sets: all but the earliest line of each.
+    lines = read.select("doc_id", "print", F.explode(F.arrays_zip("numbers", "signs", "others")).alias("l")).select("doc_id", "print", F.col("l.numbers").alias("number"), F.col("l.signs").alias("sign"), F.col("l.others").alias("other"))
+    sets = lines.groupBy("sign", "other").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    equal = lines.join(sets, ["sign", "other"]).filter(F.col("first") != F.struct("doc_id", "number")).groupBy("doc_id", "print").agg(F.collect_set("number").alias("equal"))
+
+    own = F.filter(F.arrays_zip(F.col("numbers").alias("number"), F.col("signs").alias("sign")), lambda l: F.array_contains("late", l))
+    late_numbers = F.when(F.col("late").isNull(), F.array().cast("array<int>")).otherwise(F.transform(own, lambda l: l["number"]))
+    removed = F.array_sort(F.array_union(late_numbers, F.coalesce("equal", F.array().cast("array<int>")))).cast("array<long>")
+    out = read.select("doc_id", "print", "n_lines", "numbers", "signs").join(equal, ["doc_id", "print"], "left").join(late, "doc_id", "left")
+    return out.select("doc_id", "print", F.col("n_lines").cast("long").alias("n_lines"), removed.alias("removed"))
 
 
 def clean(docs: DataFrame, t: float = SIMILAR) -> DataFrame:

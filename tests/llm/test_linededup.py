@@ -4,6 +4,7 @@ import re
 import pytest
 
 from lorekeep.llm import linededup as l
+from lorekeep.llm import setjoin
 
 SCHEMA = "doc_id long, text string, print string, number int"
 
@@ -38,9 +39,14 @@ def cases(seed):
     return rows + [(100, None, "", 0), (101, "", "", 0), (102, " \n\t\n", "", 0), (103, "big " * 3000 + "\n" + "Big", "", 0), (None, "w1 w2", "", 0), (5, rows[5][1], "", 0)]
 
 
-@pytest.mark.parametrize("paired", [4, 32])
-def test_matches_brute_force(spark, monkeypatch, paired):
-    monkeypatch.setattr(l, "PAIRED", paired)
+SMALL = {"FEW": 1, "ALL_PAIRS": 6, "LEADERS": 2, "AT_ONCE": 300, "HELD": 40, "COMPARED": 50, "HOT": 5}
+
+
+@pytest.mark.parametrize(("paired", "sizes"), [(4, {}), (32, {}), (3, SMALL), (2, SMALL | {"HOT": 1 << 16, "HELD": 500})])
+def test_matches_brute_force(spark, monkeypatch, paired, sizes):
+    """Also with groups that are compared in parts, told in parts, or dealt by size."""
+    for name, value in {"PAIRED": paired, **sizes}.items():
+        monkeypatch.setattr(setjoin, name, value)
     rows = cases(paired)
     got = l.find(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows if r[0] is not None)
