@@ -6,7 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,15 @@ def release(*tables: DataFrame) -> None:
             _delete(_made.pop(path), path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows, stored; tables that were stored for them are released."""
+    before = set(_made)
+    out = stored(make())
+    for path in [p for p in _made if p not in before and p != out._stored_at]:
+        _delete(_made.pop(path), path)
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

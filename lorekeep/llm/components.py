@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import stored
+from lorekeep.llm.common import release, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,13 +30,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     very many neighbours is no hot group.
     """
     edges = stored(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u != v").distinct())
-    was = None
     for _ in range(rounds):
-        edges = stored(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == was:
+        was, edges = edges, stored(_star(_star(edges, True), False))
+        # Both have distinct rows: they are equal if neither has one that the other lacks.
+        settled = edges.join(was, ["u", "v"], "left_anti").isEmpty() and was.join(edges, ["u", "v"], "left_anti").isEmpty()
+        release(was)
+        if settled:
             break
-        was = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

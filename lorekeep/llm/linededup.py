@@ -98,7 +98,8 @@ def _prefixes(order: Order, t: float):
             place = np.arange(len(x.line)) - x.at[x.line]
             use = (place < (x.size - needed(x.size, t) + 1)[x.line]) & _earliest(x, ids)[x.line]
             line, word = x.line[use], x.word[use]
-            yield setjoin.rows_of(x.words[word], x.uses[word], x.size[line], place[use], x.sign[line], ids[x.row[line]], x.number[line], t)
+            maps = [m[line] for m in setjoin.maps_of(x.words[x.word], x.size)]
+            yield setjoin.rows_of(x.words[word], x.uses[word], x.size[line], place[use], x.sign[line], ids[x.row[line]], x.number[line], maps, t)
 
     return run
 

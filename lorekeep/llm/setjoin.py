@@ -3,7 +3,9 @@
 A set's members are in an order that all sets share, rare ones first. Two sets of m and n members with Jaccard similarity t
 or more share c = ceil(t / (1 + t) (m + n)) of them, so they share one among the first m - ceil(t m) + 1. Every set gives a
 row for each of these prefix members; rows meet by member, and length and place of the member leave few pairs: a member at
-place i of m still allows m - i common ones, so partners have between t m and (m - i)(1 + t) / t - m members.
+place i of m still allows m - i common ones, so partners have between t m and (m - i)(1 + t) / t - m members. Rows also carry
+two words of 64 bits, each bit the parity of the members that hash to it: two sets differ in as many members at least as
+bits, which rules out most of those that share a prefix member by chance. Sets of up to WIDE members use the first word only.
 
 Members with HOT uses or more meet by (member, band of sizes), so that the length filter is part of the key. Rows whose
 partners in a group are very many give their first ones only and are marked as crowded: what these pairs leave open is for
@@ -25,11 +27,11 @@ OFTEN, RANKED = 2, 1 << 18
 HOT = 1 << 16
 #: Partners of a row that are all told; those told of a row with more; rows of a group that are compared all with all;
 #: the first rows of a larger group that all its rows are compared with before.
-PAIRED, FEW, ALL_PAIRS, LEADERS = 32, 2, 256, 16
+PAIRED, FEW, ALL_PAIRS, LEADERS = 8, 2, 256, 16
 #: Rows taken at once, rows of one group held at most, and pairs compared at once. All bound memory; none changes a result.
 AT_ONCE, HELD, COMPARED = 1 << 16, 1 << 19, 1 << 21
-FILTER = 1 << 26
-ROWS = "key long, shape long, sign long, doc_id long, number int"
+FILTER, WIDE = 1 << 26, 64
+ROWS = "key long, shape long, sign long, doc_id long, number int, map0 long, map1 long"
 MET = "a long, b long, a_doc long, a_number int, b_doc long, b_number int, key long, shape long, crowded boolean"
 
 
@@ -59,7 +61,7 @@ def order_of(used: DataFrame) -> Order:
     return Order(ranked.column("word").to_numpy().view(np.uint64), ranked.column("n").to_numpy())
 
 
-def rows_of(member: np.ndarray, uses: np.ndarray, size: np.ndarray, place: np.ndarray, sign, doc, number, t: float) -> pa.RecordBatch:
+def rows_of(member: np.ndarray, uses: np.ndarray, size: np.ndarray, place: np.ndarray, sign, doc, number, maps, t: float) -> pa.RecordBatch:
     """The ROWS of prefix members: those of hot ones in the band of their size, and in the next if a partner can be there."""
     key, hot = member, uses >= HOT
     again = np.zeros(0, np.int64)
@@ -70,9 +72,23 @@ def rows_of(member: np.ndarray, uses: np.ndarray, size: np.ndarray, place: np.nd
         again = np.flatnonzero(hot & (band(longest) > of))
         key = np.where(hot, mixed(member + of.astype(np.uint64)), member)
         key = np.concatenate([key, mixed(member[again] + (of[again] + 1).astype(np.uint64))])
-    columns = [key.view(np.int64), size << 32 | place, sign, doc, number.astype(np.int32)]
+    columns = [key.view(np.int64), size << 32 | place, sign, doc, number.astype(np.int32), *maps]
     columns = [columns[0], *(np.concatenate([c, c[again]]) for c in columns[1:])] if len(again) else columns
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "shape", "sign", "doc_id", "number"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "shape", "sign", "doc_id", "number", "map0", "map1"])
+
+
+def maps_of(member: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The parity words of sets from their members' hashes, set after set."""
+    cell = (member >> np.uint64(20)) & np.uint64(127)
+    cell = np.where(np.repeat(size > WIDE, size), cell, cell & np.uint64(63))
+    bit = np.left_shift(np.uint64(1), cell & np.uint64(63))
+    out, begin = [], (np.cumsum(size) - size)[size > 0]
+    for k in (0, 1):
+        x = np.zeros(len(size), np.uint64)
+        if len(member):
+            x[size > 0] = np.bitwise_xor.reduceat(np.where(cell >> np.uint64(6) == k, bit, np.uint64(0)), begin)
+        out.append(x.view(np.int64))
+    return out
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -104,8 +120,8 @@ def _spread(first: np.ndarray, last: np.ndarray):
 
 
 def _compared(x: np.ndarray, t: float):
-    """Pairs (earlier, later) among sorted rows x (key, shape, sign, doc, number) of whole groups, which later rows are crowded, and which rows are in a crowd."""
-    key, shape, sign, doc, number = x
+    """Pairs (earlier, later) among sorted rows x (key, shape, sign, doc, number, maps) of whole groups, which later rows are crowded, and which rows are in a crowd."""
+    key, shape, sign, doc, number, map0, map1 = x
     size, place = shape >> 32, shape & 0xFFFFFFFF
     count = len(key)
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -119,8 +135,18 @@ def _compared(x: np.ndarray, t: float):
     big = members[group] > ALL_PAIRS
     found: list[np.ndarray] = []
 
+    def likely(p, q):
+        """Which of the pairs (p, q) may be similar."""
+        at = np.flatnonzero((sign[p] != sign[q]) & fits(size[p], place[p], size[q], place[q], t))
+        p, q = p[at], q[at]
+        low, high = map0[p] ^ map0[q], map1[p] ^ map1[q]
+        narrow = np.minimum(size[p], size[q]) <= WIDE
+        low, high = np.where(narrow, low ^ high, low), np.where(narrow, 0, high)
+        differ = np.bitwise_count(low.view(np.uint64)).astype(np.int64) + np.bitwise_count(high.view(np.uint64))
+        return at[differ <= np.floor((1 - t) / (1 + t) * (size[p] + size[q]) + 1e-9)]
+
     def tell(p, q):
-        ok = (sign[p] != sign[q]) & fits(size[p], place[p], size[q], place[q], t)
+        ok = likely(p, q)
         p, q = p[ok], q[ok]
         swap = rank[p] > rank[q]
         found.append(np.stack([np.where(swap, q, p), np.where(swap, p, q)]))
@@ -135,10 +161,10 @@ def _compared(x: np.ndarray, t: float):
         leaders = leaders[np.argsort(rank[leaders])]
         had = np.zeros(len(rows), np.int64)
         for lead in leaders:
-            ok = (had < FEW) & (rank[rows] > rank[lead]) & (sign[rows] != sign[lead])
-            ok[ok] = fits(size[rows[ok]], place[rows[ok]], size[lead], place[lead], t)
-            found.append(np.stack([np.full(ok.sum(), lead), rows[ok]]))
-            had += ok
+            ok = np.flatnonzero((had < FEW) & (rank[rows] > rank[lead]))
+            ok = ok[likely(np.full(len(ok), lead), rows[ok])]
+            found.append(np.stack([np.full(len(ok), lead), rows[ok]]))
+            had[ok] += 1
         crowded[rows[had > 0]] = True
         lone = rows[had == 0]
         low = np.searchsorted(where, g << 32 | needed(size[lone], t))
@@ -183,7 +209,7 @@ def meet(t: float):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in arrays], names)
 
     def run(batches):
-        held, waiting, rows = np.zeros((5, 0), np.int64), [], 0
+        held, waiting, rows = np.zeros((7, 0), np.int64), [], 0
         long_key = None  # the group that has been told in part
         for b in batches:
             waiting.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lorekeep.llm import linededup
+from lorekeep.llm import setjoin
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -30,10 +30,11 @@ def brute(rows):
     return {i for i in root if find(i) == i}
 
 
-@pytest.mark.parametrize("paired", [3, 32])
-def test_stage_finds_every_near_copy(spark, monkeypatch, paired):
+@pytest.mark.parametrize(("paired", "sizes"), [(32, {}), (3, {"ALL_PAIRS": 8, "LEADERS": 2, "FEW": 1, "AT_ONCE": 500, "HELD": 20})])
+def test_stage_finds_every_near_copy(spark, monkeypatch, paired, sizes):
     """Copies with single words changed, most of them further apart than two bits of a fingerprint."""
-    monkeypatch.setattr(linededup, "PAIRED", paired)
+    for name, value in {"PAIRED": paired, **sizes}.items():
+        monkeypatch.setattr(setjoin, name, value)
     rng = random.Random(8)
     vocab = [f"w{k}" for k in range(900)]
     rows = [(900, None, "x"), (901, " \n", "x"), (902, "Two words", "x"), (903, "two  words", "x"), (904, "a b c d", "x")]
