@@ -1,347 +1,504 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
 Every token is a customer in the restaurant of the word before it; every word that comes before another, and the start of
-a text, has a restaurant of its own, and every word is a dish. The parent of all of them is a restaurant over words. The
-(context, word) counts are a table that is dealt by word or by context, so contexts and dishes grow with the corpus and
-none has to fit anywhere but the words after one context. Seatings are Chinese-restaurant draws: the leaves are seated in
-sweeps, whole contexts in a task, under a root in which each (context, word) has one table; the root then takes the
-leaves' tables as its customers and is seated in sweeps of its own. Predictive probabilities are averaged over the sweeps
-after the burn-in.
-
-Tokens meet the probabilities of their (context, word) in a join; those of the LOCAL most frequent ones go to all tasks.
+a text, has a restaurant of its own, and every word is a dish. The parent of all of them is a restaurant over words, whose
+customers are the leaves' tables. Seatings are sampled by Gibbs: given x ~ Gamma(strength / discount + tables) of a
+restaurant its dishes are independent, and the tables of each are drawn from their law given its customers, which is that
+of the seatings of a Chinese restaurant. The chain runs leaves, root, leaves, each a few sweeps given the other level; predictive probabilities are averaged over the sweeps after the burn-in.
+
+Counts of (context, word) are dealt by context and sorted there, so contexts and dishes grow with the corpus. Restaurants
+of very frequent words are dealt by dish as well, each share taking its own tables, times the shares, for the whole. The
+counts of the LOCAL most frequent words and pairs are broadcast: tokens of such pairs are priced where they are read. All
+other tokens go to their context; those of rarer words get their word's probability in a join before.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import LOWER, crc_mod, slices, starts_of, stored, texts_of, tokens
+from lorekeep.llm.common import LOWER, Words, crc_mod, mixed, release, slices, starts_of, stored, texts_of
 
-#: Pairs of context and word whose probabilities are broadcast, at most.
+#: Words, and pairs of context and word, whose statistics are broadcast, at most.
 LOCAL = 1 << 18
-BURN_IN, SWEEPS = 4, 6
+BURN_IN, SWEEPS = 2, 4
 STRENGTH = 1.0
-#: Customers of one dish that are seated one by one; the tables of later ones are drawn at once.
-ONE_BY_ONE = 64
+#: Discount of the first leaf sweeps; later ones take it from the counts.
+DISCOUNT = 0.75
+#: Tokens of a context that go to one share, about; rows seated at once, groups never parted; bytes of text read at once.
+SHARE, AT_ONCE, SLICE = 1 << 18, 1 << 16, 8 << 20
+#: A pair may be among the most frequent from so many uses on, and from this part of all tokens on.
+FREQUENT, PART = 8, 1 << 24
 #: The hashes that stand for the end of a text and for its start.
 END = xxhash.xxh3_64_intdigest(b"\n end") - (1 << 63)
 START = xxhash.xxh3_64_intdigest(b"\n start") - (1 << 63)
-#: Pairs that one task seats at once, about; a context is never parted.
-AT_ONCE = 1 << 19
-SCORED = "doc_id long, key long, held_out boolean, n_tokens long, n_known long, base double, score double, far long, pairs array<long>, times array<long>"
+#: Customers of a dish up to which the law of its tables is tabulated.
+EXACT = 512
+SEATED = "kind int, word long, context long, n long, tables double, own double, back double"
+NEAR = "id long, doc_id long, salt int, held_out boolean, n_tokens long, n_known long, base double, score double, far long, words array<long>, contexts array<long>"
 
 
 def _tokens(column: pa.Array):
-    """Per token, ends included: the place of the word before it and its own; hashes by place; and tokens of each text."""
-    flat, counts = tokens(texts_of(column, LOWER))
-    d = flat.dictionary_encode()
-    words = d.dictionary.cast(pa.binary()).to_pylist()
-    hashes = np.array([*(xxhash.xxh3_64_intdigest(w) for w in words), END % (1 << 64), START % (1 << 64)], np.uint64).view(np.int64)
-    ids, n = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts + 1
-    token = np.full(n.sum(), len(words))
-    token[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    """Per token, ends included: the hashes of the word before it and of its own; and tokens of each text."""
+    found = Words(texts_of(column, LOWER))
+    n = found.counts + 1
+    token = np.full(n.sum(), END)
+    token[np.arange(len(found.row)) + found.row] = found.hashes().view(np.int64)
     before = np.empty(len(token), np.int64)
     before[1:] = token[:-1]
-    before[starts_of(n)[:-1]] = len(words) + 1
-    return before, token, hashes, n
-
-
-def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of both hashes."""
-    x, y = context.view(np.uint64), word.view(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + y
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
-
-
-def _pairs(batches):
-    """(context, word, n): training tokens of each pair in a slice; pairs of held-out texts alone come with none."""
-    for b in slices(batches, text=0, limit=16 << 20):
-        before, token, hashes, n = _tokens(b.column(0))
-        pair, at = np.unique(before * len(hashes) + token, return_inverse=True)
-        trained = np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)
-        count = np.bincount(at, trained, len(pair)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[pair // len(hashes)]), pa.array(hashes[pair % len(hashes)]), pa.array(count)], ["context", "word", "n"])
-
-
-def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish: customer n + 1 opens one with weight pull against n - discount * tables, and the first always does."""
-    order = np.argsort(-customers, kind="stable")
-    c, a = customers[order], pull[order]
-    t = np.ones(len(c))
-    for n in range(1, min(int(c[0]) if len(c) else 0, ONE_BY_ONE)):
-        k = int(np.searchsorted(-c, -n, "left"))  # those with more than n customers
-        if not k:
-            break
-        t[:k] += rng.random(k) * (n - discount * t[:k] + a[:k]) < a[:k]
-    k = int(np.searchsorted(-c, -ONE_BY_ONE, "left"))
-    if k:
-        low = ONE_BY_ONE - discount * t[:k] + a[:k]
-        t[:k] += np.minimum(rng.poisson(a[:k] * np.log((c[:k] - ONE_BY_ONE + low) / low)), c[:k] - ONE_BY_ONE)
-    out = np.empty(len(c))
-    out[order] = t
-    return out
-
-
-def discount_of(counts: np.ndarray) -> float:
-    one, two = (counts == 1).sum(), (counts == 2).sum()
-    return float(np.clip((one + 1) / (one + 2 * two + 2), 0.1, 0.95))
-
+    before[starts_of(n)[:-1]] = START
+    return before, token, n
 
-class Level:
-    """Restaurants of one level: customers and tables of each restaurant and dish."""
 
-    def __init__(self, customers: np.ndarray):
-        self.set(customers)
-        self.discount = discount_of(customers[customers > 0])
-        self.tables = (customers > 0).astype(float)
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8
+    series = (y - 0.5) * np.log(y) - y + 0.91893853320467274 + (1 / 12 - (1 / 360 - 1 / 1260 / y**2) / y**2) / y
+    return series - np.log(x * (x + 1) * (x + 2) * (x + 3)) - np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
 
-    def set(self, customers: np.ndarray) -> None:
-        self.customers, self.some = customers, np.nonzero(customers)
 
-    def spare(self) -> np.ndarray:
-        return STRENGTH + self.discount * self.tables.sum(axis=1, keepdims=True)
+def _uniform(key: np.ndarray, step: int) -> np.ndarray:
+    """A number from 0 to 1 for each key and step, the same each time: a task that runs again draws the same seating."""
+    return (mixed(key.view(np.uint64) + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)) * 2.0**-53
 
-    def predictive(self, parent: np.ndarray) -> np.ndarray:
-        return (self.customers - self.discount * self.tables + self.spare() * parent) / (STRENGTH + self.customers.sum(axis=1, keepdims=True))
 
-    def resample(self, parent: np.ndarray, rng: np.random.Generator) -> None:
-        pull = (self.spare() * parent)[self.some]
-        self.tables = np.zeros_like(self.customers, dtype=float)
-        self.tables[self.some] = seat(self.customers[self.some], pull, self.discount, rng)
+class Tables:
+    """Draws of the tables of dishes: n customers have t with weight S_d(n, t) a^t, S_d generalised Stirling numbers.
 
+    Up to EXACT customers the law itself is drawn from. Beyond, the first EXACT are drawn by it, weighted for those that
+    follow, and the others open tables as they come, in blocks in which their number is all but constant.
+    """
 
-def sample(leaves: np.ndarray, parents: np.ndarray, seed: int = 1) -> np.ndarray:
-    """Averaged predictive probabilities [restaurant, dish] from the counts of the contexts' and then the classes' own customers."""
-    contexts = len(parents)
-    own, direct = leaves[:contexts].astype(float), leaves[contexts:].astype(float)
-    classes, dishes = direct.shape
-    rng, base = np.random.default_rng(seed), np.full((1, dishes), 1 / dishes)
-
-    def up(tables):
-        out = direct.copy()
-        np.add.at(out, parents, tables)
+    def __init__(self, d: float):
+        self.d, t = d, np.arange(EXACT + 1)
+        self.log = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        self.log[1, 1] = 0.0
+        with np.errstate(divide="ignore"):
+            for n in range(1, EXACT):
+                joined = self.log[n] + np.log(np.maximum(n - d * t, 0))
+                self.log[n + 1] = np.logaddexp(joined, np.concatenate([[-np.inf], self.log[n, :-1]]))
+
+    def _pick(self, weights: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """A column of each row of log weights; columns count from 1."""
+        below = np.exp(weights - weights.max(axis=1, keepdims=True)).cumsum(axis=1)
+        return 1.0 + (below < (u * below[:, -1])[:, None]).sum(axis=1)
+
+    def draw(self, n: np.ndarray, a: np.ndarray, key: np.ndarray, step: int) -> np.ndarray:
+        order = np.argsort(n, kind="stable")
+        sizes, out = n[order], np.ones(len(n))
+        at = int(np.searchsorted(sizes, 2))
+        small = int(np.searchsorted(sizes, EXACT, "right"))
+        while at < small:
+            widest = min(max(int(sizes[at]), int(sizes[at] * 1.25)), EXACT)
+            to = min(int(np.searchsorted(sizes, widest, "right")), at + max(1, (1 << 22) // widest))
+            i = order[at:to]
+            widest = int(sizes[to - 1])
+            weights = self.log[n[i], 1 : widest + 1] + np.log(a[i])[:, None] * np.arange(1, widest + 1)
+            out[i] = self._pick(weights, _uniform(key[i], step))
+            at = to
+        for at in range(small, len(n), 1 << 12):
+            i = order[at : at + (1 << 12)]
+            out[i] = self._many(n[i].astype(float), a[i], key[i], step)
         return out
 
-    low = Level(own)
-    middle = Level(up(low.tables))
-    root = Level(middle.tables.sum(axis=0, keepdims=True))
-    total = np.zeros((contexts + classes, dishes))
-    for sweep in range(BURN_IN + SWEEPS):
-        top = root.predictive(base)
-        low.resample(middle.predictive(top)[parents], rng)
-        middle.set(up(low.tables))
-        middle.resample(top, rng)
-        root.set(middle.tables.sum(axis=0, keepdims=True))
-        root.resample(base, rng)
-        if sweep >= BURN_IN:
-            mid = middle.predictive(root.predictive(base))
-            total[:contexts] += low.predictive(mid[parents])
-            total[contexts:] += mid
-    return total / SWEEPS
-
-
-def mean_tables(times: np.ndarray, words: np.ndarray, pull: float, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Mean tables of words[i] dishes of times[i] customers each: few dishes one by one, many by how many have k tables."""
-    few, out = words <= 500, np.empty(len(times))
-    each = words[few].astype(np.int64)
-    t = seat(np.repeat(times[few], each).astype(float), np.full(each.sum(), pull), discount, rng)
-    out[few] = np.bincount(np.repeat(np.arange(len(each)), each), t, len(each)) / each
-    for i in np.flatnonzero(~few).tolist():
-        c = int(times[i])
-        having = np.zeros(min(c, ONE_BY_ONE) + 2, np.int64)  # dishes by their tables
-        having[1] = words[i]
-        k = np.arange(len(having))
-        for n in range(1, min(c, ONE_BY_ONE)):
-            new = rng.binomial(having, np.clip(pull / (n - discount * k + pull), 0, 1))
-            having -= new
-            having[1:] += new[:-1]
-        total = float((having * k).sum())
-        if c > ONE_BY_ONE:
-            low = ONE_BY_ONE - discount * k + pull
-            total += float(np.minimum(rng.poisson(having * pull * np.log((c - ONE_BY_ONE + low) / low)), having * (c - ONE_BY_ONE)).sum())
-        out[i] = total / words[i]
-    return out
-
-
-def rare_words(times: np.ndarray, words: np.ndarray, seed: int = 2) -> tuple[np.ndarray, float]:
-    """In the root: the averaged probability of a word by its customers (times), and of one never seen.
-
-    words[i] words have times[i] customers each. Every word is seated; words of one count are exchangeable, so only how
-    many of them have how many tables is drawn, and their mean tables give the probability of each.
+    def _many(self, n, a, key, step):
+        d, t = self.d, np.arange(1, EXACT + 1)
+        spare = a[:, None] - d * t
+        follow = _log_gamma(n[:, None] + spare) - _log_gamma(EXACT + spare)
+        tables, k = self._pick(self.log[EXACT, 1:] + np.log(a)[:, None] * t + follow, _uniform(key, step)), float(EXACT)
+        rng = np.random.default_rng([step, int(key[0]) % (1 << 63)])
+        while k < n.max():
+            to = np.maximum(np.minimum(np.floor(k * 1.25), n), k)
+            weight = a * ((k * 1.12 + a) / (n + a)) ** d
+            low = k - d * tables + weight
+            tables = tables + np.minimum(rng.poisson(weight * np.log((to - k + low) / low)), to - k)
+            k = np.floor(k * 1.25)
+        return tables
+
+
+def seat_leaves(group, n, root, share, spare, total, law: Tables, key, rng: np.random.Generator):
+    """(tables in the last sweep, mean tables, own, back) of each dish: its probability is own + back * the root's, a mean over sweeps.
+
+    group: the dish's restaurant, from 0; of each restaurant: share, the parts that its dishes are dealt to, spare, tables
+    of dishes that are seated elsewhere, and total, all its customers.
     """
-    total, base = float((times * words).sum()), 1 / (words.sum() + 1)
-    if not len(times):
-        return np.zeros(0), 1.0
-    d = float(np.clip((words[times == 1].sum() + 1) / (words[times == 1].sum() + 2 * words[times == 2].sum() + 2), 0.1, 0.95))
-    rng, tables, out, none = np.random.default_rng(seed), float(words.sum()), np.zeros(len(times)), 0.0
+    t, mean, mean_all = (n > 0).astype(float), np.zeros(len(n)), np.zeros(len(share))
+    many, d = np.flatnonzero(n > 1), law.d
+    of = lambda t: spare + share * np.bincount(group, t, len(share))
     for sweep in range(BURN_IN + SWEEPS):
-        pull = (STRENGTH + d * tables) * base
-        mean = mean_tables(times, words, pull, d, rng)
-        tables = float((mean * words).sum())
+        x = rng.gamma(STRENGTH / d + of(t))
+        t[many] = law.draw(n[many], d * np.maximum(x[group[many]] * root[many], 1e-300), key[many], sweep)
         if sweep >= BURN_IN:
-            spare = (STRENGTH + d * tables) * base
-            out += (times - d * mean + spare) / (STRENGTH + total)
-            none += spare / (STRENGTH + total)
-    return out / SWEEPS, none / SWEEPS
+            mean += t / SWEEPS
+            mean_all += of(t) / SWEEPS
+    return t, mean, (n - d * mean) / (STRENGTH + total)[group], ((STRENGTH + d * mean_all) / (STRENGTH + total))[group]
 
 
-class Root:
-    """Probabilities of words by their customers in the root."""
+class Top:
+    """The most frequent words: hashes, in order, their training tokens and, once known, their probabilities in the root.
 
-    def __init__(self, customers: np.ndarray, words: np.ndarray):
-        self.customers = customers
-        self.p, self.never = rare_words(customers, words)
+    A context's tokens are those of its word; spare: tables of the pairs that are priced where they are read.
+    """
 
-    def of(self, customers: np.ndarray) -> np.ndarray:
-        if not len(self.customers):
-            return np.full(len(customers), self.never)
-        at = np.minimum(np.searchsorted(self.customers, customers), len(self.customers) - 1)
-        return np.where(customers > 0, self.p[at], self.never)
+    def __init__(self, words: np.ndarray, times: np.ndarray, total: int, distinct: int):
+        by = np.argsort(words)
+        self.words, self.times, self.total, self.distinct = words[by], times[by], total, distinct
+        tokens = np.where(self.words == START, 0, self.times)
+        self.root = np.maximum(tokens, 0.5) / max(total, 1)
+        self.other = max(total - int(tokens.sum()), 1) / max(distinct - len(words), 1) / max(total, 1)
+        self.spare = np.zeros(len(words))
 
+    def index(self, h: np.ndarray) -> np.ndarray:
+        """The place of each word, or -1."""
+        if not len(self.words):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, at, -1)
 
-def seat_contexts(group: np.ndarray, n: np.ndarray, root: np.ndarray, discount: float, rng: np.random.Generator):
-    """(tables in the last sweep, own, back) of each pair: its probability is own + back * the root's; group: its context, from 0."""
-    total = STRENGTH + np.bincount(group, n)
-    tables, mean, many = (n > 0).astype(float), np.zeros(len(n)), np.flatnonzero(n > 1)
-    for sweep in range(BURN_IN + SWEEPS):
-        pull = (STRENGTH + discount * np.bincount(group, tables)[group[many]]) * root[many]
-        tables[many] = seat(n[many].astype(float), pull, discount, rng)
-        if sweep >= BURN_IN:
-            mean += tables / SWEEPS
-    return tables.astype(np.int64), (n - discount * mean) / total[group], ((STRENGTH + discount * np.bincount(group, mean)) / total)[group]
+    def take(self, values: np.ndarray, at: np.ndarray, other):
+        return np.where(at >= 0, values[at], other) if len(values) else np.full(len(at), other)
 
+    def shares(self, at: np.ndarray) -> np.ndarray:
+        return 1 + self.take(self.times, at, 0).astype(np.int64) // SHARE
 
-def _seater(root: Root, discount: float):
-    """Rows (context, word, n, kinds, total) sorted by context."""
-    names = ["word", "pair", "n", "kinds", "total", "tables", "own", "back"]
 
-    def run(batches):
-        held, waiting, rows = np.zeros((5, 0), np.int64), [], 0
+def _dealt(context, word, top: Top):
+    """The share of each of these pairs, and an order that keeps contexts and shares together."""
+    codes, contexts = pd.factorize(context)
+    share = (mixed(word.view(np.uint64)) % top.shares(top.index(contexts))[codes].astype(np.uint64)).astype(np.int64)
+    return share, np.argsort(codes * (share.max(initial=0) + 1) + share, kind="stable")
 
-        def seated(x):
-            context, word, n, kinds, total = x
-            group = np.cumsum(np.concatenate([[0], np.diff(context) != 0]))
-            tables, own, back = seat_contexts(group, n, root.of(kinds), discount, np.random.default_rng(int(context[0]) % (1 << 63)))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (word, pair_key(context, word), n, kinds, total, tables, own, back)], names)
 
-        for b in batches:
-            waiting.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
-            rows += b.num_rows
-            if rows >= AT_ONCE:
-                held = np.concatenate([held, *waiting], axis=1)
-                waiting, rows = [], 0
-                cut = int(np.searchsorted(held[0], held[0, -1]))  # the last context may go on
-                if cut:
-                    yield seated(held[:, :cut])
-                    held = held[:, cut:].copy()
-        held = np.concatenate([held, *waiting], axis=1)
-        if held.shape[1]:
-            yield seated(held)
+def _lists(context, share, columns) -> pa.RecordBatch:
+    """A row for each run of equal (context, share), with lists of the columns."""
+    new = np.ones(len(context), bool)
+    new[1:] = (context[1:] != context[:-1]) | (share[1:] != share[:-1])
+    begin = np.flatnonzero(new)
+    at = pa.array(np.append(begin, len(context)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(context[begin]), pa.array(share[begin].astype(np.int32)), *(pa.ListArray.from_arrays(at, pa.array(c)) for c in columns.values())], ["context", "share", *columns])
 
-    return run
 
+def _counted(batches):
+    """(word, n): training tokens in a slice."""
+    for b in slices(batches, text=0, limit=SLICE):
+        _, token, n = _tokens(b.column(0))
+        codes, words = pd.factorize(token[np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)])
+        yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))], ["word", "n"])
+
+
+def _pairs(top: Top):
+    """(context, share, words, times): training tokens of each pair in a slice."""
 
-def _pricer(root: Root):
     def run(batches):
-        for b in batches:
-            pair, n, customers, total, own, back = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, n, (total > 0).astype(np.int64), np.log10(total + 1.0), np.log10(own + back * root.of(customers)))], ["pair", "n", "known", "base", "score"])
+        for b in slices(batches, text=0, limit=SLICE):
+            before, token, n = _tokens(b.column(0))
+            trained = np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)
+            codes, words = pd.factorize(np.concatenate([token[trained], before[trained]]))
+            half = len(codes) // 2
+            pair, times = np.unique(codes[half:] * len(words) + codes[:half], return_counts=True)
+            if not len(pair):
+                continue
+            context, word = words[pair // len(words)], words[pair % len(words)]
+            share, by = _dealt(context, word, top)
+            yield _lists(context[by], share[by], {"words": word[by], "times": times[by].astype(np.int32)})
 
     return run
 
 
-def _scorer(pairs: np.ndarray, values: np.ndarray):
-    """pairs: sorted; values: (known, base, score) of each."""
+def _groups(batches):
+    """Batches of rows sorted by (context, share), so cut that no group is parted; by rows, so that a task that runs again cuts alike."""
+    held, rows = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows >= AT_ONCE:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            context, share = (whole[c].to_numpy() for c in ("context", "share"))
+            last = np.flatnonzero((context != context[-1]) | (share != share[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield whole.slice(0, cut)
+            held = whole.slice(cut).to_batches()
+            rows = whole.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _flat(rows: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy() for c in rows[name].chunks])
+
+
+class Dishes:
+    """The distinct dishes of some groups' rows: per token (item) its dish, and per dish its group and word."""
+
+    def __init__(self, rows: pa.Table):
+        context, share = (rows[c].to_numpy() for c in ("context", "share"))
+        new = np.concatenate([[True], (np.diff(context) != 0) | (np.diff(share) != 0)])
+        self.contexts = context[new]
+        sizes = np.concatenate([c.value_lengths().to_numpy() for c in rows["words"].chunks]).astype(np.int64)
+        group, word = np.repeat(np.cumsum(new) - 1, sizes), _flat(rows, "words")
+        by = np.lexsort((word, group))
+        first = np.ones(len(by), bool)
+        first[1:] = (np.diff(group[by]) != 0) | (np.diff(word[by]) != 0)
+        self.item = np.empty(len(by), np.int64)
+        self.item[by] = np.cumsum(first) - 1
+        self.first = by[first]
+        self.group, self.word = group[self.first], word[self.first]
+
+    def seat(self, n: np.ndarray, root: np.ndarray, top: Top, law: Tables):
+        at = top.index(self.contexts)
+        total = top.take(top.times, at, 0) + np.where(at < 0, np.bincount(self.group, n, len(self.contexts)), 0)
+        key = mixed(mixed(self.contexts.view(np.uint64))[self.group] + self.word.view(np.uint64)).view(np.int64)
+        seed = int(self.contexts[0]) % (1 << 63)
+        return seat_leaves(self.group, n, root, top.shares(at), top.take(top.spare, at, 0.0), total, law, key, np.random.default_rng(seed))
+
+
+def _first_leaves(top: Top, least: int):
+    """SEATED of training pairs: (word, tables) of each word (0), the most frequent pairs (1), pairs that come once and twice (2)."""
 
     def run(batches):
-        kind = pa.list_(pa.int64())
-        for b in slices(batches):
-            before, token, hashes, n = _tokens(b.column(1))
-            key = pair_key(hashes[before], hashes[token])
-            at = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
-            near = pairs[at] == key if len(pairs) else np.zeros(len(key), bool)
-            row, begin = np.repeat(np.arange(len(n)), n), starts_of(n)
-            total = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: E731  every text has an end
-            known, base, score = (total(np.where(near, v[at], 0.0)) if len(pairs) else np.zeros(len(n)) for v in values)
-            far = np.flatnonzero(~near)
-            order = far[np.lexsort((key[far], row[far]))]
-            first = np.ones(len(order), bool)
-            first[1:] = (np.diff(key[order]) != 0) | (np.diff(row[order]) != 0)
-            first = np.flatnonzero(first)
-            times = np.diff(np.append(first, len(order)))
-            lists = pa.array(starts_of(np.bincount(row[order[first]], minlength=len(n))).astype(np.int32))
+        law = Tables(DISCOUNT)
+        for rows in _groups(batches):
+            x = Dishes(rows)
+            n = np.bincount(x.item, _flat(rows, "times"), len(x.word)).astype(np.int64)
+            last, tables, own, back = x.seat(n, top.take(top.root, top.index(x.word), top.other), top, law)
+            codes, words = pd.factorize(x.word)
+            often = np.flatnonzero(n >= least)
+            kind = np.repeat([0, 1, 2], [len(words), len(often), 1]).astype(np.int32)
+            fill = np.zeros(len(words))
+            once, twice = (n == 1).sum(), (n == 2).sum()
+            whole = lambda a, b, c: pa.array(np.concatenate([a, b, [c]]))
+            zero = fill.astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(total((~near).astype(np.int64))), pa.ListArray.from_arrays(lists, pa.array(key[order[first]])), pa.ListArray.from_arrays(lists, pa.array(times)).cast(kind)],
-                ["doc_id", "key", "held_out", "n_tokens", "n_known", "base", "score", "far", "pairs", "times"],
+                [pa.array(kind), whole(words, x.word[often], 0), whole(zero, x.contexts[x.group[often]], 0), whole(zero, n[often], once), whole(np.bincount(codes, last, len(words)), tables[often], float(twice)), whole(fill, own[often], 0.0), whole(fill, back[often], 0.0)],
+                [c.split()[0] for c in SEATED.split(", ")],
             )
 
     return run
 
 
-def _spectrum(pairs: DataFrame, customers: str) -> tuple[np.ndarray, np.ndarray]:
-    """(customers, words that have so many) in the root; kinds pairs of each word are trained, so each stands for a part of it."""
-    rows = sorted((r[0], round(r.words)) for r in pairs.filter("n > 0").groupBy(customers).agg(F.sum(1 / F.col("kinds")).alias("words")).collect())  # under sqrt(2 N) rows
-    return np.array([x for x, _ in rows], np.int64), np.array([x for _, x in rows], np.int64)
+class Pairs:
+    """The pairs of context and word that are priced where they are read: places of both among the top words, and log10 of the probability."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, score: np.ndarray):
+        key = context << 32 | word
+        by = np.argsort(key)
+        self.key, self.score = key[by], score[by]
+
+    def index(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each pair, or -1."""
+        out = np.full(len(context), -1)
+        if len(self.key):
+            some = np.flatnonzero((context >= 0) & (word >= 0))
+            key = context[some] << 32 | word[some]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            out[some] = np.where(self.key[at] == key, at, -1)
+        return out
+
+
+def _placed(column: pa.Array, top: Top, pairs: Pairs):
+    before, token, n = _tokens(column)
+    codes, words = pd.factorize(np.concatenate([token, before]))
+    at = top.index(words)[codes]
+    return before, token, n, at[: len(token)], pairs.index(at[len(token) :], at[: len(token)])
+
+
+def _near(top: Top, pairs: Pairs):
+    """NEAR: what is known of each document from broadcast statistics; far counts its tokens in other pairs, words and contexts list the rarer words among them."""
+
+    def run(batches):
+        for b in slices(batches, limit=SLICE):
+            before, token, n, word, pair = _placed(b.column(1), top, pairs)
+            begin, row = starts_of(n), np.repeat(np.arange(len(n)), n)
+            sums = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: E731  every text has an end
+            known = word >= 0
+            base = np.where(known, np.log10(top.take(top.times, word, 0) + 1.0), 0.0)
+            score = np.where(pair >= 0, pairs.score[pair], 0.0) if len(pairs.key) else np.zeros(len(word))
+            rare = np.flatnonzero(~known)
+            lists = pa.array(starts_of(np.bincount(row[rare], minlength=len(n))).astype(np.int32))
+            arrays = [pa.array(n), pa.array(sums(known.astype(np.int64))), pa.array(sums(base)), pa.array(sums(score)), pa.array(sums((pair < 0).astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), b.column(2), b.column(3), *arrays, pa.ListArray.from_arrays(lists, pa.array(token[rare])), pa.ListArray.from_arrays(lists, pa.array(before[rare]))], [c.split()[0] for c in NEAR.split(", ")])
+
+    return run
+
+
+def _far(top: Top, pairs: Pairs):
+    """(context, share, words, docs, salts) of tokens of frequent words in other pairs."""
+
+    def run(batches):
+        for b in slices(batches, limit=SLICE):
+            before, token, n, word, pair = _placed(b.column(1), top, pairs)
+            far = np.flatnonzero((pair < 0) & (word >= 0))
+            if not len(far):
+                continue
+            row = np.repeat(np.arange(len(n)), n)[far]
+            share, by = _dealt(before[far], token[far], top)
+            columns = {"words": token[far][by], "docs": b.column(0).to_numpy()[row[by]], "salts": b.column(2).to_numpy()[row[by]]}
+            yield _lists(before[far][by], share[by], columns)
+
+    return run
+
+
+def _last_leaves(top: Top, d: float):
+    """(id, salt, times, score): sums over the tokens of some groups."""
+
+    def run(batches):
+        law = Tables(d)
+        for rows in _groups(batches):
+            x = Dishes(rows)
+            docs, salts, given = _flat(rows, "docs"), _flat(rows, "salts"), _flat(rows, "roots")
+            n = np.bincount(x.item, salts & 1, len(x.word)).astype(np.int64)
+            # Rows of rarer words bring their probability; others look it up.
+            at, lists = top.index(x.word), np.concatenate([c.value_lengths().to_numpy() for c in rows["words"].chunks])
+            has = np.concatenate([c.value_lengths().to_numpy() for c in rows["roots"].chunks]) > 0
+            brought = np.zeros(len(x.item))
+            brought[np.repeat(has, lists)] = given
+            root = top.take(top.root, at, 0.0)
+            root = np.where(at >= 0, root, brought[x.first])
+            _, _, own, back = x.seat(n, root, top, law)
+            price = np.log10(own + back * root)[x.item]
+            order = np.lexsort((salts, docs))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(docs[order]) != 0) | (np.diff(salts[order]) != 0)
+            begin = np.flatnonzero(new)
+            times = np.diff(np.append(begin, len(order)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs[order][begin]), pa.array(salts[order][begin]), pa.array(times), pa.array(np.add.reduceat(price[order], begin))], ["id", "salt", "times", "score"])
+
+    return run
+
+
+def discount_of(one: float, two: float) -> float:
+    return float(np.clip((one + 1) / (one + 2 * two + 2), 0.1, 0.95))
+
+
+def root_tables(n: np.ndarray, key: np.ndarray, x: float, base: float, law: Tables, sweep: int) -> np.ndarray:
+    """Tables of each word in the root in a sweep, given its x."""
+    t, many = (n > 0).astype(float), np.flatnonzero(n > 1)
+    t[many] = law.draw(n[many], np.full(len(many), law.d * x * base), key[many], sweep)
+    return t
+
+
+def root_of(words: DataFrame, distinct: int, seed: int = 2) -> DataFrame:
+    """words (word, times, customers) with the averaged probability of each in the root: (word, times, root); and that of a word never seen.
 
+    Each sweep draws x from all tables of the one before, and the tables of each word given x.
+    """
+    total, kinds, one, two = words.agg(F.sum("customers"), *[F.count_if(F.expr(c)) for c in ("customers > 0", "customers = 1", "customers = 2")]).first()
+    total, base, d = float(total or 0), 1 / (distinct + 1), discount_of(one, two)
+    rng, xs, tables = np.random.default_rng(seed), [], [float(kinds)]
+
+    def counted(sweep, x):
+        def run(batches):
+            law = Tables(d)
+            for b in batches:
+                t = root_tables(b.column(1).to_numpy(), b.column(0).to_numpy(), x, base, law, sweep)
+                yield pa.RecordBatch.from_arrays([pa.array([float(t.sum())])], ["tables"])
+
+        return run
+
+    for sweep in range(BURN_IN + SWEEPS):
+        xs.append(float(rng.gamma(STRENGTH / d + tables[-1])))
+        tables.append(float(words.select("word", "customers").mapInArrow(counted(sweep, xs[-1]), "tables double").agg(F.sum("tables")).first()[0] or 0.0))
+    spare = np.array([STRENGTH + d * t for t in tables[1 + BURN_IN :]]).mean() * base / (STRENGTH + total)
+
+    def priced(batches):
+        law = Tables(d)
+        for b in batches:
+            n, key = b.column(2).to_numpy(), b.column(0).to_numpy()
+            t = np.mean([root_tables(n, key, xs[k], base, law, k) for k in range(BURN_IN, BURN_IN + SWEEPS)], axis=0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((n - d * t) / (STRENGTH + total) + spare)], ["word", "times", "root"])
+
+    return words.select("word", "times", "customers").mapInArrow(priced, "word long, times long, root double"), float(spare)
 
-def seated(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """(pair, n, known, base, score) of every pair of context and word in docs (text, train): log10 of its probability; training tokens and words."""
-    of_word = Window.partitionBy("word")
-    pairs = docs.mapInArrow(_pairs, "context long, word long, n long").repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    pairs = stored(pairs.select("context", "word", "n", F.sum((F.col("n") > 0).cast("long")).over(of_word).alias("kinds"), F.sum("n").over(of_word).alias("total")))
-    total, one, two = pairs.agg(F.sum("n"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    kinds, words = _spectrum(pairs, "kinds")
-    discount = float(np.clip((one + 1) / (one + 2 * two + 2), 0.1, 0.95))
-    dealt = pairs.repartition("context").sortWithinPartitions("context", "word")
-    drawn = dealt.mapInArrow(_seater(Root(kinds, words), discount), "word long, pair long, n long, kinds long, total long, tables long, own double, back double")
-    drawn = stored(drawn.select("pair", "n", "kinds", F.sum("tables").over(of_word).alias("customers"), "total", "own", "back"))
-    root = Root(*_spectrum(drawn, "customers"))
-    priced = drawn.select("pair", "n", "customers", "total", "own", "back").mapInArrow(_pricer(root), "pair long, n long, known long, base double, score double")
-    return priced, int(total or 0), int(words.sum())
+
+def _by_context(rows: DataFrame) -> DataFrame:
+    return rows.repartition("context", "share").sortWithinPartitions("context", "share")
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document row.
 
     Learns from rows whose crc32 of doc_id mod 7 is not 2. A null text is empty: one end token. Without training rows all
-    probabilities are 1. Repeated rows keep a row each, and each counts in training; extra columns are ignored; an empty
-    table gives an empty result. A word is known by a 64-bit hash, as is a pair of words.
+    probabilities are 1. Repeated rows keep a row each, and each counts in training; rows of one doc_id with other texts
+    are told apart by 30 bits of the text's hash. Extra columns are ignored; an empty table gives an empty result. A word
+    is known by a 64-bit hash.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs, total, distinct = seated(docs.select("text", (crc_mod("doc_id", 7) != 2).alias("train")))
-    pairs = stored(pairs)
-    spectrum = sorted((r.n, r.pairs) for r in pairs.groupBy("n").agg(F.count("*").alias("pairs")).collect())  # under sqrt(2 N) rows
-    times, many = np.array([x for x, _ in spectrum], np.int64), np.array([x for _, x in spectrum], np.int64)
-    more = np.cumsum(many[::-1])[::-1]
-    least = int(times[more <= LOCAL].min()) if (more <= LOCAL).any() else total + 1
-    local = pairs.filter(F.col("n") >= least).orderBy("pair").toArrow()
-    values = np.stack([local.column(c).to_numpy().astype(float) for c in ("known", "base", "score")])
-
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), (crc_mod("doc_id", 7) == 2).alias("held_out"))
-    near = stored(keyed.mapInArrow(_scorer(local.column("pair").to_numpy(), values), SCORED))
-    far = near.select("key", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("key", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    met = far.join(pairs.filter(F.col("n") < least), "pair")
-    met = met.groupBy("key").agg(F.sum("times").alias("far_times"), *[F.sum(F.col("times") * F.col(c)).alias("far_" + c) for c in ("known", "base", "score")])
-    out = near.join(met, "key", "left")
-    # Equal rows met their pairs together: each takes its share.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (crc_mod("doc_id", 7) != 2).alias("train"))
+    counts = stored(docs.select("text", "train").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("times")))
+    total, distinct = (int(x or 0) for x in counts.agg(F.sum("times"), F.count("*")).first())
+    trained = docs.filter("train").count()
+    most = counts.orderBy(F.desc("times"), "word").limit(LOCAL).toArrow()
+    top = Top(np.append(most.column("word").to_numpy(), START), np.append(most.column("times").to_numpy(), trained), total, distinct)
+
+    pairs = _by_context(docs.select("text", "train").mapInArrow(_pairs(top), "context long, share int, words array<long>, times array<int>"))
+    least = max(FREQUENT, total // PART)
+    seated = stored(pairs.mapInArrow(_first_leaves(top, least), SEATED))
+    one, two = seated.filter("kind = 2").agg(F.sum("n"), F.sum("tables")).first()
+    d = discount_of(one or 0, two or 0)
+    customers = seated.filter("kind = 0").groupBy("word").agg(F.sum("tables").cast("long").alias("customers"))
+    priced, never = root_of(stored(counts.join(customers, "word")), distinct)
+    roots = stored(priced)
+    found = roots.orderBy(F.desc("times"), "word").limit(LOCAL).toArrow()
+    top.root[top.index(found.column("word").to_numpy())] = found.column("root").to_numpy()
+    rarest = int(found.column("times").to_numpy().min(initial=total))
+
+    often = seated.filter("kind = 1").orderBy(F.desc("n"), "context", "word").limit(LOCAL).toArrow()
+    context, word = (top.index(often.column(c).to_numpy()) for c in ("context", "word"))
+    use = (context >= 0) & (word >= 0)
+    context, word = context[use], word[use]
+    n, tables, back = (often.column(c).to_numpy()[use] for c in ("n", "tables", "back"))
+    own = (n - d * tables) / (STRENGTH + top.times[context])
+    back = (STRENGTH + d * (back * (STRENGTH + top.times[context]) - STRENGTH) / DISCOUNT) / (STRENGTH + top.times[context])
+    local = Pairs(context, word, np.log10(own + back * top.root[word]))
+    top.spare = np.bincount(context, tables, len(top.words))
+    release(seated)
+
+    salt = F.shiftleft(F.shiftright(F.xxhash64("text"), 34).cast("int"), 1).bitwiseOR(F.col("train").cast("int")).alias("salt")
+    keyed = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("id"), "text", salt, (~F.col("train")).alias("held_out"), "doc_id")
+    near = stored(keyed.mapInArrow(_near(top, local), NEAR))
+    listed = near.select("id", "salt", F.explode(F.arrays_zip("words", "contexts")).alias("x")).select("id", "salt", F.col("x.words").alias("word"), F.col("x.contexts").alias("context"))
+    rare = listed.join(roots.filter(F.col("times") <= rarest), "word", "left")
+    rare = stored(rare.select("id", "salt", "word", "context", F.coalesce("times", F.lit(0)).alias("times"), F.coalesce("root", F.lit(never)).alias("root")))
+    as_lists = rare.select("context", F.lit(0).alias("share"), *[F.array(c).alias(n) for c, n in (("word", "words"), ("id", "docs"), ("salt", "salts"), ("root", "roots"))])
+    frequent = keyed.select("id", "text", "salt").mapInArrow(_far(top, local), "context long, share int, words array<long>, docs array<long>, salts array<int>")
+    tokens = frequent.withColumn("roots", F.array().cast("array<double>")).unionByName(_shared(as_lists, top))
+    met = _by_context(tokens).mapInArrow(_last_leaves(top, d), "id long, salt int, times long, score double")
+    met = stored(met.groupBy("id", "salt").agg(F.sum("times").alias("far_times"), F.sum("score").alias("far_score")))
+    known = rare.groupBy("id", "salt").agg(F.count("*").alias("rare_times"), F.count_if(F.col("times") > 0).alias("rare_known"), F.sum(F.log10(F.col("times") + 1.0)).alias("rare_base"))
+    out = near.join(met, ["id", "salt"], "left").join(known, ["id", "salt"], "left")
+    # Equal rows met their tokens together: each takes its share.
     part = F.when(F.col("far") > 0, F.col("far") / F.col("far_times")).otherwise(0.0)
-    add = lambda c: F.when(F.col("far") > 0, F.col("far_" + c) * part).otherwise(0.0)
+    rare_part = F.when(F.size("words") > 0, F.size("words") / F.col("rare_times")).otherwise(0.0)
+    add = lambda c, part: F.coalesce(F.col(c) * part, F.lit(0.0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.round(add("known")).cast("long")).alias("n_known"),
+        (F.col("n_known") + F.round(add("rare_known", rare_part)).cast("long")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + add("base") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
-        (F.col("score") + add("score")).alias("score"),
+        (F.col("base") + add("rare_base", rare_part) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
+        (F.col("score") + add("far_score", part)).alias("score"),
     )
 
 
+def _shared(rows: DataFrame, top: Top) -> DataFrame:
+    """rows of one word each, in its share of the context."""
+
+    def run(batches):
+        for b in batches:
+            at = top.index(b.column(0).to_numpy())
+            word = b.column(2).flatten().to_numpy()
+            share = (mixed(word.view(np.uint64)) % top.shares(at).astype(np.uint64)).astype(np.int32)
+            yield b.set_column(1, "share", pa.array(share))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def perplexity(scored: DataFrame) -> DataFrame:
     """(held_out, perplexity, base_perplexity): a token's, over all documents of each kind."""
     of = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))

@@ -49,28 +49,61 @@ def test_base_is_exact_and_the_model_beats_it(spark, monkeypatch, local):
     assert all(r.perplexity < r.base_perplexity for r in lm.perplexity(got).collect())
 
 
-def test_predictive_probabilities_sum_to_one():
-    rng = np.random.default_rng(4)
-    leaves = rng.poisson(0.7, (9, 30)) * rng.poisson(3, (9, 30))
-    p = lm.sample(leaves, np.array([0, 1, 1, 3, 2]))
-    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
-    times, n = np.array([1, 2, 7, 300]), np.array([50, 20, 4, 1])
-    rare, never = lm.rare_words(times, n)
-    assert math.isclose((rare * n).sum() + never, 1, rel_tol=1e-9)
-
-
-def test_seating_has_the_expected_tables():
-    """The mean number of tables of a Chinese restaurant with discount, against its recursion."""
-    rng = np.random.default_rng(1)
-    for c, d, a in ((5, 0.5, 0.8), (40, 0.7, 2.0), (64, 0.3, 1.0), (500, 0.2, 3.0)):
-        t = lm.seat(np.full(4000, float(c)), np.full(4000, a), d, rng).mean()
-        dist = np.zeros(c + 2)
-        dist[1] = 1
-        for n in range(1, c):
-            k = np.arange(c + 2)
-            p = np.clip(a / (n - d * k + a), 0, 1)
-            dist = dist * (1 - p) + np.concatenate([[0], (dist * p)[:-1]])
-        assert abs(t - (dist * np.arange(c + 2)).sum()) < 0.03 * t + 0.05
+def law(n, a, d):
+    """P(t) of the tables of a dish with n customers, whose seatings weigh a for each table and n - d t for its later customers."""
+    p = np.zeros(n + 2)
+    p[1] = 1
+    for k in range(1, n):
+        t = np.arange(n + 2)
+        p = p * np.maximum(k - d * t, 0) + np.concatenate([[0], p[:-1] * a])
+        p /= p.sum()
+    return p
+
+
+@pytest.mark.parametrize(("n", "a", "d"), [(2, 0.3, 0.5), (5, 0.8, 0.5), (16, 0.05, 0.8), (17, 2.0, 0.3), (60, 3.0, 0.7), (500, 0.6, 0.4)])
+def test_tables_follow_their_law(n, a, d):
+    m = 20000
+    key = np.arange(m) * 7919 + 1
+    draw = lambda: lm.Tables(d).draw(np.full(m, n), np.full(m, a), key, 3)
+    t = draw()
+    assert np.abs(np.bincount(t.astype(int), minlength=n + 2) / m - law(n, a, d)).max() < 0.015
+    assert (draw() == t).all()  # a task that runs again draws the same
+
+
+@pytest.mark.parametrize(("n", "a", "d"), [(700, 0.6, 0.4), (3000, 2.0, 0.7), (3000, 40.0, 0.75), (5000, 0.01, 0.3)])
+def test_many_customers_have_about_the_tables_of_their_law(n, a, d):
+    t = lm.Tables(d).draw(np.full(4000, n), np.full(4000, a), np.arange(4000) * 7919 + 1, 1)
+    mean = (law(n, a, d) * np.arange(n + 2)).sum()
+    assert abs(t.mean() - mean) < 0.03 * mean + 0.03
+
+
+def test_log_gamma():
+    for x in (1e-9, 0.3, 1.0, 7.5, 1e3, 1e9):
+        assert math.isclose(lm._log_gamma(np.array([x]))[0], math.lgamma(x), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_scores_of_texts_without_repeated_pairs_are_exact(spark):
+    """Where no pair and no word comes twice, every dish has one table, and the model has a closed form."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(6)), 0, "") for i in range(60)]
+    train = [r for r in rows if not held(r[0])]
+    count = Counter(w for _, t, *_ in train for w in words(t))
+    ends, n, kinds = count[None], sum(count.values()), len(count)
+    d = lm.discount_of(n, 0)
+    # Customers of the root: one a pair; the end has one from each last word.
+    d0, b = lm.discount_of(kinds - 1, 0), 1 / (kinds + 1)
+    got = {r.doc_id: r for r in lm.scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    new, start_new = (1 + d) / 2, (1 + d * len(train)) / (1 + len(train))
+    for i, t, *_ in train:
+        # A root word of one customer has one table; only the end's tables are drawn, between 1 and its customers.
+        low, high = [], []
+        for out, tables in ((low, ends), (high, 1)):
+            spare = lambda k: (1 + d0 * (kinds - 1 + k)) * b / (1 + n)
+            for j, w in enumerate(words(t)):
+                root = ((ends - d0 * tables) if w is None else 1 - d0) / (1 + n) + spare(1 if out is low else ends)
+                context = (1 - d) / (1 + len(train)) + start_new * root if j == 0 else (1 - d) / 2 + new * root
+                out.append(math.log10(context))
+        below, above = sorted((sum(low), sum(high)))
+        assert below - 1e-9 <= got[i].score <= above + 1e-9 and above - below < 0.8
 
 
 def test_empty_and_untrained(spark):
@@ -94,12 +127,24 @@ def test_every_context_and_word_has_its_own_statistics(spark):
     assert got[asked[0]].score - got[asked[1]].score > 2 * len(k)  # a hundred times as likely, for each pair
 
 
-def test_contexts_are_distributions_and_all_words_are_seated():
+def test_contexts_and_root_are_distributions(spark):
     rng = np.random.default_rng(2)
     n, root = rng.poisson(1.5, (50, 40)), rng.dirichlet(np.ones(40))
-    _, own, back = lm.seat_contexts(np.repeat(np.arange(50), 40), n.ravel(), np.tile(root, 50), 0.6, rng)
+    group = np.repeat(np.arange(50), 40)
+    one = np.ones(50)
+    _, tables, own, back = lm.seat_leaves(group, n.ravel(), np.tile(root, 50), one, 0 * one, n.sum(axis=1), lm.Tables(0.6), np.arange(2000), rng)
     p = (own + back * np.tile(root, 50)).reshape(50, 40)
     assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
-    for c in (3, 40, 200):
-        many = lm.mean_tables(np.array([c]), np.array([5000]), 0.8, 0.5, rng)[0]
-        assert abs(many - lm.seat(np.full(5000, float(c)), np.full(5000, 0.8), 0.5, rng).mean()) < 0.05 * many
+    rows = [(w, 5, int(c)) for w, c in enumerate(rng.poisson(4, 200) + 1)]
+    priced, never = lm.root_of(spark.createDataFrame(rows, "word long, times long, customers long"), len(rows))
+    assert math.isclose(sum(r.root for r in priced.collect()) + never, 1, rel_tol=1e-9)
+
+
+def test_shares_of_large_restaurants_change_little(spark, monkeypatch):
+    rows = cases()
+    whole = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for name, value in {"SHARE": 50, "AT_ONCE": 7, "SLICE": 900, "LOCAL": 30, "FREQUENT": 3}.items():
+        monkeypatch.setattr(lm, name, value)
+    parts = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert parts.keys() == whole.keys()
+    assert all(abs(parts[k] - whole[k]) < 0.05 * abs(whole[k]) + 0.5 for k in whole)
