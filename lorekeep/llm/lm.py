@@ -6,7 +6,7 @@ customers are the leaves' tables. Seatings are sampled by Gibbs: given x ~ Gamma
 restaurant its dishes are independent, and the tables of each are drawn from their law given its customers, which is that
 of the seatings of a Chinese restaurant. The chain runs leaves, root, leaves, each a few sweeps given the other level; predictive probabilities are averaged over the sweeps after the burn-in.
 
-Counts of (context, word) are dealt by context and sorted there, so contexts and dishes grow with the corpus. Restaurants
+Counts of (context, word) are dealt by context into buckets of bounded size, so contexts and dishes grow with the corpus. Restaurants
 of very frequent words are dealt by dish as well, each share taking its own tables, times the shares, for the whole. The
 counts of the LOCAL most frequent words and pairs are broadcast: tokens of such pairs are priced where they are read. All
 other tokens go to their context; those of rarer words get their word's probability in a join before.
@@ -29,8 +29,8 @@ BURN_IN, SWEEPS = 2, 4
 STRENGTH = 1.0
 #: Discount of the first leaf sweeps; later ones take it from the counts.
 DISCOUNT = 0.75
-#: Tokens of a context that go to one share, about; rows seated at once, groups never parted; bytes of text read at once.
-SHARE, AT_ONCE, SLICE = 1 << 18, 1 << 16, 8 << 20
+#: Tokens of a context that go to one share, and tokens that are seated at once, about; bytes of text read at once.
+SHARE, BUCKET, SLICE = 1 << 18, 1 << 20, 8 << 20
 #: A pair may be among the most frequent from so many uses on, and from this part of all tokens on.
 FREQUENT, PART = 8, 1 << 24
 #: The hashes that stand for the end of a text and for its start.
@@ -161,24 +161,66 @@ class Top:
     def take(self, values: np.ndarray, at: np.ndarray, other):
         return np.where(at >= 0, values[at], other) if len(values) else np.full(len(at), other)
 
-    def shares(self, at: np.ndarray) -> np.ndarray:
-        return 1 + self.take(self.times, at, 0).astype(np.int64) // SHARE
+    def share(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The share of a context that a dish is dealt to; context: places among the top words, or -1; word: hashes."""
+        many = 1 + self.take(self.times, context, 0).astype(np.int64) // SHARE
+        out = np.zeros(len(context), np.int64)
+        large = np.flatnonzero(many > 1)
+        out[large] = (mixed(word[large].view(np.uint64)) % many[large].astype(np.uint64)).astype(np.int64)
+        return out
 
+    def shares(self, context: np.ndarray) -> np.ndarray:
+        return 1 + self.take(self.times, context, 0).astype(np.int64) // SHARE
 
-def _dealt(context, word, top: Top):
-    """The share of each of these pairs, and an order that keeps contexts and shares together."""
-    codes, contexts = pd.factorize(context)
-    share = (mixed(word.view(np.uint64)) % top.shares(top.index(contexts))[codes].astype(np.uint64)).astype(np.int64)
-    return share, np.argsort(codes * (share.max(initial=0) + 1) + share, kind="stable")
+
+def _bucket(context: np.ndarray, share: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(context.view(np.uint64) + share.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _lists(context, share, columns) -> pa.RecordBatch:
-    """A row for each run of equal (context, share), with lists of the columns."""
-    new = np.ones(len(context), bool)
-    new[1:] = (context[1:] != context[:-1]) | (share[1:] != share[:-1])
-    begin = np.flatnonzero(new)
-    at = pa.array(np.append(begin, len(context)).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(context[begin]), pa.array(share[begin].astype(np.int32)), *(pa.ListArray.from_arrays(at, pa.array(c)) for c in columns.values())], ["context", "share", *columns])
+def _packed(top: Top, buckets: int, context: np.ndarray, word: np.ndarray, **each: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, of runs of equal contexts and their words; frequent words by their places among the top ones.
+
+    each: more values of each token, among them doc, the place of its document; ids and salts name the documents.
+    """
+    ids, salts = each.pop("ids", None), each.pop("salts", None)
+    codes, contexts = pd.factorize(context)
+    context_at, word_at = top.index(contexts), top.index(word)
+    bucket = _bucket(context, top.share(context_at[codes], word), buckets)
+    by = np.argsort(bucket * len(contexts) + codes, kind="stable")
+    bucket, codes, word, word_at = bucket[by], codes[by], word[by], word_at[by]
+    run = np.flatnonzero(np.concatenate([[True], (np.diff(codes) != 0) | (np.diff(bucket) != 0)]))
+    of_run = bucket[run]
+    names, begin = np.unique(bucket, return_index=True)
+    ends = np.append(begin, len(bucket))
+
+    def listed(values, of):
+        """values of tokens or runs that are in the buckets of, in order."""
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.append(names, buckets)).astype(np.int32)), pa.array(values))
+
+    rare_run, rare = np.flatnonzero(context_at[codes[run]] < 0), np.flatnonzero(word_at < 0)
+    columns = {
+        "bucket": pa.array(names),
+        "context_at": listed(context_at[codes[run]].astype(np.int32), of_run),
+        "context": listed(contexts[codes[run[rare_run]]], of_run[rare_run]),
+        "run": listed(np.diff(np.append(run, len(bucket))).astype(np.int32), of_run),
+        "word_at": listed(word_at.astype(np.int32), bucket),
+        "word": listed(word[rare], bucket[rare]),
+    }
+    if ids is not None:
+        doc = each.pop("doc")[by]
+        told, places = [], []
+        for i, j in zip(ends[:-1], ends[1:], strict=True):
+            own, at = np.unique(doc[i:j], return_inverse=True)
+            told.append(own)
+            places.append(at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes())
+        at, own = pa.array(np.cumsum([0, *map(len, told)]).astype(np.int32)), np.concatenate(told)
+        columns |= {"doc": pa.array(places, pa.binary()), "ids": pa.ListArray.from_arrays(at, pa.array(ids[own])), "salts": pa.ListArray.from_arrays(at, pa.array(salts[own]))}
+    columns |= {k: listed(v[by], bucket) for k, v in each.items()}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+PACKED = "bucket long, context_at array<int>, context array<long>, run array<int>, word_at array<int>, word array<long>"
+TOKENS = PACKED + ", doc binary, ids array<long>, salts array<int>, root array<double>"
 
 
 def _counted(batches):
@@ -189,8 +231,8 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))], ["word", "n"])
 
 
-def _pairs(top: Top):
-    """(context, share, words, times): training tokens of each pair in a slice."""
+def _pairs(top: Top, buckets: int):
+    """PACKED with times: training tokens of each pair in a slice."""
 
     def run(batches):
         for b in slices(batches, text=0, limit=SLICE):
@@ -199,32 +241,24 @@ def _pairs(top: Top):
             codes, words = pd.factorize(np.concatenate([token[trained], before[trained]]))
             half = len(codes) // 2
             pair, times = np.unique(codes[half:] * len(words) + codes[:half], return_counts=True)
-            if not len(pair):
-                continue
-            context, word = words[pair // len(words)], words[pair % len(words)]
-            share, by = _dealt(context, word, top)
-            yield _lists(context[by], share[by], {"words": word[by], "times": times[by].astype(np.int32)})
+            if len(pair):
+                yield _packed(top, buckets, words[pair // len(words)], words[pair % len(words)], times=times.astype(np.int32))
 
     return run
 
 
-def _groups(batches):
-    """Batches of rows sorted by (context, share), so cut that no group is parted; by rows, so that a task that runs again cuts alike."""
-    held, rows = [], 0
+def _buckets(batches):
+    """The rows of each bucket, of rows sorted by bucket."""
+    held = []
     for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        rows += b.num_rows
-        if rows >= AT_ONCE:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            context, share = (whole[c].to_numpy() for c in ("context", "share"))
-            last = np.flatnonzero((context != context[-1]) | (share != share[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield whole.slice(0, cut)
-            held = whole.slice(cut).to_batches()
-            rows = whole.num_rows - cut
+        bucket = b.column(0).to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
+        for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            if i < j:
+                if held and held[0].column(0)[0].as_py() != bucket[i]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(b.slice(i, j - i))
     if held:
         yield pa.Table.from_batches(held)
 
@@ -234,28 +268,37 @@ def _flat(rows: pa.Table, name: str) -> np.ndarray:
 
 
 class Dishes:
-    """The distinct dishes of some groups' rows: per token (item) its dish, and per dish its group and word."""
-
-    def __init__(self, rows: pa.Table):
-        context, share = (rows[c].to_numpy() for c in ("context", "share"))
-        new = np.concatenate([[True], (np.diff(context) != 0) | (np.diff(share) != 0)])
-        self.contexts = context[new]
-        sizes = np.concatenate([c.value_lengths().to_numpy() for c in rows["words"].chunks]).astype(np.int64)
-        group, word = np.repeat(np.cumsum(new) - 1, sizes), _flat(rows, "words")
-        by = np.lexsort((word, group))
+    """The distinct dishes of a bucket's rows: per token its dish, and per dish its restaurant (a context's share) and word."""
+
+    def __init__(self, rows: pa.Table, top: Top):
+        at, run = _flat(rows, "context_at"), _flat(rows, "run")
+        context = np.empty(len(at), np.int64)
+        context[at >= 0], context[at < 0] = top.words[at[at >= 0]], _flat(rows, "context")
+        self.at = _flat(rows, "word_at")
+        word = np.empty(len(self.at), np.int64)
+        word[self.at >= 0], word[self.at < 0] = top.words[self.at[self.at >= 0]], _flat(rows, "word")
+        contexts, code = np.unique(context, return_inverse=True)
+        words, named = pd.factorize(word)
+        pair = np.repeat(code, run) * len(named) + words
+        by = np.argsort(pair, kind="stable")
         first = np.ones(len(by), bool)
-        first[1:] = (np.diff(group[by]) != 0) | (np.diff(word[by]) != 0)
+        first[1:] = np.diff(pair[by]) != 0
         self.item = np.empty(len(by), np.int64)
         self.item[by] = np.cumsum(first) - 1
         self.first = by[first]
-        self.group, self.word = group[self.first], word[self.first]
+        self.word, self.context = word[self.first], contexts[pair[self.first] // len(named)]
+        places = top.index(contexts)
+        share = top.share(places[pair[self.first] // len(named)], self.word)
+        restaurant = (pair[self.first] // len(named)) * (share.max(initial=0) + 1) + share
+        of, self.group = np.unique(restaurant, return_inverse=True)
+        self.contexts = contexts[of // (share.max(initial=0) + 1)]
+        self.seed = int(rows["bucket"][0].as_py())
 
     def seat(self, n: np.ndarray, root: np.ndarray, top: Top, law: Tables):
         at = top.index(self.contexts)
         total = top.take(top.times, at, 0) + np.where(at < 0, np.bincount(self.group, n, len(self.contexts)), 0)
-        key = mixed(mixed(self.contexts.view(np.uint64))[self.group] + self.word.view(np.uint64)).view(np.int64)
-        seed = int(self.contexts[0]) % (1 << 63)
-        return seat_leaves(self.group, n, root, top.shares(at), top.take(top.spare, at, 0.0), total, law, key, np.random.default_rng(seed))
+        key = mixed(mixed(self.context.view(np.uint64)) + self.word.view(np.uint64)).view(np.int64)
+        return seat_leaves(self.group, n, root, top.shares(at), top.take(top.spare, at, 0.0), total, law, key, np.random.default_rng(self.seed))
 
 
 def _first_leaves(top: Top, least: int):
@@ -263,19 +306,18 @@ def _first_leaves(top: Top, least: int):
 
     def run(batches):
         law = Tables(DISCOUNT)
-        for rows in _groups(batches):
-            x = Dishes(rows)
+        for rows in _buckets(batches):
+            x = Dishes(rows, top)
             n = np.bincount(x.item, _flat(rows, "times"), len(x.word)).astype(np.int64)
-            last, tables, own, back = x.seat(n, top.take(top.root, top.index(x.word), top.other), top, law)
+            last, tables, own, back = x.seat(n, top.take(top.root, x.at[x.first], top.other), top, law)
             codes, words = pd.factorize(x.word)
             often = np.flatnonzero(n >= least)
             kind = np.repeat([0, 1, 2], [len(words), len(often), 1]).astype(np.int32)
             fill = np.zeros(len(words))
-            once, twice = (n == 1).sum(), (n == 2).sum()
             whole = lambda a, b, c: pa.array(np.concatenate([a, b, [c]]))
             zero = fill.astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind), whole(words, x.word[often], 0), whole(zero, x.contexts[x.group[often]], 0), whole(zero, n[often], once), whole(np.bincount(codes, last, len(words)), tables[often], float(twice)), whole(fill, own[often], 0.0), whole(fill, back[often], 0.0)],
+                [pa.array(kind), whole(words, x.word[often], 0), whole(zero, x.context[often], 0), whole(zero, n[often], (n == 1).sum()), whole(np.bincount(codes, last, len(words)), tables[often], float((n == 2).sum())), whole(fill, own[often], 0.0), whole(fill, back[often], 0.0)],
                 [c.split()[0] for c in SEATED.split(", ")],
             )
 
@@ -327,47 +369,58 @@ def _near(top: Top, pairs: Pairs):
     return run
 
 
-def _far(top: Top, pairs: Pairs):
-    """(context, share, words, docs, salts) of tokens of frequent words in other pairs."""
+def _far(top: Top, pairs: Pairs, buckets: int):
+    """TOKENS of frequent words in other pairs."""
 
     def run(batches):
         for b in slices(batches, limit=SLICE):
             before, token, n, word, pair = _placed(b.column(1), top, pairs)
             far = np.flatnonzero((pair < 0) & (word >= 0))
-            if not len(far):
-                continue
-            row = np.repeat(np.arange(len(n)), n)[far]
-            share, by = _dealt(before[far], token[far], top)
-            columns = {"words": token[far][by], "docs": b.column(0).to_numpy()[row[by]], "salts": b.column(2).to_numpy()[row[by]]}
-            yield _lists(before[far][by], share[by], columns)
+            if len(far):
+                doc = np.repeat(np.arange(len(n)), n)[far]
+                out = _packed(top, buckets, before[far], token[far], doc=doc, ids=b.column(0).to_numpy(), salts=b.column(2).to_numpy())
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(out.num_rows + 1, np.int32)), pa.array([], pa.float64()))
+                yield out.append_column("root", none)
+
+    return run
+
+
+def _rare(top: Top, buckets: int):
+    """TOKENS of rarer words, which bring their probabilities in the root."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                key, salt, word, context, root = (c.to_numpy() for c in b.columns)
+                yield _packed(top, buckets, context, word, doc=np.arange(len(key)), ids=key, salts=salt, root=root)
 
     return run
 
 
 def _last_leaves(top: Top, d: float):
-    """(id, salt, times, score): sums over the tokens of some groups."""
+    """(id, salt, times, score): sums over the tokens of a bucket."""
 
     def run(batches):
         law = Tables(d)
-        for rows in _groups(batches):
-            x = Dishes(rows)
-            docs, salts, given = _flat(rows, "docs"), _flat(rows, "salts"), _flat(rows, "roots")
-            n = np.bincount(x.item, salts & 1, len(x.word)).astype(np.int64)
-            # Rows of rarer words bring their probability; others look it up.
-            at, lists = top.index(x.word), np.concatenate([c.value_lengths().to_numpy() for c in rows["words"].chunks])
-            has = np.concatenate([c.value_lengths().to_numpy() for c in rows["roots"].chunks]) > 0
-            brought = np.zeros(len(x.item))
-            brought[np.repeat(has, lists)] = given
-            root = top.take(top.root, at, 0.0)
-            root = np.where(at >= 0, root, brought[x.first])
+        for rows in _buckets(batches):
+            x = Dishes(rows, top)
+            places, sizes = [], np.concatenate([c.value_lengths().to_numpy() for c in rows["word_at"].chunks])
+            base, told = 0, np.concatenate([c.value_lengths().to_numpy() for c in rows["ids"].chunks])
+            for blob, size, many in zip(rows["doc"].to_pylist(), sizes.tolist(), told.tolist(), strict=True):
+                places.append(np.frombuffer(blob, np.uint16 if len(blob) == 2 * size else np.uint32).astype(np.int64) + base)
+                base += many
+            doc = np.concatenate(places)
+            names = pd.DataFrame({"id": _flat(rows, "ids"), "salt": _flat(rows, "salts")})
+            n = np.bincount(x.item, names["salt"].to_numpy()[doc] & 1, len(x.word)).astype(np.int64)
+            at, given = x.at[x.first], np.zeros(len(x.item))
+            brings = np.concatenate([c.value_lengths().to_numpy() for c in rows["root"].chunks]) > 0
+            given[np.repeat(brings, sizes)] = _flat(rows, "root")
+            root = np.where(at >= 0, top.take(top.root, at, 0.0), given[x.first])
             _, _, own, back = x.seat(n, root, top, law)
             price = np.log10(own + back * root)[x.item]
-            order = np.lexsort((salts, docs))
-            new = np.ones(len(order), bool)
-            new[1:] = (np.diff(docs[order]) != 0) | (np.diff(salts[order]) != 0)
-            begin = np.flatnonzero(new)
-            times = np.diff(np.append(begin, len(order)))
-            yield pa.RecordBatch.from_arrays([pa.array(docs[order][begin]), pa.array(salts[order][begin]), pa.array(times), pa.array(np.add.reduceat(price[order], begin))], ["id", "salt", "times", "score"])
+            names["times"], names["score"] = np.bincount(doc, minlength=base), np.bincount(doc, price, base)
+            out = names.groupby(["id", "salt"], sort=False, as_index=False).sum()
+            yield pa.RecordBatch.from_pandas(out[["id", "salt", "times", "score"]], preserve_index=False)
 
     return run
 
@@ -416,8 +469,8 @@ def root_of(words: DataFrame, distinct: int, seed: int = 2) -> DataFrame:
     return words.select("word", "times", "customers").mapInArrow(priced, "word long, times long, root double"), float(spare)
 
 
-def _by_context(rows: DataFrame) -> DataFrame:
-    return rows.repartition("context", "share").sortWithinPartitions("context", "share")
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -435,14 +488,17 @@ def scores(docs: DataFrame) -> DataFrame:
     most = counts.orderBy(F.desc("times"), "word").limit(LOCAL).toArrow()
     top = Top(np.append(most.column("word").to_numpy(), START), np.append(most.column("times").to_numpy(), trained), total, distinct)
 
-    pairs = _by_context(docs.select("text", "train").mapInArrow(_pairs(top), "context long, share int, words array<long>, times array<int>"))
+    pairs = _by_bucket(docs.select("text", "train").mapInArrow(_pairs(top, 1 + total // BUCKET), PACKED + ", times array<int>"))
     least = max(FREQUENT, total // PART)
     seated = stored(pairs.mapInArrow(_first_leaves(top, least), SEATED))
     one, two = seated.filter("kind = 2").agg(F.sum("n"), F.sum("tables")).first()
     d = discount_of(one or 0, two or 0)
     customers = seated.filter("kind = 0").groupBy("word").agg(F.sum("tables").cast("long").alias("customers"))
-    priced, never = root_of(stored(counts.join(customers, "word")), distinct)
+    both = stored(counts.join(customers, "word"))
+    release(counts)
+    priced, never = root_of(both, distinct)
     roots = stored(priced)
+    release(both)
     found = roots.orderBy(F.desc("times"), "word").limit(LOCAL).toArrow()
     top.root[top.index(found.column("word").to_numpy())] = found.column("root").to_numpy()
     rarest = int(found.column("times").to_numpy().min(initial=total))
@@ -463,11 +519,10 @@ def scores(docs: DataFrame) -> DataFrame:
     near = stored(keyed.mapInArrow(_near(top, local), NEAR))
     listed = near.select("id", "salt", F.explode(F.arrays_zip("words", "contexts")).alias("x")).select("id", "salt", F.col("x.words").alias("word"), F.col("x.contexts").alias("context"))
     rare = listed.join(roots.filter(F.col("times") <= rarest), "word", "left")
-    rare = stored(rare.select("id", "salt", "word", "context", F.coalesce("times", F.lit(0)).alias("times"), F.coalesce("root", F.lit(never)).alias("root")))
-    as_lists = rare.select("context", F.lit(0).alias("share"), *[F.array(c).alias(n) for c, n in (("word", "words"), ("id", "docs"), ("salt", "salts"), ("root", "roots"))])
-    frequent = keyed.select("id", "text", "salt").mapInArrow(_far(top, local), "context long, share int, words array<long>, docs array<long>, salts array<int>")
-    tokens = frequent.withColumn("roots", F.array().cast("array<double>")).unionByName(_shared(as_lists, top))
-    met = _by_context(tokens).mapInArrow(_last_leaves(top, d), "id long, salt int, times long, score double")
+    rare = stored(rare.select("id", "salt", "word", "context", F.coalesce("root", F.lit(never)).alias("root"), F.coalesce("times", F.lit(0)).alias("times")))
+    buckets = 1 + int(near.agg(F.sum("far")).first()[0] or 0) // BUCKET
+    tokens = keyed.select("id", "text", "salt").mapInArrow(_far(top, local, buckets), TOKENS).unionByName(rare.drop("times").mapInArrow(_rare(top, buckets), TOKENS))
+    met = _by_bucket(tokens).mapInArrow(_last_leaves(top, d), "id long, salt int, times long, score double")
     met = stored(met.groupBy("id", "salt").agg(F.sum("times").alias("far_times"), F.sum("score").alias("far_score")))
     known = rare.groupBy("id", "salt").agg(F.count("*").alias("rare_times"), F.count_if(F.col("times") > 0).alias("rare_known"), F.sum(F.log10(F.col("times") + 1.0)).alias("rare_base"))
     out = near.join(met, ["id", "salt"], "left").join(known, ["id", "salt"], "left")
@@ -486,19 +541,6 @@ def scores(docs: DataFrame) -> DataFrame:
     )
 
 
-def _shared(rows: DataFrame, top: Top) -> DataFrame:
-    """rows of one word each, in its share of the context."""
-
-    def run(batches):
-        for b in batches:
-            at = top.index(b.column(0).to_numpy())
-            word = b.column(2).flatten().to_numpy()
-            share = (mixed(word.view(np.uint64)) % top.shares(at).astype(np.uint64)).astype(np.int32)
-            yield b.set_column(1, "share", pa.array(share))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def perplexity(scored: DataFrame) -> DataFrame:
     """(held_out, perplexity, base_perplexity): a token's, over all documents of each kind."""
     of = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
