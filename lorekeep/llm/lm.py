@@ -31,6 +31,8 @@ STRENGTH = 1.0
 DISCOUNT = 0.75
 #: Tokens of a context that go to one share, and tokens that are seated at once, about; bytes of text read at once.
 SHARE, BUCKET, SLICE = 1 << 18, 1 << 20, 8 << 20
+#: Documents whose sums are gathered in one place, about.
+BLOCK = 1 << 14
 #: A pair may be among the most frequent from so many uses on, and from this part of all tokens on.
 FREQUENT, PART = 8, 1 << 24
 #: The hashes that stand for the end of a text and for its start.
@@ -220,6 +222,8 @@ def _packed(top: Top, buckets: int, context: np.ndarray, word: np.ndarray, **eac
 
 
 PACKED = "bucket long, context_at array<int>, context array<long>, run array<int>, word_at array<int>, word array<long>"
+SUMMED = ["id", "salt", "times", "score"]
+SUMS = "block long, id array<long>, salt array<int>, times array<long>, score array<double>"
 TOKENS = PACKED + ", doc binary, ids array<long>, salts array<int>, root array<double>"
 
 
@@ -388,17 +392,26 @@ def _far(top: Top, pairs: Pairs, buckets: int):
 def _rare(top: Top, buckets: int):
     """TOKENS of rarer words, which bring their probabilities in the root."""
 
+    def packed(held):
+        key, salt, word, context, root = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(5))
+        return _packed(top, buckets, context, word, doc=np.arange(len(key)), ids=key, salts=salt, root=root)
+
     def run(batches):
+        held, rows = [], 0
         for b in batches:
-            if b.num_rows:
-                key, salt, word, context, root = (c.to_numpy() for c in b.columns)
-                yield _packed(top, buckets, context, word, doc=np.arange(len(key)), ids=key, salts=salt, root=root)
+            held.append(b)
+            rows += b.num_rows
+            if rows >= SHARE:
+                yield packed(held)
+                held, rows = [], 0
+        if rows:
+            yield packed(held)
 
     return run
 
 
-def _last_leaves(top: Top, d: float):
-    """(id, salt, times, score): sums over the tokens of a bucket."""
+def _last_leaves(top: Top, d: float, blocks: int):
+    """SUMS over the tokens of a bucket: a row for each block of documents."""
 
     def run(batches):
         law = Tables(d)
@@ -419,12 +432,32 @@ def _last_leaves(top: Top, d: float):
             _, _, own, back = x.seat(n, root, top, law)
             price = np.log10(own + back * root)[x.item]
             names["times"], names["score"] = np.bincount(doc, minlength=base), np.bincount(doc, price, base)
-            out = names.groupby(["id", "salt"], sort=False, as_index=False).sum()
-            yield pa.RecordBatch.from_pandas(out[["id", "salt", "times", "score"]], preserve_index=False)
+            out = names.groupby(["id", "salt"], as_index=False).sum()
+            block = (mixed(out["id"].to_numpy().view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            by = np.argsort(block, kind="stable")
+            some, begin = np.unique(block[by], return_index=True)
+            at = pa.array(np.append(begin, len(by)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.ListArray.from_arrays(at, pa.array(out[c].to_numpy()[by])) for c in SUMMED)], ["block", *SUMMED])
 
     return run
 
 
+def _by_document(batches):
+    """(id, salt, times, score) of the documents of each block, of SUMS sorted by block."""
+
+    def summed(parts):
+        return pd.concat(parts).groupby(["id", "salt"], as_index=False).sum()
+
+    for rows in _buckets(batches):
+        parts, size = [], 0
+        for k in range(rows.num_rows):
+            parts.append(pd.DataFrame({c: rows[c][k].values.to_numpy() for c in SUMMED}))
+            size += len(parts[-1])
+            if size > 1 << 20:
+                parts, size = [summed(parts)], 0
+        yield pa.RecordBatch.from_pandas(summed(parts), preserve_index=False)
+
+
 def discount_of(one: float, two: float) -> float:
     return float(np.clip((one + 1) / (one + 2 * two + 2), 0.1, 0.95))
 
@@ -522,8 +555,9 @@ def scores(docs: DataFrame) -> DataFrame:
     rare = stored(rare.select("id", "salt", "word", "context", F.coalesce("root", F.lit(never)).alias("root"), F.coalesce("times", F.lit(0)).alias("times")))
     buckets = 1 + int(near.agg(F.sum("far")).first()[0] or 0) // BUCKET
     tokens = keyed.select("id", "text", "salt").mapInArrow(_far(top, local, buckets), TOKENS).unionByName(rare.drop("times").mapInArrow(_rare(top, buckets), TOKENS))
-    met = _by_bucket(tokens).mapInArrow(_last_leaves(top, d), "id long, salt int, times long, score double")
-    met = stored(met.groupBy("id", "salt").agg(F.sum("times").alias("far_times"), F.sum("score").alias("far_score")))
+    sums = _by_bucket(tokens).mapInArrow(_last_leaves(top, d, 1 + near.count() // BLOCK), SUMS)
+    met = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_by_document, "id long, salt int, times long, score double")
+    met = stored(met.select("id", "salt", F.col("times").alias("far_times"), F.col("score").alias("far_score")))
     known = rare.groupBy("id", "salt").agg(F.count("*").alias("rare_times"), F.count_if(F.col("times") > 0).alias("rare_known"), F.sum(F.log10(F.col("times") + 1.0)).alias("rare_base"))
     out = near.join(met, ["id", "salt"], "left").join(known, ["id", "salt"], "left")
     # Equal rows met their tokens together: each takes its share.

@@ -143,7 +143,7 @@ def test_contexts_and_root_are_distributions(spark):
 def test_shares_of_large_restaurants_change_little(spark, monkeypatch):
     rows = cases()
     whole = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(spark.createDataFrame(rows, SCHEMA)).collect()}
-    for name, value in {"SHARE": 5000, "BUCKET": 3000, "SLICE": 900, "LOCAL": 30, "FREQUENT": 3}.items():
+    for name, value in {"SHARE": 5000, "BUCKET": 3000, "SLICE": 900, "BLOCK": 20, "LOCAL": 30, "FREQUENT": 3}.items():
         monkeypatch.setattr(lm, name, value)
     parts = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert parts.keys() == whole.keys()
