@@ -73,12 +73,6 @@ def top_of_shard(queries: np.ndarray, query_ids: np.ndarray, beat: np.ndarray, i
 def _searcher(query_ids: np.ndarray, queries: np.ndarray, k: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         beat = np.full(len(queries), np.iinfo(np.int64).min)
-        # The block's own vectors are candidates too: their scores are a first bound, and cost one product.
-        for a in range(0, len(queries), 256):
-            own = queries[a : a + 256] @ queries.T
-            own[query_ids[a : a + 256, None] == query_ids[None, :]] = np.iinfo(np.int64).min
-            if len(queries) >= k:
-                beat[a : a + 256] = np.partition(own, len(queries) - k, axis=1)[:, len(queries) - k]
         kept_id, kept_score, kept_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def best() -> None:

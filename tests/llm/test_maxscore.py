@@ -40,3 +40,13 @@ def test_matches_brute_force_with_ties_nulls_and_blocks(spark, monkeypatch):
 def test_empty_and_few(spark):
     assert got(spark, []) == []
     assert got(spark, [(100, [1.0, 2.0], ""), (1, [0.5, -1e6], "")]) == [(100, 1, 1, 1024 * 512 - 2048 * 1024 * 10**6)]
+
+
+def test_queries_outside_the_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.3, 8).tolist(), "") for i in range(200)]
+    asked = [(10**6 + i, rng.normal(0, 3.0, 8).tolist(), "") for i in range(30)]  # they score each other far higher
+    found = maxscore.search(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(asked, SCHEMA), 10).collect()
+    of = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v, _ in rows + asked}
+    want = [(q, r + 1, i, -s) for q, *_ in asked for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(of[q], of[i])), i) for i, *_ in rows)[:10])]
+    assert sorted(map(tuple, found)) == sorted(want)
