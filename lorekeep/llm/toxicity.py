@@ -2,10 +2,11 @@
 
 Labels are of documents. Word, prefix and suffix features whose documents are toxic beyond chance are seeds; a word of a
 toxic document that carries a seed is labelled 1, every other word 0, and the field is trained on these labelled tokens.
-Only words with a feature of some positive word have emissions of their own; a run of over MARGIN other words on each
-side cuts the chain, as nothing passes through it. Forward-backward gives each word's probability of being toxic; the
-document's score is a logistic function of their noisy-or, fitted to the labels; words of probability 0.5 or more are
-the offending offsets.
+Only words with a feature of some positive word, the active ones, have emissions of their own. The field is fitted on
+windows of MARGIN words around the active words of the sample, and tags whole texts: forward-backward goes from one active
+word to the next, over the run of other words between them by a power of their common transition. That gives each word's
+probability of being toxic; the document's score is a logistic function of the noisy-or of its active words, fitted to the
+labels; words of probability 0.5 or more are the offending offsets.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from lorekeep.llm.common import crc_mod, slices, starts_of, texts_of, tokens
 #: Labelled documents to fit on, of each class at most; taken by a hash of doc_id.
 SAMPLE = 1000
 AFFIXES = range(3, 7)
-MARGIN = 3
+MARGIN = 12
 REJECT = 0.7
 #: ASCII letters and all that is not ASCII make words.
 LETTERS = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -99,6 +100,87 @@ class Chain:
         return p, pairs
 
 
+class Powers:
+    """Powers of a positive 2 x 2 matrix, each over that of its larger eigenvalue."""
+
+    def __init__(self, m: np.ndarray):
+        half, det = m.trace() / 2, np.linalg.det(m)
+        root = np.sqrt(max(half * half - det, 1e-300))
+        high, low = half + root, half - root
+        self.ratio, self.stays, self.fades = low / high, (m - low * np.eye(2)) / (high - low), (high * np.eye(2) - m) / (high - low)
+
+    def of(self, g: np.ndarray) -> np.ndarray:
+        return self.stays + np.power(self.ratio, g)[:, None, None] * self.fades
+
+
+class Texts:
+    """Whole texts, by their active words: row and place of each, in order; and the words of each text that has some."""
+
+    def __init__(self, row: np.ndarray, place: np.ndarray, length: np.ndarray):
+        rows, begin, size = np.unique(row, return_index=True, return_counts=True)
+        self.row, self.place, self.rows, self.length = row, place, rows, length[rows]
+        self.begin, self.size = begin, size
+        order = np.argsort(-size, kind="stable")  # texts with most active words first: those that go on are a prefix
+        longest = int(size.max(initial=0))
+        self.steps = [begin[order[: int(np.searchsorted(-size[order], -k, "left"))]] + k for k in range(longest)]
+        self.gap = np.diff(place, prepend=0) - 1
+        self.gap[begin] = place[begin]
+        self.tail = self.length - place[begin + size - 1] - 1 if len(begin) else np.zeros(0, np.int64)
+
+    def marginals(self, score: np.ndarray, other: float, trans: np.ndarray):
+        """P(tag 1) of each active word, and (row, place, P) of every other word of these texts; score: of active words, other: of others."""
+        n, psi = len(self.row), np.exp(trans)
+        if not n:
+            return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        emit = np.exp(np.stack([np.minimum(0, -score), np.minimum(0, score)], axis=1))
+        calm = np.exp([min(0, -other), min(0, other)])
+        powers = Powers(psi * calm)  # one word that is not active, after any word
+        of = lambda v, g: np.einsum("ni,nij->nj", v, powers.of(g))
+        back = lambda v, g: np.einsum("nij,nj->ni", powers.of(g), v)
+        unit = lambda v: v / v.sum(axis=1, keepdims=True)
+        # What comes into a gap from the left; for the gap before the first active word, one word has been taken.
+        left, alpha, beta = np.empty((n, 2)), np.empty((n, 2)), np.empty((n, 2))
+        for k, s in enumerate(self.steps):
+            if k:
+                left[s] = alpha[s - 1]
+                came = of(left[s], self.gap[s]) @ psi
+            else:
+                left[s] = calm
+                came = np.where((self.gap[s] > 0)[:, None], of(left[s], np.maximum(self.gap[s] - 1, 0)) @ psi, 1.0)
+            alpha[s] = unit(came * emit[s])
+        end = np.zeros(n, bool)
+        end[self.begin + self.size - 1] = True
+        tail = np.zeros(n, np.int64)
+        tail[self.begin + self.size - 1] = self.tail
+        right = np.ones((n, 2))  # what comes into the gap after a word from the right
+        for s in reversed(self.steps):
+            on = s[~end[s]]
+            right[on] = unit((emit[on + 1] * beta[on + 1]) @ psi.T)
+            g = tail[s]
+            g[~end[s]] = self.gap[on + 1]
+            beta[s] = unit(back(right[s], g))
+        p = alpha * beta
+        p = p[:, 1] / p.sum(axis=1)
+        # Other words: before each active word, then after the last of each text.
+        last = np.flatnonzero(end)
+        sizes = np.concatenate([self.gap, self.tail])
+        first = np.zeros(n, bool)
+        first[self.begin] = True
+        whole_right = unit((emit * beta) @ psi.T)
+        lefts, rights = np.concatenate([left, alpha[last]]), np.concatenate([whole_right, np.ones((len(last), 2))])
+        taken = np.concatenate([first, np.zeros(len(last), bool)]).astype(np.int64)
+        start = np.concatenate([self.place - self.gap, self.place[last] + 1])
+        of_row = np.concatenate([self.row, self.row[last]])
+        gap = np.repeat(np.arange(len(sizes)), sizes)
+        k = np.arange(len(gap)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = np.empty(len(gap))
+        for a in range(0, len(gap), 1 << 18):
+            g, j = gap[a : a + (1 << 18)], k[a : a + (1 << 18)]
+            both = of(lefts[g], j + 1 - taken[g]) * back(rights[g], sizes[g] - 1 - j)
+            out[a : a + (1 << 18)] = both[:, 1] / both.sum(axis=1)
+        return p, of_row[gap], start[gap] + k, out
+
+
 def _distinct(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
     """Without texts that share half of their least shingle hashes with one before: copies would pass chance words off as evidence."""
     of: dict[int, list[int]] = {}
@@ -136,16 +218,17 @@ class Model:
         return own, active
 
     def tag(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, word's place in it, probability) of each word near an active one, and the documents' evidence."""
+        """(document, word's place in it, probability) of each word of documents with active ones, and the documents' evidence."""
         ids, words, counts = words_of(column)
         own, active = self.emissions(words)
-        row = np.repeat(np.arange(len(counts)), counts)
-        chain = Chain(active[ids], row)
-        p, _ = chain.marginals(self.bias + own[ids[chain.at]], self.trans)
-        doc = row[chain.at]
+        at = np.flatnonzero(active[ids]) if len(ids) else np.zeros(0, np.int64)
+        begin = starts_of(counts)
+        doc = np.searchsorted(begin, at, "right") - 1
+        place = at - begin[doc]
+        p, doc2, place2, p2 = Texts(doc, place, counts).marginals(self.bias + own[ids[at]], self.bias, self.trans)
         evidence = np.zeros(len(counts))
         np.add.at(evidence, doc, -np.log1p(-np.minimum(p, 1 - 1e-12)))
-        return doc, chain.at - starts_of(counts)[doc], p, evidence
+        return np.concatenate([doc, doc2]), np.concatenate([place, place2]), np.concatenate([p, p2]), evidence
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         a, b = self.fit
@@ -242,7 +325,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _scorer(model: Model):
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, limit=1 << 20):
             doc, place, p, evidence = model.tag(b.column(1))
             hit = p >= 0.5
             spans: dict[int, list[int]] = {}

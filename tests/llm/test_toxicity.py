@@ -44,6 +44,38 @@ def test_marginals_equal_enumeration():
     assert np.allclose(pairs, total)
 
 
+def uncut(score, trans):
+    """Forward-backward word by word."""
+    psi, n = np.exp(trans), len(score)
+    emit = np.exp(np.stack([np.minimum(0, -score), np.minimum(0, score)], axis=1))
+    alpha, beta = [emit[0]], [np.ones(2)]
+    for k in range(1, n):
+        a = (alpha[-1] @ psi) * emit[k]
+        alpha.append(a / a.sum())
+        b = psi @ (emit[n - k] * beta[-1])
+        beta.append(b / b.sum())
+    both = np.array(alpha) * np.array(beta[::-1])
+    return both[:, 1] / both.sum(axis=1)
+
+
+def test_whole_texts_equal_an_uncut_chain():
+    rng = np.random.default_rng(5)
+    texts = ["", "cc cc", *(" ".join(rng.choice(["bad", "ugly", "cc", "dd"], p=[0.05, 0.03, 0.5, 0.42], size=n)) for n in (1, 2, 7, 40, 300, 5000)), "bad", "ugly bad", "cc bad cc"]
+    for trans in ([[0, -1.5], [-0.4, 1.2]], [[0, 0.0], [0, 0]], [[0, 1.0], [2.0, -0.5]]):
+        own = {"bad": 3.0, "ugly": -1.0}
+        model = t.Model({"=" + w: x for w, x in own.items()}, -2.5, np.array(trans), (0.0, 1.0))
+        doc, place, p, evidence = model.tag(pa.array(texts))
+        got = {(d, k): x for d, k, x in zip(doc.tolist(), place.tolist(), p.tolist(), strict=True)}
+        for i, text in enumerate(texts):
+            words = text.split()
+            if not any(w in own for w in words):
+                assert not evidence[i] and not any(d == i for d, _ in got)
+                continue
+            want = uncut(np.array([-2.5 + own.get(w, 0.0) for w in words]), np.array(trans))
+            assert np.allclose([got[i, k] for k in range(len(words))], want, atol=1e-9)
+            assert np.isclose(evidence[i], sum(-np.log1p(-x) for w, x in zip(words, want, strict=True) if w in own))
+
+
 def test_held_out_accuracy_and_offsets(spark):
     rows = corpus(900, random.Random(4)) + [(5000, None, 0.0, None), (5001, "", 0.0, None), (5002, "ab " * 40000 + "NASTY", 0.0, None)]
     df = spark.createDataFrame(rows, SCHEMA)
