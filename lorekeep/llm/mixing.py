@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, bloc
 
     weights: by source; None takes the square root of each source's rows. A source without a weight, or with none above
     zero, gets the least share. Null is a source of its own. Every row comes once. Within a source the order is that of
-    md5 of doc_id, then doc_id; rows that repeat a doc_id follow each other. Columns of docs called block, slot or
+    md5 of doc_id, then doc_id, then text; rows that repeat a doc_id follow each other. Columns of docs called block, slot or
     position are replaced; other columns stay. An empty table gives an empty result. More than SOURCES sources are refused.
     """
     spark = docs.sparkSession
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, bloc
     before = Window.partitionBy("source").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     cuts = docs.select("source", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, digits).alias("_cut")).groupBy("source", "_cut").count()
     cuts = cuts.select(F.col("source").alias("_of"), F.col("_cut").alias("_part"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("source", "_cut").orderBy("_md5", "doc_id")
+    within = Window.partitionBy("source", "_cut").orderBy("_md5", *[c for c in ("doc_id", "text") if c in docs.columns])
     ranked = hashed.withColumn("_in", F.row_number().over(within) - 1)
     ranked = ranked.join(cuts, ranked["source"].eqNullSafe(cuts["_of"]) & (ranked["_cut"] == cuts["_part"])).withColumn("_rank", F.col("_before") + F.col("_in"))
     ranked = ranked.withColumn("block", F.floor(F.col("_rank") / block))

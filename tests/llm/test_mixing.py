@@ -63,3 +63,11 @@ def test_matches_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "source", "text", "block", "slot", "position"]
+
+
+def test_rows_that_repeat_a_doc_id_have_one_order(spark):
+    rows = [(5, "a", t, "k") for t in ("one", "two", None, "three", "two")] + [(i, "b", "x", "k") for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    made = [sorted((r.position, r.source, r.doc_id, str(r.text)) for r in mixing.mix(docs.repartition(n), block=2).collect()) for n in (1, 3, 8)]
+    assert made[0] == made[1] == made[2]
+    assert [t for _, _, d, t in made[0] if d == 5 and t != "x"] == ["None", "one", "three", "two", "two"]
