@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import slices, starts_of, stored, texts_of, tokens
+from lorekeep.llm.common import mixed, slices, starts_of, stored, texts_of, tokens
 
 WINDOW = 35
 #: Every difference modulo 21 is that of exactly one pair of the cover.
@@ -57,6 +57,24 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1], counts
 
 
+def _spread(keys: np.ndarray, *hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first hash, sure) of the rows of a slice.
+
+    Rows that have an equal within the slice are sure to repeat. One of them goes on under its hash and tells rows of other
+    slices; the rest get a hash of their own, so that a group of very many copies is not gathered in one task.
+    """
+    by = np.argsort(hashes[0], kind="stable")
+    same = np.ones(max(0, len(by) - 1), bool)
+    for h in hashes:
+        same &= h[by][1:] == h[by][:-1]
+    later, sure = np.zeros(len(by), bool), np.zeros(len(by), bool)
+    later[by[1:]] = same
+    sure[by[1:]] = same
+    sure[by[:-1]] |= same
+    own = mixed(keys.astype(np.int64).view(np.uint64) + np.arange(len(by), dtype=np.uint64) * _B)
+    return np.where(later, own, hashes[0]).view(np.int64), sure
+
+
 def _anchors(batches):
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
@@ -66,11 +84,13 @@ def _anchors(batches):
         row = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(len(row)) - at[row]
         use = np.flatnonzero(cover[place % PERIOD] & (place + ANCHOR <= counts[row]) & (counts[row] >= WINDOW))
-        yield pa.RecordBatch.from_arrays([pa.array(rolling(h, use, ANCHOR).view(np.int64)), b.column(0).take(pa.array(row[use])), pa.array(place[use].astype(np.int32))], ["hash", "key", "place"])
+        keys = b.column(0).to_numpy(zero_copy_only=False)[row[use]]
+        hashed, sure = _spread(keys, rolling(h, use, ANCHOR))
+        yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(keys), pa.array(place[use].astype(np.int32)), pa.array(sure)], ["hash", "key", "place", "sure"])
 
 
 def _windows(batches):
-    """Rows (hash, more, key, place) of the windows that hold a repeated anchor."""
+    """Rows (hash, more, key, place, sure) of the windows that hold a repeated anchor."""
     for b in slices(batches):
         h, g, counts = _hashed(b.column(1))
         at = starts_of(counts)
@@ -87,11 +107,13 @@ def _windows(batches):
         of = np.repeat(np.arange(len(counts)), counts)[start]
         fit = start + WINDOW <= at[of + 1]
         start, of = start[fit], of[fit]
-        yield pa.RecordBatch.from_arrays([pa.array(rolling(h, start, WINDOW).view(np.int64)), pa.array(rolling(g, start, WINDOW).view(np.int64)), b.column(0).take(pa.array(of)), pa.array((start - at[of]).astype(np.int32))], ["hash", "more", "key", "place"])
+        keys, more = b.column(0).to_numpy(zero_copy_only=False)[of], rolling(g, start, WINDOW)
+        hashed, sure = _spread(keys, rolling(h, start, WINDOW), more)
+        yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(more.view(np.int64)), pa.array(keys), pa.array((start - at[of]).astype(np.int32)), pa.array(sure)], ["hash", "more", "key", "place", "sure"])
 
 
 def _repeated(width: int):
-    """Of rows sorted by their first `width` columns: (key, place) of those that are not alone. One row is held back."""
+    """Of rows (..., key, place, sure) sorted by their first `width` columns: (key, place) of those that are sure or not alone. One row is held back."""
 
     def run(batches):
         held, joined = None, False
@@ -106,10 +128,10 @@ def _repeated(width: int):
             for c in columns[:width]:
                 same &= c[1:] == c[:-1]
             many = np.concatenate([[joined and held is not None], same]) | np.concatenate([same, [False]])
-            out = np.flatnonzero(many[:-1])
+            out = np.flatnonzero((many | columns[width + 2].astype(bool))[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(columns[width][out].astype(np.int64)), pa.array(columns[width + 1][out].astype(np.int32))], ["key", "place"])
             held, joined = [c[-1] for c in columns], bool(many[-1])
-        if held is not None and joined:
+        if held is not None and (joined or held[width + 2]):
             yield pa.RecordBatch.from_arrays([pa.array([int(held[width])], pa.int64()), pa.array([int(held[width + 1])], pa.int32())], ["key", "place"])
 
     return run
@@ -169,7 +191,7 @@ def remove(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))  # names a row; equal rows are equal in all that follows
-    anchors = docs.select("key", "text").mapInArrow(_anchors, "hash long, key long, place int")
+    anchors = docs.select("key", "text").mapInArrow(_anchors, "hash long, key long, place int, sure boolean")
     near = stored(anchors.repartition("hash").sortWithinPartitions("hash").mapInArrow(_repeated(1), "key long, place int"))
 
     # Whole copies: all of their windows repeat. The least key of a group stands for it.
@@ -177,13 +199,14 @@ def remove(docs: DataFrame) -> DataFrame:
     groups = prints.groupBy("p", "q").agg(F.count("*").alias("n"), F.min("key").alias("least")).filter("n > 1")
     copies = stored(prints.join(groups, ["p", "q"]).select("key", (F.col("key") != F.col("least")).alias("idle")).distinct())
 
-    found = near.groupBy("key").agg(F.collect_list("place").alias("places")).join(copies, "key", "full")
+    found = near.groupBy("key").agg(F.collect_set("place").alias("places")).join(copies, "key", "full")
     found = stored(found.select("key", F.coalesce("idle", F.lit(False)).alias("idle"), F.col("idle").isNotNull().alias("whole"), "places"))
     maybe = _maybe(_filter_of(found.select("key")))
     some = docs.filter(maybe("key"))
     extend = found.filter("NOT idle AND places IS NOT NULL").select("key", "places")
-    windows = some.join(extend, "key").select("key", "text", "places").mapInArrow(_windows, "hash long, more long, key long, place int")
-    ends = windows.repartition("hash", "more").sortWithinPartitions("hash", "more").mapInArrow(_repeated(2), "key long, place int").groupBy("key").agg(F.collect_list("place").alias("gone"))
+    # In order of the keys, a task that runs again cuts the same slices.
+    windows = some.join(extend, "key").select("key", "text", "places").sortWithinPartitions("key").mapInArrow(_windows, "hash long, more long, key long, place int, sure boolean")
+    ends = windows.repartition("hash", "more").sortWithinPartitions("hash", "more").mapInArrow(_repeated(2), "key long, place int").groupBy("key").agg(F.collect_set("place").alias("gone"))
     found = stored(found.select("key", "whole").join(ends, "key", "left"))
 
     shape = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"

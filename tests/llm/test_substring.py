@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from lorekeep.llm import substring as s
 
 SCHEMA = "doc_id long, text string, key string, n_words int"
@@ -43,3 +45,19 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert s.remove(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_within_a_slice_are_not_gathered():
+    h, g = np.array([7, 5, 7, 7, 9, 5, 7], np.uint64), np.array([1, 2, 1, 1, 3, 4, 1], np.uint64)
+    out, sure = s._spread(np.arange(7), h, g)
+    assert sure.tolist() == [True, False, True, True, False, False, True]
+    assert Counter(out.tolist())[7] == 1 and len(set(out[sure].tolist())) == 4
+    assert (out[~sure] == h[~sure].view(np.int64)).all()
+    assert not len(s._spread(np.arange(0), h[:0])[0])
+
+
+def test_a_passage_of_very_many_rows(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"{passage} own{i} words{i}" if i % 3 else f"own{i} {passage}", "", 0) for i in range(900)]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in s.remove(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()]
+    assert sorted(got, key=str) == brute(rows)
