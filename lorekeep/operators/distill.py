@@ -57,9 +57,11 @@ def put_text(spark: SparkSession, path: str, text: str | Iterable[str]) -> str:
             out.write(bytearray(part.encode()))
     finally:
         out.close()
-    fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise OSError(f"could not write {path}")
+    # One step: whoever reads, and whatever breaks off, finds the old file or the new one.
+    context = hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+    options[0] = hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(beside), fs.makeQualified(at), options)
     return path
 
 
