@@ -1,8 +1,8 @@
 """Semantic deduplication in batches: within categories, then across them.
 
 A merger takes the facts of one batch and keeps the best of each group of duplicates; it is a model behind a provider,
-or the deterministic one below. Batches are bounded, and each round of merging halves their number, so every round is
-one grouped pass that runs in parallel over all batches of all categories.
+or the deterministic one below. Every round is one grouped pass that runs in parallel over runs of two batches at most,
+whatever a category or the table holds.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import normalize_text, period
+from lorekeep.operators import durable
 
 #: Facts that a merger sees at once.
 BATCH = 50
@@ -43,15 +44,15 @@ def keep_best(facts: pd.DataFrame, similar: float = 0.8) -> pd.DataFrame:
 
 def batches(aggregated: DataFrame, size: int = BATCH) -> DataFrame:
     """Facts with `batch`: within a category by time, oldest first, in runs of `size`."""
-    order = Window.partitionBy("category").orderBy("source_timestamp", "first_ord")
-    return aggregated.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size))
+    placed = durable.numbered(aggregated, ["category"], ["source_timestamp", "first_ord"], "batch")
+    return placed.withColumn("batch", F.floor(F.col("batch") / size))
 
 
 def as_deduped(aggregated: DataFrame) -> DataFrame:
     return aggregated.select(F.col("first_ord").alias("ord"), "fact", "category", period("min_timestamp", "max_timestamp").alias("period"))
 
 
-def _round(facts: DataFrame, keys: list[str], merger: Merger, size: int) -> DataFrame:
+def _round(facts: DataFrame, keys: list[str], merger: Merger, size: int, tasks: int | None = None) -> DataFrame:
     extra = [c for c in facts.columns if c not in ("ord", "fact", "category", "period")]
     shape = FACTS + "".join(f", {c} {facts.schema[c].dataType.simpleString()}" for c in extra)
 
@@ -60,7 +61,7 @@ def _round(facts: DataFrame, keys: list[str], merger: Merger, size: int) -> Data
         out = merge_sorted(f[["ord", "fact", "category", "period"]].reset_index(drop=True), merger, size)
         return out.assign(**{c: f[c].iloc[0] for c in extra})
 
-    return facts.groupBy(*keys).applyInPandas(run, shape)
+    return (facts.repartition(tasks, *keys) if tasks else facts).groupBy(*keys).applyInPandas(run, shape)
 
 
 def merge_sorted(facts: pd.DataFrame, merger: Merger, size: int = BATCH) -> pd.DataFrame:
@@ -79,39 +80,48 @@ def merge_sorted(facts: pd.DataFrame, merger: Merger, size: int = BATCH) -> pd.D
     return merger(both).reset_index(drop=True)
 
 
-def dedup_categories(aggregated: DataFrame, merger: Merger = keep_best, size: int = BATCH, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Batches of each category merged, then pairs of batches, round by round, until each category is one.
+def _settle(facts: DataFrame, keys: list[str], merger: Merger, size: int, store: Callable[[DataFrame], DataFrame], tasks: int | None) -> DataFrame:
+    """Rounds over runs of two batches, in order of (batch, ord) within the keys; every other round they begin a batch later.
 
-    `store` materialises a round (for instance to a table), so that a model is not asked twice; without it rounds stay lazy.
+    Done once a run holds all of each key, or two rounds in turn took nothing away.
     """
-    keep = store or (lambda df: df)
-    numbered = batches(aggregated, size)
-    most = numbered.agg(F.max("batch")).first()[0] or 0
-    now = numbered.select(F.col("first_ord").alias("ord"), "fact", "category", period("min_timestamp", "max_timestamp").alias("period"), F.col("batch").cast("long").alias("batch"))
-    now = keep(_round(now, ["category", "batch"], merger, size))
-    while most > 0:
-        # The odd batch out goes on as it is: merging it with itself again changes nothing for a merger that has settled.
-        now = keep(_round(now.withColumn("batch", F.floor(F.col("batch") / 2)), ["category", "batch"], merger, size))
-        most //= 2
-    return now.drop("batch")
-
-
-def deduplicate(aggregated: DataFrame, merger: Merger = keep_best, size: int = BATCH, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Both phases: within categories, then across them in one more pass; across, what is left goes through merge rounds as well.
-
-    Rounds across categories deal facts into runs of `size` by order, so that no task has more than two batches.
+    now, before, unchanged, shift = facts, -1, 0, 0
+    while True:
+        sizes = now.groupBy(*keys).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+        unchanged = unchanged + 1 if sizes.n == before else 0
+        if unchanged == 2:
+            return now
+        last, shift, before = (sizes.most or 0) <= 2 * size, 0 if (sizes.most or 0) <= 2 * size else shift, sizes.n
+
+        def merged(now=now, shift=shift) -> DataFrame:
+            placed = durable.numbered(now, keys, ["batch", "ord"])
+            return _round(placed.withColumn("batch", F.floor((F.col("at") + shift) / (2 * size))).drop("at"), [*keys, "batch"], merger, size, tasks)
+
+        made = durable.settled(merged, store)
+        if now is not facts:
+            durable.release(now)
+        now, shift = made, size - shift
+        if last:
+            return now
+
+
+def dedup_categories(aggregated: DataFrame, merger: Merger = keep_best, size: int = BATCH, store: Callable[[DataFrame], DataFrame] = durable.stored, tasks: int | None = None) -> DataFrame:
+    """Batches of each category merged, then neighbouring batches, round by round, while that takes facts away.
+
+    `store` writes each round and gives it back, so that a model is not asked twice; `tasks` bounds the calls at once.
     """
-    keep = store or (lambda df: df)
-    first = keep(dedup_categories(aggregated, merger, size, store))
-    n = first.count()
-    now, runs = first, max(1, -(-n // size))
-    order = Window.orderBy("ord")
-    ranked = now.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size).cast("long")) if runs > 1 else now.withColumn("batch", F.lit(0).cast("long"))
-    now = keep(_round(ranked, ["batch"], merger, size))
-    while runs > 1:
-        now = keep(_round(now.withColumn("batch", F.floor(F.col("batch") / 2)), ["batch"], merger, size))
-        runs = -(-runs // 2)
-    return now.drop("batch")
+
+    def merged() -> DataFrame:
+        dealt = batches(aggregated, size).select(F.col("first_ord").alias("ord"), "fact", "category", period("min_timestamp", "max_timestamp").alias("period"), F.col("batch").cast("long").alias("batch"))
+        return _round(dealt, ["category", "batch"], merger, size, tasks)
+
+    return _settle(durable.settled(merged, store), ["category"], merger, size, store, tasks).drop("batch")
+
+
+def deduplicate(aggregated: DataFrame, merger: Merger = keep_best, size: int = BATCH, store: Callable[[DataFrame], DataFrame] = durable.stored, tasks: int | None = None) -> DataFrame:
+    """Both phases: within categories, then across them in order of `ord`, in the same rounds."""
+    first = dedup_categories(aggregated, merger, size, store, tasks)
+    return _settle(first.withColumn("batch", F.lit(0).cast("long")), [], merger, size, store, tasks).drop("batch")
 
 
 def dedup_exact(aggregated: DataFrame) -> DataFrame:
@@ -161,13 +171,17 @@ def cluster_by_embedding(vectors: DataFrame, similar: float = 0.85, block: int =
     dealt = unit.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     met = dealt.withColumn("other", other).select("id", "v", "width", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    links = met.groupBy("width", "x", "y").applyInArrow(_linked(similar), "u long, v long").distinct().localCheckpoint()
+    links = met.groupBy("width", "x", "y").applyInArrow(_linked(similar), "u long, v long").distinct()
+    links = durable.stored(links)
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     named, moved = both.select(F.col("u").alias("id"), F.col("u").alias("cluster")).distinct(), 1
+    last = named
     while moved:
         heard = both.join(named, both["v"] == named["id"]).groupBy("u").agg(F.min("cluster").alias("_heard"))
         now = named.join(heard, named["id"] == heard["u"]).select("id", F.least("cluster", "_heard").alias("_to"), (F.col("_heard") < F.col("cluster")).alias("_moved"))
-        now = now.localCheckpoint()
+        now = durable.stored(now)
         moved = now.filter("_moved").count()
-        named = now.select("id", F.col("_to").alias("cluster"))
+        durable.release(last)
+        last, named = now, now.select("id", F.col("_to").alias("cluster"))
+    durable.release(links)
     return vectors.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))

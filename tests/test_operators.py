@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorekeep.operators import aggregate, dedup, distill, extract, packing, providers, render, resume, stats, verify
+from lorekeep.operators import aggregate, dedup, distill, durable, extract, packing, providers, render, resume, stats, verify
 from lorekeep.sources.schemas import CATEGORIES
 
 FACT = "fact_ord long, fact string, category string, source_convo_id string, source_timestamp double, source_quote string"
@@ -149,6 +149,27 @@ def test_dedup_counts_and_rounds(spark):
     assert dedup.deduplicate(merged.limit(0)).count() == 0
 
 
+def test_dedup_rounds_are_bounded(spark):
+    """A category far above the size of a batch: no call sees more than a batch, and rounds end with a merger that takes nothing away."""
+    rows = [(f"word{i} other{i * 3} third{i * 7}", "a" if i % 3 else None, "c", float(i % 7), "") for i in range(230)]
+    merged = aggregate.aggregate_facts(facts(spark, rows))
+
+    def half(f):
+        assert 0 < len(f) <= 10
+        return f.iloc[::2]
+
+    def settled(f):
+        assert 0 < len(f) <= 10
+        return f
+
+    assert 0 < dedup.deduplicate(merged, half, 10).count() <= 10
+    assert sorted(r.ord for r in dedup.deduplicate(merged, settled, 10, tasks=2).collect()) == list(range(230))
+    placed = durable.numbered(merged, ["category"], ["source_timestamp", "first_ord"]).collect()
+    for c in ("a", None):
+        of = sorted((r for r in placed if r.category == c), key=lambda r: r["at"])
+        assert [r["at"] for r in of] == list(range(len(of))) and of == sorted(of, key=lambda r: (r.source_timestamp, r.first_ord))
+
+
 def test_extract_isolates_failures(spark):
     class Sometimes(providers.Offline):
         def complete_structured(self, prompt, schema):
