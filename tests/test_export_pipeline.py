@@ -1,5 +1,6 @@
 import json
 
+from lorekeep.operators import render
 from lorekeep.plans import pipeline
 from lorekeep.streaming import ingest
 
@@ -30,7 +31,10 @@ def test_streaming_ingestion(spark, tmp_path):
     ingest.ingest(*args).awaitTermination()
     assert ingest.read_table(spark, str(tmp_path / "tables"), "messages").count() == 24
     ingest.ingest(*args).awaitTermination()
-    assert ingest.read_table(spark, str(tmp_path / "tables"), "conversations").count() == 6
+    found = [ingest.read_table(spark, str(tmp_path / "tables"), n) for n in ("conversations", "messages")]
+    assert found[0].count() == 6 == found[0].select("conv_ord").distinct().count()
+    shown = render.render_conversations(*found).collect()
+    assert all(f"topic {r.id[1]}{k} " in r.rendered for r in shown for k in range(4)) and all(r.rendered.count("I like topic") == 4 for r in shown)
 
 
 def test_log_has_every_discarded_fact(spark, tmp_path):
