@@ -44,7 +44,7 @@ def pack(parts: DataFrame, limit: int = CHUNK_TOKENS, by: str | None = None) ->
     """parts (part_ord, tokens, and `by`) with chunk_id, from 0 in each export."""
     keys = [by] if by else []
     narrow = parts.select(*keys, "part_ord", "tokens")
-    sorted_parts = (narrow.repartition(by) if by else narrow.coalesce(1)).sortWithinPartitions(*keys, "part_ord")
+    sorted_parts = (narrow.repartition(by) if by else narrow.repartition(1)).sortWithinPartitions(*keys, "part_ord")
     shape = [*[f"`{c}` {parts.schema[c].dataType.simpleString()}" for c in keys], f"part_ord {parts.schema['part_ord'].dataType.simpleString()}", f"tokens {parts.schema['tokens'].dataType.simpleString()}", "chunk_id long"]
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -79,7 +79,7 @@ def _tree_content(c: Column) -> Column:
 def _ordered(exports: DataFrame, schema: str) -> DataFrame:
     each = exports.select("path", F.posexplode(F.from_json("raw", schema)).alias("_at", "c"))
     # One row for each conversation: the place in the file, and files by path, make one order without a sort of texts.
-    files = exports.select("path", F.coalesce(F.size(F.from_json("raw", schema)), F.lit(0)).alias("n"))
+    files = exports.select("path", F.coalesce(F.json_array_length("raw"), F.size(F.from_json("raw", schema)), F.lit(0)).alias("n"))
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     return each.join(files, "path").withColumn("conv_ord", (F.col("_before") + F.col("_at")).cast("long"))
