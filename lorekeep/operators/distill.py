@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators import durable, render
+from lorekeep.operators.extract import DISTILL_PROMPT, DISTILL_SCHEMA
+from lorekeep.operators.providers import Provider
 from lorekeep.sources.schemas import CATEGORIES
 
+#: Facts that one call arranges. As many or fewer are arranged by a single call.
+AT_ONCE = 1000
+
 
 def profile_facts(deduped: DataFrame) -> DataFrame:
     """(category_ord, category, ord, fact, period): facts of known categories, in the taxonomy's order."""
@@ -28,6 +35,39 @@ def distill(deduped: DataFrame, name: str = "User", source: str = "Unknown", gen
     return packed.crossJoin(count).select(F.lit(name).alias("name"), "categories", F.lit(generated).alias("generated"), F.lit(source).alias("source"), "fact_count")  # one row each
 
 
+def distill_by(deduped: DataFrame, make: Callable[[], Provider], trusted: str | None = None, source: str = "Unknown", generated: str = "", at_once: int = AT_ONCE, store: Callable[[DataFrame], DataFrame] = durable.stored, tasks: int = 1) -> DataFrame:
+    """The profile as a provider arranges it, with the trusted baseline kept as it is worded; the same row as distill().
+
+    Facts are dealt by category and order into runs of `at_once`, each asked about by one call in a task; the answers follow one
+    another. The baseline goes with the first run, so that it is told once. Items that lack a fact and unknown categories go;
+    without facts nothing is asked. `store` writes the answers once.
+    """
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = make()
+        for f in frames:
+            answers = [provider.complete_structured(p, DISTILL_SCHEMA) for p in f["prompt"]]
+            rows = []
+            for run, got in zip(f["run"], answers, strict=True):
+                listed = got.get("categories")
+                listed = listed if isinstance(listed, dict) else {}
+                facts = [(c, x) for c in CATEGORIES for x in listed.get(c) or [] if isinstance(x, dict) and "fact" in x]
+                rows.append((run, str(got.get("name") or "User"), json.dumps([{"fact": str(x["fact"]), "category": c, "period": str(x.get("period") or "")} for c, x in facts])))
+            yield pd.DataFrame(rows, columns=["run", "name", "facts"])
+
+    def asked() -> DataFrame:
+        placed = durable.numbered(deduped.select("ord", "fact", "category", "period"), [], ["category", "ord", "fact"])
+        runs = render.facts_json(placed.withColumn("run", F.floor(F.col("at") / at_once)), ["fact", "category", "period"], ["run"])
+        prompt = F.when(F.col("run") == 0, render.build_prompt(DISTILL_PROMPT, F.col("json"), trusted)).otherwise(render.build_prompt(DISTILL_PROMPT, F.col("json")))
+        return runs.select("run", prompt.alias("prompt")).repartition(tasks, "run").mapInPandas(ask, "run long, name string, facts string")
+
+    answers = durable.settled(asked, store)
+    shape = "array<struct<fact:string,category:string,period:string>>"
+    each = answers.select("run", F.posexplode(F.from_json("facts", shape)).alias("at", "x")).select((F.col("run") * 1_000_000 + F.col("at")).alias("ord"), "x.*")
+    first = answers.filter("run = 0").select("name").first()
+    return distill(each, first.name if first else "User", source, generated).withColumn("fact_count", F.lit(deduped.count()).cast("int"))
+
+
 def markdown(profile: DataFrame) -> DataFrame:
     """(text): the profile as Markdown; categories in order, empty ones left out."""
     line = lambda x: F.concat(F.lit("- "), x["fact"], F.when(F.coalesce(x["period"], F.lit("")) != "", F.concat(F.lit(" *("), x["period"], F.lit(")*"))).otherwise(F.lit("")), F.lit("\n"))

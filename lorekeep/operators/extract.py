@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,11 +25,26 @@ def _listed(properties: dict) -> dict:
 
 FACT_SCHEMA = _listed({"fact": _TEXT, "category": {"type": "string", "enum": CATEGORIES}, "source_convo_id": _TEXT, "source_timestamp": {"type": "number"}, "source_quote": _TEXT})
 DEDUP_SCHEMA = _listed({"fact": _TEXT, "category": _TEXT, "period": _TEXT})
+_DATED = {"type": "array", "items": {"type": "object", "properties": {"fact": _TEXT, "period": _TEXT}, "required": ["fact", "period"], "additionalProperties": False}}
+DISTILL_SCHEMA = {
+    "type": "object",
+    "properties": {"name": _TEXT, "categories": {"type": "object", "properties": dict.fromkeys(CATEGORIES, _DATED), "required": CATEGORIES, "additionalProperties": False}},
+    "required": ["name", "categories"],
+    "additionalProperties": False,
+}
 EXTRACT_PROMPT = "List what the conversations below say about their user: one fact each, with its category, the conversation's ID, its time, and 5 to 15 words quoted as they stand.\n\n"
 DEDUP_PROMPT = "Of facts below that mean the same, keep the most recent, specific, frequent or explicit one, unchanged. Keep both where something changed over time.\n\n"
 DISTILL_PROMPT = "Arrange the facts below by category, the most important first. Join related ones, tell past ones in the past tense, and keep their periods.\n\n"
 
 
+def prompt_file(path: str) -> str:
+    """A prompt of one's own, in place of the ones above; a file that is missing is an error, never a fallback."""
+    at = Path(path)
+    if not at.is_file():
+        raise FileNotFoundError(f"no prompt at {path}")
+    return at.read_text(encoding="utf-8")
+
+
 def extract(chunks: DataFrame, make: Callable[[], Provider], tasks: int | None = None, prompt: str = EXTRACT_PROMPT) -> DataFrame:
     """(chunk_id, status, error, facts json) of each chunk (chunk_id, content). `tasks` calls go on at once; 1 is one after the other.
 

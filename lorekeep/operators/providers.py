@@ -60,6 +60,16 @@ class RateLimit:
         self.tokens += tokens
 
 
+_limits: dict[tuple[int, int], RateLimit] = {}
+
+
+def process_limit(rpm: int, tpm: int) -> RateLimit:
+    """This process's one limit for such a budget, whichever tasks and calls it runs in turn."""
+    if (rpm, tpm) not in _limits:
+        _limits[rpm, tpm] = RateLimit(rpm, tpm)
+    return _limits[rpm, tpm]
+
+
 def with_retries(call, retriable, tries: int = RETRIES, wait: float = WAIT_S, sleep=time.sleep):
     """call() again after failures that are retriable, with doubling waits; the last failure is raised."""
     for k in range(tries):
