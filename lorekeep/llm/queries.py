@@ -74,7 +74,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = pii.find(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(k) for k in pii.KINDS])
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+
+    def count(kind: int):  # not a lambda with a default, whose second parameter would be an element's place
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", *counts, "base_sha256", spans.alias("spans"))
 

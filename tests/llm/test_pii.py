@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from lorekeep.llm import pii
+from lorekeep.llm import pii, queries
 
 SCHEMA = "doc_id long, text string, base string, kind int"
 
@@ -59,3 +59,15 @@ def test_loose_shapes(spark):
     rows = [(i, f"tel (980) 555-62{i:02d} and bob@ex.com or +1 (980) 555-6268", "", 0) for i in range(60)]
     got = pii.find(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all([pii.KINDS[s.kind] for s in r.spans] == ["phone", "email", "phone"] for r in got)
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    """Spans of every kind in any order and number, through the query."""
+    rng = random.Random(4)
+    parts = ["bob@ex.com", "10.0.0.1", "4111111111111111", "+1 (980) 555-6268", "plain", "300.1.1.1", "4111111111111112"]
+    texts = [None, "", *(" ; ".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op9_pii(spark, str(tmp_path)).collect():
+        want = brute(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in want).encode()).hexdigest()
