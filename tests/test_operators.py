@@ -129,6 +129,19 @@ def test_containing_is_containment(spark):
     assert sorted(map(tuple, found.collect())) == sorted((q, i) for q in quotes for i, t in texts if q in t)
 
 
+def test_containing_by_bytes_without_words(spark):
+    """Quotes of any length and alphabet, repeated passages, and a plan that neither lists the texts' words nor compares all pairs."""
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choice("aé€😀b ") for _ in range(rng.randrange(1, 90)))) for i in range(80)] + [(i, "very common line " * 40) for i in range(100, 130)]
+    quotes = {t[a : a + rng.randrange(1, 40)] for _, t in texts for a in [rng.randrange(len(t))]} | {"é", "😀€", "common line very", "no such text at all", "x"}
+    held = spark.createDataFrame(texts, "text_ord long, norm string")
+    found = verify.containing(spark.createDataFrame([(q,) for q in quotes], "quote string"), held)
+    assert sorted(map(tuple, found.collect())) == sorted((q, i) for q in quotes for i, t in texts if q in t)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "split(" not in plan
+    assert verify.containing(spark.createDataFrame([], "quote string"), held).count() == 0
+
+
 def test_dedup_counts_and_rounds(spark):
     rows = [(f"fact number {i} about topic {i * 7}", "a" if i < 60 else "b", "c", float(i), "") for i in range(75)] + [("fact number 3 about topic 21 !", "b", "c", 99.0, "")]
     merged = aggregate.aggregate_facts(facts(spark, rows))
