@@ -87,3 +87,22 @@ def test_fuzzy_with_insertions_and_deletions(seed):
             grams = {text[i : i + 3] for i in range(len(text) - 2)}
             assert sum(quote[i : i + 3] in grams for i in range(len(quote) - 2)) >= fuzzy.shared_grams_needed(len(quote))
     assert brute_fuzzy(whole, "-----" + longer + "-----")
+
+
+def test_quotes_looked_for_together():
+    """Quotes of one piece and of several, near the ends and inside, against the plain search of each."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = [say(rng.randrange(0, 300)) for _ in range(25)] + ["", "é€😀" * 20]
+    quotes = ["é€😀é€😀é€😀é€", ""]
+    for _ in range(60):
+        text = rng.choice(texts[:25])
+        a = rng.randrange(len(text) + 1)
+        quote = list(text[a : a + rng.randrange(5, 150)])
+        for _ in range(rng.randrange(8)):
+            quote.insert(rng.randrange(len(quote) + 1), rng.choice("abx"))
+        quotes.append("".join(quote))
+    for text in texts:
+        asked = fuzzy.Quotes(quotes, at_once=7)
+        found = {asked.quotes[i]: (window, ratio) for i, window, ratio in asked.find(text)}
+        assert found == {q: x for q in quotes if (x := brute_fuzzy(q, text))}

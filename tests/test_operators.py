@@ -142,6 +142,17 @@ def test_containing_by_bytes_without_words(spark):
     assert verify.containing(spark.createDataFrame([], "quote string"), held).count() == 0
 
 
+def test_resembling_gives_the_first_text(spark, monkeypatch):
+    """Blocks of any size give the same, and no pair of a quote and a text becomes a row that is not a match."""
+    texts = [(k, f"{k} and " + "the same long sentence is told in all of them " * (k % 3)) for k in range(12)]
+    quotes = ["the samx long sentxnce is told", "nothing that was ever told here", "and the sime long sentence"]
+    for size in (1 << 20, 20):
+        monkeypatch.setattr(verify, "QUOTES_AT_ONCE", size)
+        monkeypatch.setattr(verify, "TEXTS_AT_ONCE", 40 * size)
+        found = verify.resembling(spark.createDataFrame([(q,) for q in quotes], "quote string"), spark.createDataFrame(texts, "text_ord long, norm string")).collect()
+        assert sorted((r.quote, r.text_ord) for r in found) == [(quotes[2], 1), (quotes[0], 1)]
+
+
 def test_dedup_counts_and_rounds(spark):
     rows = [(f"fact number {i} about topic {i * 7}", "a" if i < 60 else "b", "c", float(i), "") for i in range(75)] + [("fact number 3 about topic 21 !", "b", "c", 99.0, "")]
     merged = aggregate.aggregate_facts(facts(spark, rows))
