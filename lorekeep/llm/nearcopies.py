@@ -1,4 +1,8 @@
-"""Near copies among documents by an exact set-similarity join over word shingles.
+"""Near copies among documents by SimHash fingerprints, verified, and by an exact set-similarity join for what these do not reach.
+
+Documents whose fingerprints op3's signatures link are verified on their whole sets first, and those that hold form groups.
+Fingerprints of similar texts may differ in many more bits, so a join finds the other pairs; what is in a group by then is not
+verified again.
 
 A document is the set of its lower-cased runs of SHINGLE words; one with fewer words is the set of one run. Documents whose
 sets are as similar as the threshold share a shingle among the first |set| - ceil(t |set|) + 1 in any common order, here
@@ -19,6 +23,7 @@ from lorekeep.llm import setjoin
 from lorekeep.llm.common import LOWER, Words, mixed, release, slices, starts_of, stored, texts_of
 from lorekeep.llm.components import components
 from lorekeep.llm.setjoin import Order, needed
+from lorekeep.llm.simhash import fingerprint, links as fingerprint_links
 
 SHINGLE, SIMILAR = 5, 0.8
 SLICE = 1 << 20
@@ -54,7 +59,7 @@ class Sets:
 
 
 def _read(shingle: int):
-    """The hash of each document's set; on a slice's first row also its frequent shingles."""
+    """The hash of each document's set and its fingerprint; on a slice's first row also the slice's frequent shingles."""
 
     def run(batches):
         for b in slices(batches, limit=SLICE):
@@ -64,7 +69,8 @@ def _read(shingle: int):
             often = n >= setjoin.OFTEN
             first = pa.array(np.where(np.arange(b.num_rows + 1) > 0, often.sum(), 0).astype(np.int32))
             lists = [pa.ListArray.from_arrays(first, pa.array(v)) for v in (h[often].view(np.int64), n[often].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.sign), *lists], ["doc_id", "sign", "words", "times"])
+            fp = fingerprint(texts_of(b.column(1), LOWER).cast(pa.binary()).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.sign), pa.array(fp), *lists], ["doc_id", "sign", "fp", "words", "times"])
 
     return run
 
@@ -110,6 +116,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, t: float) -> Data
     return stored(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
+def _alike(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of signs with linked fingerprints: a star around the least sign of each fingerprint (sign, fp), and links between those."""
+    least = stored(prints.groupBy("fp").agg(F.min("sign").alias("least")))
+    same = prints.join(least, "fp").select("sign", "least")
+    links = fingerprint_links(least.select("fp"))
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v")]
+    both = same.unionByName(links.join(ends[0], "u").join(ends[1], "v").select(F.col("_u").alias("sign"), F.col("_v").alias("least")))
+    return stored(both.filter("sign != least").select(F.least("sign", "least").alias("a"), F.greatest("sign", "least").alias("b")).distinct())
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, t: float = SIMILAR) -> DataFrame:
     """(doc_id, component_id): component_id is the least doc_id reachable over pairs with Jaccard similarity of t or more.
 
@@ -117,11 +133,15 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, t: float = SIMILAR) ->
     Equal sets are told by a 64-bit hash.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    read = stored(docs.mapInArrow(_read(shingle), "doc_id long, sign long, words array<long>, times array<int>"))
+    read = stored(docs.mapInArrow(_read(shingle), "doc_id long, sign long, fp long, words array<long>, times array<int>"))
+    close = _verified(docs, _alike(stored(read.select("sign", "fp").distinct())), shingle, t)
+    group = components(close.toDF("u", "v"))
     order = setjoin.order_of(read.filter(F.size("words") > 0).select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("n"))).alias("w")).select("w.word", "w.n"))
     met = stored(setjoin.dealt(docs.mapInArrow(_prefixes(order, shingle, t), setjoin.ROWS)).mapInArrow(setjoin.meet(t), setjoin.MET))
     pairs = stored(met.filter("key IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = _verified(docs, pairs, shingle, t)
+    ends = [group.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
+    apart = stored(pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("NOT coalesce(_a = _b, false)").select("a", "b"))
+    links = stored(close.unionByName(_verified(docs, apart, shingle, t)))
     root = components(links.toDF("u", "v"))
 
     crowd = met.filter("key IS NOT NULL").select("key", "shape", F.col("b").alias("sign"), "b_doc")

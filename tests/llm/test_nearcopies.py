@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lorekeep.llm import setjoin
+from lorekeep.llm import nearcopies, setjoin, simhash
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -48,3 +48,20 @@ def test_stage_finds_every_near_copy(spark, monkeypatch, paired, sizes):
     want = brute(rows)
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert {r.doc_id for r in got} == want and len(got) == len(want) < len(rows) - 30  # most of the copies are found
+
+
+def test_fingerprints_group_first(spark, monkeypatch):
+    """Pairs that SimHash links are verified first; the join's pairs are verified only if they are in no group by then."""
+    rng = random.Random(2)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    base, far = say(400), say(120)
+    near = [*base[:399], "x"]
+    apart = [w if k % 40 else f"y{k}" for k, w in enumerate(far)]  # too many bits away
+    rows = [(i, " ".join(w), "x") for i, w in enumerate([base, near, [*near, "z"], far, apart, say(50)])]
+    bits = [int(x) for x in simhash.fingerprint([t.encode() for _, t, _ in rows])]
+    assert (bits[0] ^ bits[1]).bit_count() <= 2 < (bits[3] ^ bits[4]).bit_count()
+    asked, verified = [], nearcopies._verified
+    monkeypatch.setattr(nearcopies, "_verified", lambda docs, pairs, *a: asked.append(pairs.count()) or verified(docs, pairs, *a))
+    got = {r.doc_id: r.component_id for r in nearcopies.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5} and {i for i, c in got.items() if i == c} == brute(rows)
+    assert len(asked) == 2 and asked[0] >= 1 and asked[1] >= 1
