@@ -173,6 +173,22 @@ def test_dedup_counts_and_rounds(spark):
     assert dedup.deduplicate(merged.limit(0)).count() == 0
 
 
+def test_keep_best_equals_pair_by_pair(monkeypatch):
+    """The same facts stay as by comparing sets one by one; a run without alike facts takes one comparison and no merge."""
+    assert all(bool(dedup.WORD.fullmatch(chr(c))) == chr(c).isalnum() for c in range(0x110000))
+    rng = random.Random(5)
+    for size in (0, 1, 5, 50, 120):
+        texts = ["".join(rng.choice(["a", "B", "c_d", "é1", "x-y", "", "!"]) + rng.choice([" ", "_", ". "]) for _ in range(rng.randrange(6))) for _ in range(size)]
+        frame = pd.DataFrame({"ord": rng.sample(range(1000), size), "fact": pd.Series(texts, dtype=object), "category": "a", "period": pd.Series([rng.choice([None, "2020-01-01", "2021-05-05"]) for _ in texts], dtype=object)})
+        sets = [frozenset("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in texts]
+        kept = []
+        for i in sorted(range(size), key=lambda i: ((frame["period"][i] or ""), len(texts[i]), -frame["ord"][i]), reverse=True):
+            if not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in kept):
+                kept.append(i)
+        monkeypatch.setattr(dedup, "AT_ONCE", 1 if size == 50 else 1 << 19)
+        assert dedup.keep_best(frame).index.tolist() == sorted(kept) and dedup.keep_best.idle(texts) == (len(kept) == size)
+
+
 def test_dedup_rounds_are_bounded(spark):
     """A category far above the size of a batch: no call sees more than a batch, and rounds end with a merger that takes nothing away."""
     rows = [(f"word{i} other{i * 3} third{i * 7}", "a" if i % 3 else None, "c", float(i % 7), "") for i in range(230)]
