@@ -141,8 +141,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, t: float = SIMILAR) ->
     pairs = stored(met.filter("key IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = [group.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
     apart = stored(pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("NOT coalesce(_a = _b, false)").select("a", "b"))
-    links = stored(close.unionByName(_verified(docs, apart, shingle, t)))
-    root = components(links.toDF("u", "v"))
+    # Groups are stars by now: their own edges are fewer than the links, and settle at once.
+    root = components(group.toDF("u", "v").unionByName(_verified(docs, apart, shingle, t).toDF("u", "v")))
 
     crowd = met.filter("key IS NOT NULL").select("key", "shape", F.col("b").alias("sign"), "b_doc")
     if not crowd.isEmpty():
@@ -154,7 +154,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, t: float = SIMILAR) ->
         rest = stored(more.select(F.least("sign", "_sign").alias("a"), F.greatest("sign", "_sign").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         release(placed)
         if not rest.isEmpty():
-            root = components(links.unionByName(_verified(docs, rest, shingle, t)).toDF("u", "v"))
+            root = components(root.toDF("u", "v").unionByName(_verified(docs, rest, shingle, t).toDF("u", "v")))
     release(met, pairs)
 
     least = read.groupBy("sign").agg(F.min("doc_id").alias("least"))

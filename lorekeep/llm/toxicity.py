@@ -12,6 +12,7 @@ labels; words of probability 0.5 or more are the offending offsets.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 
@@ -318,9 +319,16 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not chosen:
         return train([], [])
     small = chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(small), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(small), "doc_id").select("doc_id", "text", "toxic")
+    made = rows.repartition(1).mapInArrow(_trainer, "model binary").first()
+    return Model(*pickle.loads(made.model)) if made else train([], [])
+
+
+def _trainer(batches):
+    """Fits in a task: the sample, and what training takes, never come to the driver."""
+    rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    x = train([r[1] for r in rows], [r[2] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((x.weights, x.bias, x.trans, x.fit))], pa.binary())], ["model"])
 
 
 def _scorer(model: Model):

@@ -90,6 +90,17 @@ def test_held_out_accuracy_and_offsets(spark):
     assert t.clean(df, labels).filter("doc_id = 5000").count() == 1
 
 
+def test_training_is_a_task(spark, monkeypatch):
+    """The driver gets the fitted model alone; sample and training stay in a task."""
+    df = spark.createDataFrame(corpus(300, random.Random(6)), SCHEMA)
+    chosen = sorted((r.doc_id, r.text, r.toxic) for r in df.filter(crc_mod("doc_id", 3) != 1).collect())
+    want = t.train([c[1] for c in chosen], [c[2] for c in chosen])
+    asked, train = [], t.train
+    monkeypatch.setattr(t, "train", lambda *a: asked.append(1) or train(*a))  # a task has a copy of `asked`
+    got = t.fitted(df, df.select("doc_id", "toxic"))
+    assert got.weights == want.weights and got.bias == want.bias and got.fit == want.fit and (got.trans == want.trans).all() and not asked
+
+
 def test_no_labels_and_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     df = spark.createDataFrame([(1, "some words", 0.0, 1)], SCHEMA)
