@@ -169,8 +169,8 @@ class Words:
         edge[self.offsets] = True
         self.start = np.flatnonzero(full[1:] & (~full[:-1] | edge))
         self.end = np.flatnonzero(full[:-1] & (~full[1:] | edge))
-        self.row = np.searchsorted(self.offsets, self.start, "right") - 1
-        self.counts = np.bincount(self.row, minlength=n).astype(np.int64)
+        self.counts = np.diff(np.searchsorted(self.start, self.offsets))
+        self.row = np.repeat(np.arange(n), self.counts)
 
     def hashes(self, at_once: int = 1 << 18) -> np.ndarray:
         """A 64-bit hash of each word, about at_once bytes at a time."""

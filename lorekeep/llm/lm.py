@@ -40,20 +40,58 @@ END = xxhash.xxh3_64_intdigest(b"\n end") - (1 << 63)
 START = xxhash.xxh3_64_intdigest(b"\n start") - (1 << 63)
 #: Customers of a dish up to which the law of its tables is tabulated.
 EXACT = 512
+#: Customers of a dish up to which its columns are drawn as whole arrays; rows of the root that are seated at once, at least.
+FEW, ROWS = 16, 1 << 17
 SEATED = "kind int, word long, context long, n long, tables double, own double, back double"
 NEAR = "id long, doc_id long, salt int, held_out boolean, n_tokens long, n_known long, base double, score double, far long, words array<long>, contexts array<long>"
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """np.argsort(key, kind="stable") of values from 0 on: places are sorted as the last bits of their values, where they fit."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()) >> (63 - bits):
+        return np.argsort(key, kind="stable")
+    return np.sort((key.astype(np.int64) << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+
+
+def _gathered(batches, text: int = 1):
+    """Texts of about SLICE bytes at once, of small batches and of large ones: what is done once for each slice is done seldom."""
+    held, size = [], 0
+    for b in slices(batches, text=text, limit=SLICE):
+        more = b.column(text).nbytes
+        if held and size + more > SLICE:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _rows(batches, least: int):
+    """Batches of that many rows at least, but the last."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.concat_batches(held)
+
+
 def _tokens(column: pa.Array):
-    """Per token, ends included: the hashes of the word before it and of its own; and tokens of each text."""
+    """Per token, ends included: codes of the word before it and of its own; tokens of each text; and the hashes by code, START last."""
     found = Words(texts_of(column, LOWER))
     n = found.counts + 1
     token = np.full(n.sum(), END)
     token[np.arange(len(found.row)) + found.row] = found.hashes().view(np.int64)
+    token, words = pd.factorize(token)
     before = np.empty(len(token), np.int64)
     before[1:] = token[:-1]
-    before[starts_of(n)[:-1]] = START
-    return before, token, n
+    before[starts_of(n)[:-1]] = len(words)
+    return before, token, n, np.append(words, START)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -88,16 +126,32 @@ class Tables:
         below = np.exp(weights - weights.max(axis=1, keepdims=True)).cumsum(axis=1)
         return 1.0 + (below < (u * below[:, -1])[:, None]).sum(axis=1)
 
+    def _few(self, n: np.ndarray, a: np.ndarray, u: np.ndarray, widest: int) -> np.ndarray:
+        """As _pick, of n customers, few: columns are whole arrays."""
+        log_a = np.log(a)
+        weights = [self.log[:, t][n] + log_a * t for t in range(1, widest + 1)]
+        most = np.maximum.reduce(weights)
+        below = [np.exp(weights[0] - most)]
+        for w in weights[1:]:
+            below.append(below[-1] + np.exp(w - most))
+        u, out = u * below[-1], np.ones(len(n))
+        for x in below[:-1]:
+            out += x < u
+        return out
+
     def draw(self, n: np.ndarray, a: np.ndarray, key: np.ndarray, step: int) -> np.ndarray:
-        order = np.argsort(n, kind="stable")
+        order = _order(n)
         sizes, out = n[order], np.ones(len(n))
         at = int(np.searchsorted(sizes, 2))
         small = int(np.searchsorted(sizes, EXACT, "right"))
         while at < small:
             widest = min(max(int(sizes[at]), int(sizes[at] * 1.25)), EXACT)
-            to = min(int(np.searchsorted(sizes, widest, "right")), at + max(1, (1 << 22) // widest))
+            to = min(int(np.searchsorted(sizes, widest, "right")), at + max(1, (1 << 22 if widest > FEW else 1 << 17) // widest))
             i = order[at:to]
             widest = int(sizes[to - 1])
+            if widest <= FEW:
+                out[i], at = self._few(sizes[at:to], a[i], _uniform(key[i], step), widest), to
+                continue
             weights = self.log[n[i], 1 : widest + 1] + np.log(a[i])[:, None] * np.arange(1, widest + 1)
             out[i] = self._pick(weights, _uniform(key[i], step))
             at = to
@@ -129,13 +183,17 @@ def seat_leaves(group, n, root, share, spare, total, law: Tables, key, rng: np.r
     """
     t, mean, mean_all = (n > 0).astype(float), np.zeros(len(n)), np.zeros(len(share))
     many, d = np.flatnonzero(n > 1), law.d
+    many = many[_order(n[many])]
+    n_many, group_many, root_many, key_many = n[many], group[many], root[many], key[many]
     of = lambda t: spare + share * np.bincount(group, t, len(share))
+    all_of = of(t)
     for sweep in range(BURN_IN + SWEEPS):
-        x = rng.gamma(STRENGTH / d + of(t))
-        t[many] = law.draw(n[many], d * np.maximum(x[group[many]] * root[many], 1e-300), key[many], sweep)
+        x = rng.gamma(STRENGTH / d + all_of)
+        t[many] = law.draw(n_many, d * np.maximum(x[group_many] * root_many, 1e-300), key_many, sweep)
+        all_of = of(t)
         if sweep >= BURN_IN:
             mean += t / SWEEPS
-            mean_all += of(t) / SWEEPS
+            mean_all += all_of / SWEEPS
     return t, mean, (n - d * mean) / (STRENGTH + total)[group], ((STRENGTH + d * mean_all) / (STRENGTH + total))[group]
 
 
@@ -152,13 +210,11 @@ class Top:
         self.root = np.maximum(tokens, 0.5) / max(total, 1)
         self.other = max(total - int(tokens.sum()), 1) / max(distinct - len(words), 1) / max(total, 1)
         self.spare = np.zeros(len(words))
+        self.places = pd.Index(self.words)
 
     def index(self, h: np.ndarray) -> np.ndarray:
         """The place of each word, or -1."""
-        if not len(self.words):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, -1)
+        return self.places.get_indexer(h)
 
     def take(self, values: np.ndarray, at: np.ndarray, other):
         return np.where(at >= 0, values[at], other) if len(values) else np.full(len(at), other)
@@ -179,43 +235,53 @@ def _bucket(context: np.ndarray, share: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(context.view(np.uint64) + share.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _packed(top: Top, buckets: int, context: np.ndarray, word: np.ndarray, **each: np.ndarray) -> pa.RecordBatch:
+def _packed(top: Top, buckets: int, words: np.ndarray, at: np.ndarray, context: np.ndarray, word: np.ndarray, **each: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket, of runs of equal contexts and their words; frequent words by their places among the top ones.
 
-    each: more values of each token, among them doc, the place of its document; ids and salts name the documents.
+    words, at: by code, hashes and places among the top ones, or -1; context, word: codes. each: more values of each token,
+    among them doc, the place of its document; ids and salts name the documents.
     """
     ids, salts = each.pop("ids", None), each.pop("salts", None)
-    codes, contexts = pd.factorize(context)
-    context_at, word_at = top.index(contexts), top.index(word)
-    bucket = _bucket(context, top.share(context_at[codes], word), buckets)
-    by = np.argsort(bucket * len(contexts) + codes, kind="stable")
-    bucket, codes, word, word_at = bucket[by], codes[by], word[by], word_at[by]
+    bucket = _bucket(words, np.zeros(len(words), np.int64), buckets)[context]
+    dealt = np.flatnonzero((top.shares(at) > 1)[context])
+    if len(dealt):
+        hot, of = context[dealt], words[word[dealt]]
+        bucket[dealt] = _bucket(words[hot], top.share(at[hot], of), buckets)
+    by = _order(bucket * len(words) + context)
+    bucket, codes, word = bucket[by], context[by], word[by]
+    word_at = at[word]
+    edge = np.flatnonzero(np.diff(bucket)) + 1
+    begin = np.concatenate([[0], edge]).astype(np.int64)
     run = np.flatnonzero(np.concatenate([[True], (np.diff(codes) != 0) | (np.diff(bucket) != 0)]))
-    of_run = bucket[run]
-    names, begin = np.unique(bucket, return_index=True)
-    ends = np.append(begin, len(bucket))
+    of_run, names, ends = bucket[run], bucket[begin], np.append(begin, len(bucket))
+    context_at = at[codes[run]]
 
     def listed(values, of):
         """values of tokens or runs that are in the buckets of, in order."""
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.append(names, buckets)).astype(np.int32)), pa.array(values))
 
-    rare_run, rare = np.flatnonzero(context_at[codes[run]] < 0), np.flatnonzero(word_at < 0)
+    rare_run, rare = np.flatnonzero(context_at < 0), np.flatnonzero(word_at < 0)
     columns = {
         "bucket": pa.array(names),
-        "context_at": listed(context_at[codes[run]].astype(np.int32), of_run),
-        "context": listed(contexts[codes[run[rare_run]]], of_run[rare_run]),
+        "context_at": listed(context_at.astype(np.int32), of_run),
+        "context": listed(words[codes[run[rare_run]]], of_run[rare_run]),
         "run": listed(np.diff(np.append(run, len(bucket))).astype(np.int32), of_run),
         "word_at": listed(word_at.astype(np.int32), bucket),
-        "word": listed(word[rare], bucket[rare]),
+        "word": listed(words[word[rare]], bucket[rare]),
     }
     if ids is not None:
-        doc = each.pop("doc")[by]
-        told, places = [], []
-        for i, j in zip(ends[:-1], ends[1:], strict=True):
-            own, at = np.unique(doc[i:j], return_inverse=True)
-            told.append(own)
-            places.append(at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes())
-        at, own = pa.array(np.cumsum([0, *map(len, told)]).astype(np.int32)), np.concatenate(told)
+        # The documents of each bucket, in order, and the place of each token's among them.
+        row = np.repeat(np.arange(len(names)), np.diff(ends))
+        key = row * len(ids) + each.pop("doc")[by]
+        sort = _order(key)
+        first = np.concatenate([[True], np.diff(key[sort]) != 0])
+        own = key[sort[first]]
+        told = np.searchsorted(own, np.arange(len(names) + 1) * len(ids))
+        place = np.empty(len(key), np.int64)
+        place[sort] = np.cumsum(first) - 1
+        place -= told[row]
+        places = [place[i:j].astype(np.uint16 if n <= 1 << 16 else np.uint32).tobytes() for i, j, n in zip(ends[:-1].tolist(), ends[1:].tolist(), np.diff(told).tolist(), strict=True)]
+        at, own = pa.array(told.astype(np.int32)), own % len(ids)
         columns |= {"doc": pa.array(places, pa.binary()), "ids": pa.ListArray.from_arrays(at, pa.array(ids[own])), "salts": pa.ListArray.from_arrays(at, pa.array(salts[own]))}
     columns |= {k: listed(v[by], bucket) for k, v in each.items()}
     return pa.RecordBatch.from_pydict(columns)
@@ -229,24 +295,22 @@ TOKENS = PACKED + ", doc binary, ids array<long>, salts array<int>, root array<d
 
 def _counted(batches):
     """(word, n): training tokens in a slice."""
-    for b in slices(batches, text=0, limit=SLICE):
-        _, token, n = _tokens(b.column(0))
-        codes, words = pd.factorize(token[np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)])
-        yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))], ["word", "n"])
+    for b in _gathered(batches, text=0):
+        _, token, n, words = _tokens(b.column(0))
+        times = np.bincount(token[np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)], minlength=len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(words[times > 0]), pa.array(times[times > 0])], ["word", "n"])
 
 
 def _pairs(top: Top, buckets: int):
     """PACKED with times: training tokens of each pair in a slice."""
 
     def run(batches):
-        for b in slices(batches, text=0, limit=SLICE):
-            before, token, n = _tokens(b.column(0))
+        for b in _gathered(batches, text=0):
+            before, token, n, words = _tokens(b.column(0))
             trained = np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)
-            codes, words = pd.factorize(np.concatenate([token[trained], before[trained]]))
-            half = len(codes) // 2
-            pair, times = np.unique(codes[half:] * len(words) + codes[:half], return_counts=True)
+            pair, times = np.unique((before * len(words) + token)[trained], return_counts=True)
             if len(pair):
-                yield _packed(top, buckets, words[pair // len(words)], words[pair % len(words)], times=times.astype(np.int32))
+                yield _packed(top, buckets, words, top.index(words), pair // len(words), pair % len(words), times=times.astype(np.int32))
 
     return run
 
@@ -271,31 +335,42 @@ def _flat(rows: pa.Table, name: str) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy() for c in rows[name].chunks])
 
 
+def _known(at: np.ndarray, rare: np.ndarray, top: Top):
+    """A code for each place among the top words, and for each hash that stands where the place is -1; and the hashes by code."""
+    codes, hashes = pd.factorize(rare)
+    out = at.astype(np.int64)
+    out[at < 0] = codes + len(top.words)
+    return out, np.concatenate([top.words, hashes])
+
+
 class Dishes:
     """The distinct dishes of a bucket's rows: per token its dish, and per dish its restaurant (a context's share) and word."""
 
     def __init__(self, rows: pa.Table, top: Top):
-        at, run = _flat(rows, "context_at"), _flat(rows, "run")
-        context = np.empty(len(at), np.int64)
-        context[at >= 0], context[at < 0] = top.words[at[at >= 0]], _flat(rows, "context")
-        self.at = _flat(rows, "word_at")
-        word = np.empty(len(self.at), np.int64)
-        word[self.at >= 0], word[self.at < 0] = top.words[self.at[self.at >= 0]], _flat(rows, "word")
-        contexts, code = np.unique(context, return_inverse=True)
-        words, named = pd.factorize(word)
-        pair = np.repeat(code, run) * len(named) + words
-        by = np.argsort(pair, kind="stable")
+        run, self.at = _flat(rows, "run"), _flat(rows, "word_at")
+        code, contexts = _known(_flat(rows, "context_at"), _flat(rows, "context"), top)
+        used = np.flatnonzero(np.bincount(code, minlength=len(contexts)))
+        used = used[np.argsort(contexts[used])]
+        rank = np.zeros(len(contexts), np.int64)
+        rank[used] = np.arange(len(used))
+        contexts = contexts[used]
+        word, named = _known(self.at, _flat(rows, "word"), top)
+        pair = np.repeat(rank[code], run) * len(named) + word
+        by = _order(pair)
+        sorted_pair = pair[by]
         first = np.ones(len(by), bool)
-        first[1:] = np.diff(pair[by]) != 0
+        first[1:] = sorted_pair[1:] != sorted_pair[:-1]
         self.item = np.empty(len(by), np.int64)
         self.item[by] = np.cumsum(first) - 1
         self.first = by[first]
-        self.word, self.context = word[self.first], contexts[pair[self.first] // len(named)]
+        context = sorted_pair[first] // len(named)
+        self.word, self.context = named[word[self.first]], contexts[context]
         places = top.index(contexts)
-        share = top.share(places[pair[self.first] // len(named)], self.word)
-        restaurant = (pair[self.first] // len(named)) * (share.max(initial=0) + 1) + share
-        of, self.group = np.unique(restaurant, return_inverse=True)
-        self.contexts = contexts[of // (share.max(initial=0) + 1)]
+        self.group, self.contexts = context, contexts
+        if (top.shares(places) > 1).any():
+            share = top.share(places[context], self.word)
+            of, self.group = np.unique(context * (share.max(initial=0) + 1) + share, return_inverse=True)
+            self.contexts = contexts[of // (share.max(initial=0) + 1)]
         self.seed = int(rows["bucket"][0].as_py())
 
     def seat(self, n: np.ndarray, root: np.ndarray, top: Top, law: Tables):
@@ -332,43 +407,39 @@ class Pairs:
     """The pairs of context and word that are priced where they are read: places of both among the top words, and log10 of the probability."""
 
     def __init__(self, context: np.ndarray, word: np.ndarray, score: np.ndarray):
-        key = context << 32 | word
-        by = np.argsort(key)
-        self.key, self.score = key[by], score[by]
+        self.key, self.score = pd.Index(context << 32 | word), score
 
     def index(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The place of each pair, or -1."""
         out = np.full(len(context), -1)
         if len(self.key):
             some = np.flatnonzero((context >= 0) & (word >= 0))
-            key = context[some] << 32 | word[some]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            out[some] = np.where(self.key[at] == key, at, -1)
+            out[some] = self.key.get_indexer(context[some] << 32 | word[some])
         return out
 
 
 def _placed(column: pa.Array, top: Top, pairs: Pairs):
-    before, token, n = _tokens(column)
-    codes, words = pd.factorize(np.concatenate([token, before]))
-    at = top.index(words)[codes]
-    return before, token, n, at[: len(token)], pairs.index(at[len(token) :], at[: len(token)])
+    """What _tokens tells; by code, places among the top words; and the place of each token's pair."""
+    before, token, n, words = _tokens(column)
+    at = top.index(words)
+    return before, token, n, words, at, pairs.index(at[before], at[token])
 
 
 def _near(top: Top, pairs: Pairs):
     """NEAR: what is known of each document from broadcast statistics; far counts its tokens in other pairs, words and contexts list the rarer words among them."""
 
     def run(batches):
-        for b in slices(batches, limit=SLICE):
-            before, token, n, word, pair = _placed(b.column(1), top, pairs)
+        for b in _gathered(batches):
+            before, token, n, words, at, pair = _placed(b.column(1), top, pairs)
             begin, row = starts_of(n), np.repeat(np.arange(len(n)), n)
             sums = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: E731  every text has an end
-            known = word >= 0
-            base = np.where(known, np.log10(top.take(top.times, word, 0) + 1.0), 0.0)
-            score = np.where(pair >= 0, pairs.score[pair], 0.0) if len(pairs.key) else np.zeros(len(word))
+            known = (at >= 0)[token]
+            base = np.where(at >= 0, np.log10(top.take(top.times, at, 0) + 1.0), 0.0)[token]
+            score = np.where(pair >= 0, pairs.score[pair], 0.0) if len(pairs.key) else np.zeros(len(token))
             rare = np.flatnonzero(~known)
             lists = pa.array(starts_of(np.bincount(row[rare], minlength=len(n))).astype(np.int32))
             arrays = [pa.array(n), pa.array(sums(known.astype(np.int64))), pa.array(sums(base)), pa.array(sums(score)), pa.array(sums((pair < 0).astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), b.column(2), b.column(3), *arrays, pa.ListArray.from_arrays(lists, pa.array(token[rare])), pa.ListArray.from_arrays(lists, pa.array(before[rare]))], [c.split()[0] for c in NEAR.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), b.column(2), b.column(3), *arrays, pa.ListArray.from_arrays(lists, pa.array(words[token[rare]])), pa.ListArray.from_arrays(lists, pa.array(words[before[rare]]))], [c.split()[0] for c in NEAR.split(", ")])
 
     return run
 
@@ -377,12 +448,12 @@ def _far(top: Top, pairs: Pairs, buckets: int):
     """TOKENS of frequent words in other pairs."""
 
     def run(batches):
-        for b in slices(batches, limit=SLICE):
-            before, token, n, word, pair = _placed(b.column(1), top, pairs)
-            far = np.flatnonzero((pair < 0) & (word >= 0))
+        for b in _gathered(batches):
+            before, token, n, words, at, pair = _placed(b.column(1), top, pairs)
+            far = np.flatnonzero((pair < 0) & (at >= 0)[token])
             if len(far):
                 doc = np.repeat(np.arange(len(n)), n)[far]
-                out = _packed(top, buckets, before[far], token[far], doc=doc, ids=b.column(0).to_numpy(), salts=b.column(2).to_numpy())
+                out = _packed(top, buckets, words, at, before[far], token[far], doc=doc, ids=b.column(0).to_numpy(), salts=b.column(2).to_numpy())
                 none = pa.ListArray.from_arrays(pa.array(np.zeros(out.num_rows + 1, np.int32)), pa.array([], pa.float64()))
                 yield out.append_column("root", none)
 
@@ -392,20 +463,11 @@ def _far(top: Top, pairs: Pairs, buckets: int):
 def _rare(top: Top, buckets: int):
     """TOKENS of rarer words, which bring their probabilities in the root."""
 
-    def packed(held):
-        key, salt, word, context, root = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(5))
-        return _packed(top, buckets, context, word, doc=np.arange(len(key)), ids=key, salts=salt, root=root)
-
     def run(batches):
-        held, rows = [], 0
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= SHARE:
-                yield packed(held)
-                held, rows = [], 0
-        if rows:
-            yield packed(held)
+        for b in _rows(batches, SHARE):
+            key, salt, word, context, root = (b.column(k).to_numpy() for k in range(5))
+            codes, words = pd.factorize(np.concatenate([context, word]))
+            yield _packed(top, buckets, words, top.index(words), codes[: len(key)], codes[len(key) :], doc=np.arange(len(key)), ids=key, salts=salt, root=root)
 
     return run
 
@@ -481,20 +543,21 @@ def root_of(words: DataFrame, distinct: int, seed: int = 2) -> DataFrame:
     def counted(sweep, x):
         def run(batches):
             law = Tables(d)
-            for b in batches:
+            for b in _rows(batches, ROWS):
                 t = root_tables(b.column(1).to_numpy(), b.column(0).to_numpy(), x, base, law, sweep)
                 yield pa.RecordBatch.from_arrays([pa.array([float(t.sum())])], ["tables"])
 
         return run
 
+    several = words.filter("customers > 1").select("word", "customers")
     for sweep in range(BURN_IN + SWEEPS):
         xs.append(float(rng.gamma(STRENGTH / d + tables[-1])))
-        tables.append(float(words.select("word", "customers").mapInArrow(counted(sweep, xs[-1]), "tables double").agg(F.sum("tables")).first()[0] or 0.0))
+        tables.append(one + float(several.mapInArrow(counted(sweep, xs[-1]), "tables double").agg(F.sum("tables")).first()[0] or 0.0))
     spare = np.array([STRENGTH + d * t for t in tables[1 + BURN_IN :]]).mean() * base / (STRENGTH + total)
 
     def priced(batches):
         law = Tables(d)
-        for b in batches:
+        for b in _rows(batches, ROWS):
             n, key = b.column(2).to_numpy(), b.column(0).to_numpy()
             t = np.mean([root_tables(n, key, xs[k], base, law, k) for k in range(BURN_IN, BURN_IN + SWEEPS)], axis=0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((n - d * t) / (STRENGTH + total) + spare)], ["word", "times", "root"])

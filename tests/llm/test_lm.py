@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lorekeep.llm import lm
@@ -148,3 +149,29 @@ def test_shares_of_large_restaurants_change_little(spark, monkeypatch):
     parts = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert parts.keys() == whole.keys()
     assert all(abs(parts[k] - whole[k]) < 0.05 * abs(whole[k]) + 0.003 * k[1] for k in whole)
+
+
+def test_work_per_token_does_not_search_the_inventory(monkeypatch):
+    """Words are looked up once in a slice, however many tokens they have, and small batches share a slice."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 500) % 300) for _ in range(40)]
+    top = lm.Top(np.append(np.arange(1000) * 7919, lm.START), np.arange(1001, 0, -1), 10**6, 1000)
+    none = lm.Pairs(np.array([], int), np.array([], int), np.array([]))
+    batches = [pa.RecordBatch.from_pydict({"text": texts[i : i + 4], "train": [True] * len(texts[i : i + 4])}) for i in range(0, len(texts), 4)]
+    looked, index = [], lm.Top.index
+    monkeypatch.setattr(lm.Top, "index", lambda self, h: looked.append(len(h)) or index(self, h))
+    out = list(lm._pairs(top, 1)(iter(batches)))
+    assert sum(sum(b.column("times").flatten().to_pylist()) for b in out) == 40 * 501
+    assert sum(looked) <= 302 and len(out) == 1
+    looked.clear()
+    named = [pa.RecordBatch.from_pydict({"id": np.arange(b.num_rows), "text": b.column(0), "salt": np.zeros(b.num_rows, np.int32), "held_out": b.column(1), "doc_id": np.arange(b.num_rows)}) for b in batches]
+    near = list(lm._near(top, none)(iter(named)))
+    assert sum(looked) <= 302 and sum(sum(b.column("n_tokens").to_pylist()) for b in near) == 40 * 501
+
+
+def test_places_sort_with_their_values():
+    rng = np.random.default_rng(1)
+    for high in (1, 5, 1 << 20, 1 << 62):
+        for n in (0, 1, 2, 1000, 4096):
+            key = rng.integers(0, high, n)
+            assert (lm._order(key) == np.argsort(key, kind="stable")).all()
