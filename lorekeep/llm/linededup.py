@@ -27,7 +27,7 @@ from lorekeep.llm.setjoin import Order, needed
 SIMILAR = 0.8
 #: Bytes of text taken at once: small enough that the arrays of a slice stay in the cache.
 SLICE = 1 << 20
-READ = "doc_id long, print long, n_lines int, numbers array<int>, signs array<long>, others array<long>, words array<long>, times array<int>"
+READ = "doc_id long, print long, n_lines int, n_prefix int, numbers array<int>, signs array<long>, others array<long>, words array<long>, times array<int>"
 
 
 class Lines:
@@ -43,15 +43,12 @@ class Lines:
         self.per_row = np.bincount(rows, minlength=len(column)).astype(np.int64) + 1
         self.row = np.repeat(np.arange(len(column)), self.per_row)
         self.number = np.arange(len(self.row)) - starts_of(self.per_row)[self.row]
-        line = np.searchsorted(self.begin, words.start, "right") - 1
+        line = np.repeat(np.arange(len(self.row)), np.diff(np.append(np.searchsorted(words.start, self.begin), len(words.start))))
         codes, self.words = pd.factorize(words.hashes())
         self.times = np.bincount(codes, minlength=len(self.words))
         if order is not None:
-            uses = order.uses(self.words)
-            rank = np.empty(len(self.words), np.int64)
-            by = np.lexsort((self.words, uses))
-            rank[by] = np.arange(len(by))
-            codes, self.words, self.uses = rank[codes], self.words[by], uses[by]
+            rank, self.words, self.uses = order.ranked(self.words)
+            codes = rank[codes]
         both = np.sort(line << 32 | codes)
         both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
         self.line, self.word = both >> 32, both & 0xFFFFFFFF
@@ -68,19 +65,24 @@ class Lines:
         return self._sums(mixed(self.words ^ np.uint64(0xD6E8FEB86659FD93), 0xC4CEB9FE1A85EC53))
 
 
-def _read(batches):
-    """Per document its lines with words, by number and hashes; on a slice's first row also its frequent words."""
-    ints = pa.int32()
-    for b in slices(batches, limit=SLICE):
-        x = Lines(b.column(1))
-        full = x.size > 0
-        at = pa.array(starts_of(np.bincount(x.row[full], minlength=b.num_rows)).astype(np.int32))
-        prints = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts_of(b.column(1)).cast(pa.binary()).to_pylist()], pa.int64())
-        often = x.times >= setjoin.OFTEN
-        first = pa.array(np.where(np.arange(b.num_rows + 1) > 0, often.sum(), 0).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (x.number[full].astype(np.int32), x.sign[full], x.other()[full])]
-        counts = [pa.ListArray.from_arrays(first, pa.array(v)) for v in (x.words[often].view(np.int64), x.times[often].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array(x.per_row).cast(ints), *lists, *counts], [c.split()[0] for c in READ.split(", ")])
+def _read(t: float):
+    """Per document its lines with words, by number and hashes, and how many prefix words they have; on a slice's first row also its frequent words."""
+
+    def run(batches):
+        ints = pa.int32()
+        for b in slices(batches, limit=SLICE):
+            x = Lines(b.column(1))
+            full = x.size > 0
+            at = pa.array(starts_of(np.bincount(x.row[full], minlength=b.num_rows)).astype(np.int32))
+            prints = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts_of(b.column(1)).cast(pa.binary()).to_pylist()], pa.int64())
+            prefix = np.bincount(x.row, (x.size - needed(x.size, t) + 1) * full, b.num_rows)
+            often = x.times >= setjoin.OFTEN
+            first = pa.array(np.where(np.arange(b.num_rows + 1) > 0, often.sum(), 0).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (x.number[full].astype(np.int32), x.sign[full], x.other()[full])]
+            counts = [pa.ListArray.from_arrays(first, pa.array(v)) for v in (x.words[often].view(np.int64), x.times[often].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array(x.per_row).cast(ints), pa.array(prefix.astype(np.int32)), *lists, *counts], [c.split()[0] for c in READ.split(", ")])
+
+    return run
 
 
 def _earliest(x: Lines, ids: np.ndarray) -> np.ndarray:
@@ -157,9 +159,10 @@ def find(docs: DataFrame, t: float = SIMILAR) -> DataFrame:
     doc_id are left out. Extra columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    read = stored(docs.mapInArrow(_read, READ))
+    read = stored(docs.mapInArrow(_read(t), READ))
     order = setjoin.order_of(read.filter(F.size("words") > 0).select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("n"))).alias("w")).select("w.word", "w.n"))
-    met = stored(setjoin.dealt(docs.mapInArrow(_prefixes(order, t), setjoin.ROWS)).mapInArrow(setjoin.meet(t), setjoin.MET))
+    rows = read.agg(F.sum(F.col("n_prefix").cast("long"))).first()[0] or 0
+    met = stored(setjoin.joined(docs, _prefixes(order, t), rows, t))
     ends = ["a", "b", "a_doc", "a_number", "b_doc", "b_number"]
     pairs = stored(met.filter("key IS NULL").select(ends).distinct())
     gone = stored(_similar(docs, pairs, t))

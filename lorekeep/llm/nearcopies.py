@@ -44,10 +44,8 @@ class Sets:
             h[on] = mixed(h[on] * np.uint64(0x100000001B3) + words[on + k])
         codes, h = pd.factorize(h[begins])
         if order is not None:
-            uses = order.uses(h)
-            rank, by = np.empty(len(h), np.int64), np.lexsort((h, uses))
-            rank[by] = np.arange(len(by))
-            codes, h, uses = rank[codes], h[by], uses[by]
+            rank, h, uses = order.ranked(h)
+            codes = rank[codes]
         both = np.sort(row[begins] << 32 | codes)
         both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
         self.row, code = both >> 32, both & 0xFFFFFFFF
@@ -58,8 +56,8 @@ class Sets:
         self.sign = (sums[self.at[1:]] - sums[self.at[:-1]]).view(np.int64)
 
 
-def _read(shingle: int):
-    """The hash of each document's set and its fingerprint; on a slice's first row also the slice's frequent shingles."""
+def _read(shingle: int, t: float):
+    """The hash of each document's set, its fingerprint and how many prefix shingles it has; on a slice's first row also the slice's frequent shingles."""
 
     def run(batches):
         for b in slices(batches, limit=SLICE):
@@ -70,7 +68,7 @@ def _read(shingle: int):
             first = pa.array(np.where(np.arange(b.num_rows + 1) > 0, often.sum(), 0).astype(np.int32))
             lists = [pa.ListArray.from_arrays(first, pa.array(v)) for v in (h[often].view(np.int64), n[often].astype(np.int32))]
             fp = fingerprint(texts_of(b.column(1), LOWER).cast(pa.binary()).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.sign), pa.array(fp), *lists], ["doc_id", "sign", "fp", "words", "times"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.sign), pa.array(fp), pa.array((x.size - needed(x.size, t) + 1).astype(np.int32)), *lists], ["doc_id", "sign", "fp", "n_prefix", "words", "times"])
 
     return run
 
@@ -133,11 +131,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, t: float = SIMILAR) ->
     Equal sets are told by a 64-bit hash.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    read = stored(docs.mapInArrow(_read(shingle), "doc_id long, sign long, fp long, words array<long>, times array<int>"))
+    read = stored(docs.mapInArrow(_read(shingle, t), "doc_id long, sign long, fp long, n_prefix int, words array<long>, times array<int>"))
     close = _verified(docs, _alike(stored(read.select("sign", "fp").distinct())), shingle, t)
     group = components(close.toDF("u", "v"))
     order = setjoin.order_of(read.filter(F.size("words") > 0).select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("n"))).alias("w")).select("w.word", "w.n"))
-    met = stored(setjoin.dealt(docs.mapInArrow(_prefixes(order, shingle, t), setjoin.ROWS)).mapInArrow(setjoin.meet(t), setjoin.MET))
+    rows = read.agg(F.sum(F.col("n_prefix").cast("long"))).first()[0] or 0
+    met = stored(setjoin.joined(docs, _prefixes(order, shingle, t), rows, t))
     pairs = stored(met.filter("key IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = [group.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
     apart = stored(pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("NOT coalesce(_a = _b, false)").select("a", "b"))

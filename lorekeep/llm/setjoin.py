@@ -10,6 +10,10 @@ bits, which rules out most of those that share a prefix member by chance. Sets o
 Members with HOT uses or more meet by (member, band of sizes), so that the length filter is part of the key. Rows whose
 partners in a group are very many give their first ones only and are marked as crowded: what these pairs leave open is for
 the caller to look up among the crowd's rows.
+
+Rows travel in packs, one for all rows of a bucket of members that some input gave at once: the shuffle and its sort see few
+large rows, and a bucket's rows are sorted by numpy. Buckets grow in number with the rows, so each fits in memory; what one
+member alone makes too large is told in parts.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import mixed
+from lorekeep.llm.common import mixed, slices
 
 #: A member counts for the order from so many uses in a slice on, and at most so many are told apart. Any order is right.
 OFTEN, RANKED = 2, 1 << 18
@@ -30,8 +34,11 @@ HOT = 1 << 16
 PAIRED, FEW, ALL_PAIRS, LEADERS = 8, 2, 256, 16
 #: Rows taken at once, rows of one group held at most, and pairs compared at once. All bound memory; none changes a result.
 AT_ONCE, HELD, COMPARED = 1 << 16, 1 << 19, 1 << 21
+#: Rows expected in a bucket; rows gathered before they are parted into packs.
+BUCKET, GATHERED = 1 << 15, 1 << 19
 FILTER, WIDE = 1 << 26, 64
-ROWS = "key long, shape long, sign long, doc_id long, number int, map0 long, map1 long"
+#: A pack holds rows by columns of 64 bits: key, shape (size and place), sign, doc_id, number and the two parity words.
+PACKS, COLUMNS = "bucket int, pack binary", 7
 MET = "a long, b long, a_doc long, a_number int, b_doc long, b_number int, key long, shape long, crowded boolean"
 
 
@@ -54,6 +61,17 @@ class Order:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.times[at], 0)
 
+    def ranked(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rank of each of these distinct hashes by uses and hash; and by rank, the hashes and their uses."""
+        by = np.argsort(hashes)
+        uses = self.uses(hashes[by])  # in their order: near each other in the table
+        often = np.flatnonzero(uses)
+        often = often[np.argsort(uses[often], kind="stable")]
+        order = np.concatenate([np.flatnonzero(uses == 0), often])
+        by, rank = by[order], np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        return rank, hashes[by], uses[order]
+
 
 def order_of(used: DataFrame) -> Order:
     """used: (word, n), counts in parts of the input."""
@@ -61,8 +79,8 @@ def order_of(used: DataFrame) -> Order:
     return Order(ranked.column("word").to_numpy().view(np.uint64), ranked.column("n").to_numpy())
 
 
-def rows_of(member: np.ndarray, uses: np.ndarray, size: np.ndarray, place: np.ndarray, sign, doc, number, maps, t: float) -> pa.RecordBatch:
-    """The ROWS of prefix members: those of hot ones in the band of their size, and in the next if a partner can be there."""
+def rows_of(member: np.ndarray, uses: np.ndarray, size: np.ndarray, place: np.ndarray, sign, doc, number, maps, t: float) -> np.ndarray:
+    """The rows of prefix members, by columns: those of hot ones in the band of their size, and in the next if a partner can be there."""
     key, hot = member, uses >= HOT
     again = np.zeros(0, np.int64)
     if hot.any():
@@ -72,9 +90,8 @@ def rows_of(member: np.ndarray, uses: np.ndarray, size: np.ndarray, place: np.nd
         again = np.flatnonzero(hot & (band(longest) > of))
         key = np.where(hot, mixed(member + of.astype(np.uint64)), member)
         key = np.concatenate([key, mixed(member[again] + (of[again] + 1).astype(np.uint64))])
-    columns = [key.view(np.int64), size << 32 | place, sign, doc, number.astype(np.int32), *maps]
-    columns = [columns[0], *(np.concatenate([c, c[again]]) for c in columns[1:])] if len(again) else columns
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "shape", "sign", "doc_id", "number", "map0", "map1"])
+    columns = [size << 32 | place, sign, doc, number, *maps]
+    return np.stack([key.view(np.int64), *(np.concatenate([c, c[again]]) if len(again) else c for c in columns)])
 
 
 def maps_of(member: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
@@ -91,8 +108,34 @@ def maps_of(member: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "shape", "sign", "doc_id", "number")
+def packed(prefixes, buckets: int):
+    """prefixes: batches of the input to rows. PACKS of them."""
+
+    def parted(x):
+        x = x.take(np.argsort(x[0].view(np.uint64)), axis=1)
+        bucket = ((x[0].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        packs = pa.array([x[:, i:j].tobytes() for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True)], pa.binary())
+        return slices([pa.RecordBatch.from_arrays([pa.array(bucket[begin]), packs], ["bucket", "pack"])])
+
+    def run(batches):
+        held, rows = [], 0
+        for x in prefixes(batches):
+            held.append(x)
+            rows += x.shape[1]
+            if rows >= GATHERED:
+                yield from parted(np.concatenate(held, axis=1))
+                held, rows = [], 0
+        if rows:
+            yield from parted(np.concatenate(held, axis=1))
+
+    return run
+
+
+def joined(docs: DataFrame, prefixes, rows: int, t: float) -> DataFrame:
+    """MET of the rows that prefixes gives for docs; rows: about how many there are."""
+    packs = docs.mapInArrow(packed(prefixes, 1 + rows // BUCKET), PACKS)
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet(t), MET)
 
 
 def fits(m, i, n, j, t: float):
@@ -183,14 +226,42 @@ def _compared(x: np.ndarray, t: float):
     return a[keep], b[keep], crowded, crowd[group]
 
 
+def _runs(key: np.ndarray) -> np.ndarray:
+    """How many of these sorted keys equal each."""
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    many = np.diff(np.append(begin, len(key)))
+    return np.repeat(many, many)
+
+
+def _ordered(x: np.ndarray, alone: bool) -> np.ndarray:
+    """Rows by key, shape and sign; a set comes once for a key, at its earliest place. alone: also rows that meet no other."""
+    by = np.argsort(x[0])
+    key = x[0, by]
+    if not alone:
+        met = _runs(key) > 1
+        by, key = by[met], key[met]
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]), dtype=np.int64)[: len(key)]
+    where = group << 32 | x[1, by] >> 32  # a set has one place for a key
+    to = np.lexsort((x[2, by], where))
+    x = x.take(by[to], axis=1)
+    same = np.concatenate([[False], (x[0, 1:] == x[0, :-1]) & (x[1, 1:] == x[1, :-1]) & (x[2, 1:] == x[2, :-1])])
+    if same.any():
+        own = np.cumsum(~same)
+        again = np.flatnonzero(same | np.append(same[1:], False))
+        to = again[np.lexsort((x[4, again], x[3, again], own[again]))]
+        x[:, again] = x[:, to]
+        x = x[:, ~same]
+    return x
+
+
 def meet(t: float):
-    """Rows dealt by key, sorted: MET, pairs to verify with a null key, and rows of crowds (b, b_doc, b_number, key, shape, crowded)."""
+    """PACKS dealt and sorted by bucket: MET, pairs to verify with a null key, and rows of crowds (b, b_doc, b_number, key, shape, crowded)."""
     names = [c.split()[0] for c in MET.split(", ")]
 
     def told(x, part):
-        """part: x is a part of one group that is too large to hold; all of it is crowded."""
-        same = (x[0, 1:] == x[0, :-1]) & (x[1, 1:] == x[1, :-1]) & (x[2, 1:] == x[2, :-1])
-        x = x[:, np.concatenate([[True], ~same])]  # a set comes once, at its earliest place
+        """part: x is of groups that are too large to hold; all of them is crowded."""
+        if not x.shape[1]:
+            return
         a, b, crowded, crowd = _compared(x, t)
         if part:
             crowded[:], crowd[:] = True, True
@@ -208,35 +279,37 @@ def meet(t: float):
             arrays = [pa.nulls(n, pa.int64()), y[2], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), y[3], y[4].astype(np.int32), y[0], y[1], crowded[crowd]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in arrays], names)
 
+    def ended(waiting, long):
+        """Of whole buckets; long: the keys of groups that were told in part."""
+        x = np.concatenate(waiting, axis=1)
+        if len(long):
+            part = np.isin(x[0], long)
+            yield from told(_ordered(x[:, part], True), True)
+            x = x[:, ~part]
+        yield from told(_ordered(x, False), False)
+
     def run(batches):
-        held, waiting, rows = np.zeros((7, 0), np.int64), [], 0
-        long_key = None  # the group that has been told in part
+        none = np.zeros(0, np.int64)
+        waiting, rows, most, long, bucket = [], 0, HELD, none, None
         for b in batches:
-            waiting.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
-            rows += b.num_rows
-            if rows < AT_ONCE:
-                continue
-            held, waiting, rows = np.concatenate([held, *waiting], axis=1), [], 0
-            cut = int(np.searchsorted(held[0], held[0, -1]))  # the last group may go on
-            if cut:
-                if held[0, 0] == long_key:
-                    own = int(np.searchsorted(held[0], long_key, "right"))
-                    yield from told(held[:, :own], True)
-                    held, cut = held[:, own:], cut - own
-                if cut:
-                    yield from told(held[:, :cut], False)
-                held = held[:, cut:].copy()
-            if held.shape[1] > HELD:
-                long_key = held[0, 0]
-                yield from told(held, True)
-                held = held[:, :0]
-        held = np.concatenate([held, *waiting], axis=1)
-        if held.shape[1] and held[0, 0] == long_key:
-            own = int(np.searchsorted(held[0], long_key, "right"))
-            yield from told(held[:, :own], True)
-            held = held[:, own:]
-        if held.shape[1]:
-            yield from told(held, False)
+            for new, pack in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if new != bucket and rows >= AT_ONCE:
+                    yield from ended(waiting, long)
+                    waiting, rows, most, long = [], 0, HELD, none
+                bucket = new
+                waiting.append(np.frombuffer(pack.as_buffer(), np.int64).reshape(COLUMNS, -1))
+                rows += waiting[-1].shape[1]
+                if rows > most:
+                    x = _ordered(np.concatenate(waiting, axis=1), True)
+                    large = (_runs(x[0]) > HELD // 4) | np.isin(x[0], long)
+                    if x.shape[1] > HELD // 2 and large.any():
+                        yield from told(x[:, large], True)
+                        long = np.union1d(long, x[0, large])
+                        x = x[:, ~large]
+                    waiting, rows = [x], x.shape[1]
+                    most = max(HELD, 2 * rows)  # other groups are small: a bucket has few more rows than BUCKET of them
+        if rows:
+            yield from ended(waiting, long)
 
     return run
 

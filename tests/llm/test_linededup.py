@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lorekeep.llm import linededup as l
@@ -59,3 +61,26 @@ def test_clean_edits_text_only(spark):
     got = sorted(map(tuple, l.clean(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([rows[0], (2, "new words here", "", 0), rows[2], rows[3]], key=str)
     assert l.clean(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("held", [1 << 19, 64])
+def test_rows_travel_in_packs(monkeypatch, held):
+    """The shuffle sees a row a bucket, not one a prefix word; a bucket too large to hold still tells or marks every pair."""
+    monkeypatch.setattr(setjoin, "HELD", held)
+    rng = random.Random(1)
+    texts = [" ".join(["common", *rng.sample([f"w{k}" for k in range(9)], 4)]) for _ in range(400)] + [f"own{k}" for k in range(99)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    order = setjoin.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rows = sum(x.shape[1] for x in l._prefixes(order, 0.6)([batch]))
+    packs = pa.Table.from_batches(setjoin.packed(l._prefixes(order, 0.6), 4)([batch])).sort_by("bucket")
+    assert packs.num_rows == 4 < rows == sum(len(p) for p in packs["pack"].to_pylist()) // (8 * setjoin.COLUMNS)
+    met = pa.Table.from_batches(setjoin.meet(0.6)(packs.combine_chunks().to_batches())).to_pylist()
+    told, crowds = {(m["a_doc"], m["b_doc"]) for m in met if m["key"] is None}, {}
+    for m in met:
+        if m["key"] is not None:
+            crowds.setdefault(m["key"], {})[m["b_doc"]] = m["crowded"]
+    sets = {i: frozenset(x.split()) for i, x in reversed(list(enumerate(texts)))}
+    first = {i: s for i, s in sets.items() if min(k for k, x in sets.items() if x == s) == i}
+    near = [(i, j) for i in first for j in first if i < j and len(first[i] & first[j]) >= 0.6 * len(first[i] | first[j])]
+    assert near and all(p in told or any(p[0] in c and c.get(p[1]) for c in crowds.values()) for p in near)
+    assert all(max(c.values()) for c in crowds.values()) and (held > 64 or crowds)
