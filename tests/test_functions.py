@@ -106,3 +106,35 @@ def test_quotes_looked_for_together():
         asked = fuzzy.Quotes(quotes, at_once=7)
         found = {asked.quotes[i]: (window, ratio) for i, window, ratio in asked.find(text)}
         assert found == {q: x for q in quotes if (x := brute_fuzzy(q, text))}
+
+
+@pytest.mark.parametrize("longest", [8192, 30])
+def test_few_quotes_reach_the_edit_count(monkeypatch, longest):
+    """Texts of common syllables, some empty or over several sections: the first with a window, as in the plain search, and few edits counted."""
+    rng = random.Random(4)
+    parts = ["th", "he", "an", "in", "er", "rin", "on", "ti", "ing", "ble", "sou", "dwa", "lym", "fac", "pok", "vug", "and ", "the ", "of ", " ", ", "]
+    say = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    texts = [say(rng.choice([0, 5, 60, 300])) for _ in range(24)]
+    quotes = []
+    for k in range(60):
+        text = rng.choice([t for t in texts if len(t) > 99])
+        a = rng.randrange(len(text) - 80)
+        quote = list(text[a : a + rng.randrange(20, 80)])
+        for _ in range(rng.randrange(9)):
+            at = rng.randrange(len(quote))
+            quote[at : at + rng.randrange(2)] = rng.choice(["", "x", "an"])
+        quotes.append("".join(quote) if k % 3 else "".join(quote).replace("e", "x"))
+    counted, plain = [], fuzzy._nearest
+    monkeypatch.setattr(fuzzy, "LONGEST", longest)
+    monkeypatch.setattr(fuzzy, "_nearest", lambda *a: counted.append(len(a[1])) or plain(*a))
+    asked = fuzzy.Quotes(quotes)
+    found = {asked.quotes[i]: (k, window, ratio) for k, i, window, ratio in asked.find_all(texts)}
+    want = {}
+    for q in quotes:
+        for k, t in enumerate(texts):
+            if x := fuzzy.fuzzy_find(q, t):
+                want[q] = (k, *x)
+                break
+    assert found == want and len(want) > 20
+    if longest > 80:
+        assert sum(counted) < 0.6 * len(quotes) * len(texts)
